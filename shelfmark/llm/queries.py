@@ -23,7 +23,7 @@ OP8_SQL = r"""
 with t as (
   select row_number() over () as r, doc_id, coalesce(text, '') as x,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) as ls
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as ls
   from documents),
 win as (select r, unnest(range(1, len(w) - 1)) as p, w from t),
 keyed as (select r, p, w[p] || chr(10) || w[p + 1] || chr(10) || w[p + 2] as k from win),
@@ -34,8 +34,8 @@ m as (
          (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
          len(ls)::bigint as n_lines, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
          (length(x) - length(regexp_replace(x, '\p{Lu}', '', 'g')))::bigint as n_upper,
-         len(list_filter(w, v -> ends_with(v, '!')))::bigint as n_exclaims,
-         len(list_filter(range(2, len(w) + 1), i -> w[i] = w[i - 1]))::bigint as n_echo_words,
+         len(list_filter(w, lambda v: ends_with(v, '!')))::bigint as n_exclaims,
+         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::bigint as n_echo_words,
          coalesce(n_repeat_words, 0)::bigint as n_repeat_words
   from t left join cover using (r)),
 b as (
