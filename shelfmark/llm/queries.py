@@ -5,11 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import bpe, mixing, quality_rules
 from .common import read
 
 
+def word_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.encode(read(spark, sf_dir, "documents"), word_bpe_path(), decoded=True)
+    decoded_sha = F.sha2(F.col("decoded").cast("binary"), 256)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), decoded_sha.alias("decoded_sha256"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(read(spark, sf_dir, "documents")).documents()
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality_rules.ledger(read(spark, sf_dir, "documents"))
     judged = quality_rules.apply_policy(led)
@@ -50,6 +67,8 @@ from b
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
 }
 ORACLES: dict[str, str] = {"op8_quality_rules": OP8_SQL}
