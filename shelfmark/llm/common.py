@@ -170,3 +170,37 @@ def crc_of(ids: list) -> np.ndarray:
     """crc32 of each id as text, the same as `crc_mod` sees it; null ids: 0."""
     return np.fromiter((zlib.crc32(str(i).encode()) if i is not None else 0 for i in ids), np.int64, len(ids))
 
+
+
+def bounded_sample(rows: DataFrame, kind: str, cap: int, most_kinds: int = 1000) -> DataFrame:
+    """About `cap` rows of each value of `kind` (all, where there are fewer), chosen by a hash of doc_id; one count a value reaches the driver."""
+    counts = rows.groupBy(kind).count().limit(most_kinds + 1).collect()
+    if len(counts) > most_kinds:
+        raise ValueError(f"more than {most_kinds} values of {kind}")
+    rate = F.lit(0.0)
+    for r in counts:
+        rate = F.when(F.col(kind) == F.lit(r[0]), F.lit(min(1.0, cap / r["count"]))).otherwise(rate)
+    unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 11) / float(1 << 53)
+    return rows.where(unit < rate)
+
+
+def sized_broadcast(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, to be broadcast if it has at most `most` (short) rows; df should be cheap to count."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+class Seen(dict):
+    """What a function has given, in two generations of at most `cap` entries: what is asked for again stays."""
+
+    def __init__(self, func, cap: int = 300_000):
+        self.func, self.cap, self.old = func, cap, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.cap:
+            self.old = dict(self)
+            self.clear()
+        out = self.old.get(key)
+        if out is None:
+            out = self.func(key)
+        self[key] = out
+        return out

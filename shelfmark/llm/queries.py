@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm_score, mixing, near_dedup, quality_rules, substring_dedup
-from .common import read
+from . import bpe, lm_score, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup
+from .common import crc_mod, read
 
 
 def word_bpe_path() -> str:
@@ -49,6 +49,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    model = quality_classifier.train(docs, read(spark, sf_dir, "labels"), "quality", ~held_out)
+    scored = quality_classifier.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 OP8_SQL = r"""
 with t as (
   select row_number() over () as r, doc_id, coalesce(text, '') as x,
@@ -86,5 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES: dict[str, str] = {"op8_quality_rules": OP8_SQL}
