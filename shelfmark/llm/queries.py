@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm_score, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity
+from . import bpe, language_id, lm_score, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, toxicity
 from .common import crc_mod, read
 
 
@@ -31,6 +31,13 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    found = language_id.identify(docs, language_id.train(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = crc_mod(F.col("doc_id"), 5) == 0
@@ -98,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_lm_score": op2_lm_score,
     "op3_near_dedup": op3_near_dedup,
+    "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
     "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
