@@ -26,9 +26,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import pieces
+from .common import Seen, pieces
 
-CACHE = 250_000
+CACHE = 400_000
+NONE = 1 << 62
 #: The white space that the vocabulary's normaliser replaces, and its word pattern.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -59,25 +60,29 @@ class Vocabulary:
         self.inner = [vocab[c] for c in letters]
         self.final = [vocab[c + end] for c in letters]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in merges)
-        self.merge = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: (id, id) -> rank << 32 | id of both merged, so that the least value is the merge to do next.
+        self.merge = {(vocab[a], vocab[b]): rank << 32 | vocab[a + b] for rank, (a, b) in enumerate(pairs)}
         self.strings = {i: s for s, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        #: Pairs of bytes seen inside a token; the second set is for pairs whose second byte ends the word.
-        self.joined: set[tuple[int, int]] = set()
-        self.joined_end: set[tuple[int, int]] = set()
+        #: For pairs of bytes (256 * first + second) whether a token holds them; the second table is for pairs whose second byte ends the word.
+        self.joined, self.joined_end = bytearray(1 << 16), bytearray(1 << 16)
         for token in vocab:
             ends = token.endswith(end)
             body = [byte_of[c] for c in (token[: -len(end)] if ends else token)]
-            neighbours = list(zip(body, body[1:], strict=False))
+            neighbours = [a << 8 | b for a, b in zip(body, body[1:], strict=False)]
             if ends and neighbours:
-                self.joined_end.add(neighbours.pop())
-            self.joined.update(neighbours)
+                self.joined_end[neighbours.pop()] = 1
+            for pair in neighbours:
+                self.joined[pair] = 1
 
     def cuts(self, word: bytes) -> list[int]:
         """Places where no token of this vocabulary can span: i stands for the place before word[i]."""
-        last = len(word) - 1
-        return [i for i in range(1, len(word)) if (word[i - 1], word[i]) not in (self.joined_end if i == last else self.joined)]
+        joined = self.joined
+        out = [i for i, (a, b) in enumerate(zip(word, word[1:-1], strict=False), 1) if not joined[a << 8 | b]]
+        if len(word) > 1 and not self.joined_end[word[-2] << 8 | word[-1]]:
+            out.append(len(word) - 1)
+        return out
 
     def merged(self, fragment: bytes, final: bool) -> list[int]:
         """Ids of one fragment; final: its last byte ends the word."""
@@ -87,20 +92,24 @@ class Vocabulary:
         return self._merged_long(ids) if len(ids) > 48 else self._merged_short(ids)
 
     def _merged_short(self, ids: list[int]) -> list[int]:
-        merge = self.merge
-        while len(ids) > 1:
-            best = min(((merge[pair][0], i) for i, pair in enumerate(zip(ids, ids[1:], strict=False)) if pair in merge), default=None)
-            if best is None:
-                break
-            i = best[1]
-            ids[i : i + 2] = [merge[ids[i], ids[i + 1]][1]]
+        """The least merge first, the leftmost of equals; only the neighbours of a merge are looked up again."""
+        get = self.merge.get
+        values = [get(pair, NONE) for pair in zip(ids, ids[1:], strict=False)]
+        while values and (least := min(values)) != NONE:
+            i = values.index(least)
+            ids[i : i + 2] = [least & 0xFFFFFFFF]
+            del values[i]
+            if i < len(values):
+                values[i] = get((ids[i], ids[i + 1]), NONE)
+            if i:
+                values[i - 1] = get((ids[i - 1], ids[i]), NONE)
         return ids
 
     def _merged_long(self, ids: list[int]) -> list[int]:
         """The same with a heap over a linked list, n log n."""
         n, merge = len(ids), self.merge
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(merge[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in merge]
+        heap = [(merge[p], i, p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in merge]
         heapq.heapify(heap)
         gone = bytearray(n)
         while heap:
@@ -108,14 +117,14 @@ class Vocabulary:
             j = after[i]
             if gone[i] or j >= n or (ids[i], ids[j]) != pair:
                 continue
-            ids[i] = merge[pair][1]
+            ids[i] = merge[pair] & 0xFFFFFFFF
             gone[j] = 1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for a, b in ((before[i], i), (i, after[i])):
                 if a >= 0 and b < n and (p := (ids[a], ids[b])) in merge:
-                    heapq.heappush(heap, (merge[p][0], a, p))
+                    heapq.heappush(heap, (merge[p], a, p))
         return [x for x, dead in zip(ids, gone, strict=True) if not dead]
 
 
@@ -124,32 +133,29 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.fragments: dict[tuple[bytes, bool], bytes] = {}
-        self.chunks = _Chunks(self)
-
-    def fragment(self, body: bytes, final: bool) -> bytes:
-        key = (body, final)
-        if (out := self.fragments.get(key)) is None:
-            if len(self.fragments) >= CACHE:
-                self.fragments.clear()
-            out = self.fragments[key] = np.array(self.v.merged(body, final), "<u4").tobytes()
-        return out
+        self.fragments = Seen(lambda key: np.array(vocabulary.merged(*key), "<u4").tobytes(), CACHE)
+        self.chunks = Seen(self.chunk, CACHE)
 
     def word(self, word: bytes) -> bytes:
-        edges = [0, *self.v.cuts(word), len(word)]
-        return b"".join(self.fragment(word[a:b], b == len(word)) for a, b in zip(edges, edges[1:], strict=False))
+        cuts = self.v.cuts(word)
+        if not cuts:
+            return np.array(self.v.merged(word, True), "<u4").tobytes()
+        edges = [0, *cuts, len(word)]
+        return b"".join(self.fragments[word[a:b], b == len(word)] for a, b in zip(edges, edges[1:], strict=False))
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a run without white space; no word of the pattern crosses white space."""
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk)
         lower = "".join(c.lower() for c in chunk) if "Σ" in chunk else chunk.lower()  # letter by letter: a final sigma is no case of its own
+        if lower.isalpha():  # letters only: the pattern takes it as one word
+            return self.word(lower.encode())
+        if lower[-1] in ".,;:!?" and lower[:-1].isalpha():
+            return self.word(lower[:-1].encode()) + self.word(lower[-1].encode())
         return b"".join(self.word(w.encode()) for w in WORD_PATTERN.findall(lower))
 
     def plain(self, text: str) -> bytes:
-        parts = SPACE.split(text) if _SEPARATORS.search(text) else text.split()
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
+        parts = list(filter(None, SPACE.split(text))) if _SEPARATORS.search(text) else text.split()
         return b"".join(map(self.chunks.__getitem__, parts))
 
     def encode(self, text: str) -> bytes:
@@ -166,15 +172,6 @@ class Encoder:
         return " ".join(map(self.v.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-class _Chunks(dict):
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
-
-    def __missing__(self, chunk: str) -> bytes:
-        out = self[chunk] = self.encoder.chunk(chunk)
-        return out
-
-
 @functools.lru_cache(2)
 def encoder(path: str) -> Encoder:
     return Encoder(Vocabulary(path))
