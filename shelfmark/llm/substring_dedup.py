@@ -11,7 +11,7 @@ bucket by bucket; `compact` merges all runs into one. Only windows whose fingerp
 more can occur twice; these few are verified by exact counts of their 128-bit hashes over all documents.
 
 No text is broadcast and no fingerprint reaches the driver. A passage in a third of all documents is one entry
-a batch. Batches are of about 12 MB of text; a single text is held whole.
+a batch. Batches are of about 4 MB of text; a single text is held whole.
 
 Edge cases: null and blank texts, and those shorter than a window, have nothing removed; repeated rows repeat
 their windows, so they remove each other's words; extra columns are ignored; an empty table gives an empty result.
@@ -195,15 +195,17 @@ def _spans(covered: np.ndarray) -> list[dict]:
     return [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, ingests: int = 2, batch_bytes: int = hc.BATCH_BYTES) -> DataFrame:
-    """doc_id, n_words, n_removed, spans of removed words (start, end), kept: the other words joined by one space.
+def remove_repeats(docs: DataFrame, width: int = WIDTH, ingests: int = 2, batch_bytes: int = 4 << 20, carry: tuple[str, ...] = (), original: bool = False) -> DataFrame:
+    """doc_id, carried columns, n_words, n_removed, spans of removed words (start, end), kept: the other words joined by one space.
 
     Every word goes that a repeated window covers, in each of the places where it occurs. The documents are
-    taken into the index in `ingests` batches, each a run; after compaction all are looked up.
+    taken into the index in `ingests` batches, each a run; after compaction all are looked up. With `original` a
+    text that loses nothing is returned as it is, white space and all.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
-    batched, n_batches = hc.batches_of(rows, batch_bytes)
+    wide, n_batches = hc.batches_of(docs.select("doc_id", "text", *(F.col(c).alias(f"_{i}") for i, c in enumerate(carry))), batch_bytes)
+    batched = wide.select("doc_id", "text", "batch")
     index = FingerprintIndex(spark, f"{checkpoint_dir(spark)}/fingerprints-{uuid.uuid4().hex}", max(1, n_batches // 3), width)
     for k in range(ingests):
         index.append(rows.where(F.pmod(F.hash("doc_id"), F.lit(ingests)) == k))
@@ -211,7 +213,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, ingests: int = 2, batch_
     repeated = repeated_windows(batched, index)
     kind = docs.schema["doc_id"].dataType
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", spans), ("kept", pa.string())])
+    held = {f"_{i}": docs.schema[c].dataType for i, c in enumerate(carry)}
+    extra = [(c, to_arrow_type(t)) for c, t in held.items()]
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), *extra, ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", spans), ("kept", pa.string())])
 
     def judge(texts: pa.Table, repeats: pa.Table) -> pa.Table:
         words, offsets = _texts(texts)
@@ -230,13 +234,17 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, ingests: int = 2, batch_
         gone = np.cumsum(covered)[:-1] > 0
         out = {"n_removed": [], "spans": [], "kept": []}
         for text, a, b in zip(texts.column("text").to_pylist(), offsets, offsets[1:], strict=False):
-            own, left = gone[a:b], (text or "").encode().split()
-            if own.any():
-                left = [w for w, g in zip(left, own.tolist(), strict=True) if not g]
+            own = gone[a:b]
+            if original and not own.any():
+                left = [(text or "").encode()]
+            else:
+                left = [w for w, g in zip((text or "").encode().split(), own.tolist(), strict=True) if not g]
             out["n_removed"].append(int(own.sum()))
             out["spans"].append(_spans(own) if own.any() else [])
             out["kept"].append(b" ".join(left).decode())
-        return pa.table({"doc_id": texts.column("doc_id"), "n_words": np.diff(offsets)} | out, schema=schema)
+        more = {c: texts.column(c) for c in held}
+        return pa.table({"doc_id": texts.column("doc_id")} | more | {"n_words": np.diff(offsets)} | out, schema=schema)
 
-    out = f"doc_id {kind.simpleString()}, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string"
-    return batched.groupBy("batch").cogroup(repeated.groupBy("batch")).applyInArrow(judge, out)
+    out = f"doc_id {kind.simpleString()}, " + "".join(f"{c} {t.simpleString()}, " for c, t in held.items()) + "n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string"
+    done = wide.groupBy("batch").cogroup(repeated.groupBy("batch")).applyInArrow(judge, out)
+    return done.select("doc_id", *(F.col(f"_{i}").alias(c) for i, c in enumerate(carry)), "n_words", "n_removed", "spans", "kept")
