@@ -1,15 +1,64 @@
-"""The corpus pipeline: stages over `documents`, each written and read again by the caller or by `run`."""
+"""The corpus pipeline over `documents`: quality rules, near-duplicates, repeated passages, source mix, encoding.
+
+Each stage takes (spark, docs, sf_dir), works on all rows it is given and returns a DataFrame; all but the last
+return the columns of `documents`. `run` writes each stage's rows to the shared folder and reads them again.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfmark.llm import bpe, mixing, near_dedup, quality_rules, substring_dedup
+from shelfmark.llm.common import checkpoint_dir
+from shelfmark.llm.queries import word_bpe_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the strict policy keeps; rejected ones go."""
+    return quality_rules.keep(docs)
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id (of rows that share it, the least text)."""
+    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    chosen = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    others = [c for c in docs.columns if c != "doc_id"]
+    one = chosen.groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in others if c != "text"))).alias("row"))
+    return one.select(*(F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the passages that also stand elsewhere; those of which nothing is left go. n_chars follows the text."""
+    left = substring_dedup.remove_repeats(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")), original=True)
+    rows = left.where("n_removed < n_words").withColumnRenamed("kept", "text")
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes: a row for each document and each time it is passed over, in whole or in blocks."""
+    rows = mixing.Mix(docs).texts(docs)
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and hashes of the ids and of the decoded text, one row a mixed row."""
+    rows = bpe.encode(docs, word_bpe_path(), decoded=True)
+    decoded = F.sha2(F.col("decoded").cast("binary"), 256)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), decoded.alias("decoded_sha256"))
+
 
-STAGES: list = []
+STAGES = [("quality_rules", quality), ("near_dedup", dedup), ("substring_dedup", passages), ("mixing", mix), ("bpe", encode)]
+#: SQL can't express several of the stages; tests/llm/test_pipeline.py compares each with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,8 +6,8 @@ costs (`ablation`), reads the ledger and never the texts again. Nothing is shuff
 repeated windows are found by sorting the window hashes inside the row.
 
 Edge cases: a null or blank text has no words and all measurements 0; it fails `few_words`. Repeated rows
-are judged each on its own. Columns of the input are read by name (`doc_id`, `text`) and extra columns are
-ignored. An empty table gives an empty ledger.
+are judged each on its own. Columns of the input are read by name (`text`, and those carried) and extra columns
+are ignored. An empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -48,19 +48,23 @@ def _covered(positions: Column, width: int = 3) -> Column:
     return F.aggregate(steps, F.lit(0).cast("long"), lambda total, step: total + step)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and the measurements of every whole text, one row a document."""
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_echo_words", "n_exclaims", "n_repeat_words")
+
+
+def measure(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns and MEASURES of every whole text, one row a document; a carried column of a measure's name is replaced by it."""
+    held = F.struct(*carry).alias("_carried")
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
     base = docs.select(
-        "doc_id",
+        held,
         words(text).alias("_w"),
         lines.alias("_lines"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
     )
     sized = base.select(
-        "doc_id", "n_symbols", "n_upper", "_w",
+        "_carried", "n_symbols", "n_upper", "_w",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.size("_lines").cast("long").alias("n_lines"),
@@ -75,15 +79,16 @@ def measure(docs: DataFrame) -> DataFrame:
     ranked = sized.select("*", F.sort_array("_windows").alias("_sorted"), echoes.alias("n_echo_words"), exclaims.alias("n_exclaims")).drop("_w", "_windows")
     again = F.filter("_sorted", lambda x, i: (x.h == F.get("_sorted", i - 1).h) | (x.h == F.get("_sorted", i + 1).h))
     hits = ranked.select("*", F.sort_array(F.transform(again, lambda x: x.p)).alias("_hits")).drop("_sorted")
-    return hits.select("*", F.when(F.size("_hits") > 0, _covered(F.col("_hits"))).otherwise(F.lit(0).cast("long")).alias("n_repeat_words")).drop("_hits")
+    all_of = hits.select("*", F.when(F.size("_hits") > 0, _covered(F.col("_hits"))).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"))
+    return all_of.select(*(F.col("_carried")[c].alias(c) for c in carry if c not in MEASURES), *MEASURES)
 
 
-def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Measurements and fail_bits (bit `rule.bit` is set where the rule fails), one row a document."""
+def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Carried columns, measurements and fail_bits (bit `rule.bit` is set where the rule fails), one row a document."""
     bits = F.lit(0).cast("long")
     for rule in rules:
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
-    return measure(docs).withColumn("fail_bits", bits)
+    return measure(docs, carry).withColumn("fail_bits", bits)
 
 
 def apply_policy(led: DataFrame, policy: str = "strict.v1") -> DataFrame:
@@ -91,6 +96,14 @@ def apply_policy(led: DataFrame, policy: str = "strict.v1") -> DataFrame:
     return led.withColumn("policy", F.lit(policy)).withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(POLICIES[policy])) == 0)
 
 
+def keep(docs: DataFrame, policy: str = "strict.v1") -> DataFrame:
+    """The documents, with all their columns, that the policy keeps."""
+    judged = apply_policy(ledger(docs.select(F.struct(*docs.columns).alias("_doc"), "text"), carry=("_doc",)), policy)
+    # A filter on what a generator makes stays above it, instead of being filled with copies of the rules' expressions.
+    sure = judged.select(F.inline(F.array(F.struct("_doc", F.col("kept").alias("_kept")))))
+    return sure.where("_kept").select("_doc.*")
+
+
 def ablation(led: DataFrame, policy: str = "strict.v1", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """For each rule of the policy: rule, n_failed, n_only (documents that would be kept without it), n_docs.
 
