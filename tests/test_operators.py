@@ -13,7 +13,7 @@ def rows(df, *by):
 
 def test_price_changes(spark):
     now = spark.createDataFrame([(1, 10.0, True), (2, 10.0, None), (3, None, False), (4, 5.0, True), (5, 5.0, True)], "k int, price double, available boolean")
-    seen = spark.createDataFrame([(1, True, 10.009, True), (2, True, 10.0, False), (3, True, 7.0, None), (4, False, 9.0, True)], "k int, ok boolean, price double, available boolean")
+    seen = spark.createDataFrame([(1, True, 10.008, True), (2, True, 10.0, False), (3, True, 7.0, None), (4, False, 9.0, True)], "k int, ok boolean, price double, available boolean")
     assert rows(offers.price_changes(now, seen, ["k"])) == [(1, "UNCHANGED", None, None), (2, "UPDATE", None, False), (3, "UPDATE", 7.0, None), (4, "ERROR", None, None), (5, "ERROR", None, None)]
     assert rows(offers.price_summary(offers.price_changes(now.limit(0), seen, ["k"]))) == [(0, 0, 0, 0)]
 
