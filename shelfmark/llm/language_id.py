@@ -84,8 +84,7 @@ class Model:
 
     def cross_entropy(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """(texts, languages): mean negative log2 probability of a text's letters."""
-        k = len(self.languages)
-        total = np.zeros((len(offsets) - 1, k))
+        total = np.zeros((len(offsets) - 1, len(self.languages)))
         full = grams(codes, offsets, ORDER)
         text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         at, n = np.arange(len(full)), ORDER
@@ -96,15 +95,14 @@ class Model:
             hit = self.keys[n - 1][place] == hashed
             self._add(total, text[at[hit]], self.log_p[n - 1], place[hit])
             at = at[~hit]
-            if n == 1:
-                for j in range(k):
-                    total[:, j] += np.bincount(text[at], minlength=len(total)) * -16.0  # uniform over 16-bit letters
-                break
             context = mix(gram[~hit] >> np.uint64(16))
             place = np.minimum(np.searchsorted(self.contexts[n - 1], context), len(self.contexts[n - 1]) - 1)
             hit = self.contexts[n - 1][place] == context
             self._add(total, text[at[hit]], self.backoff[n - 1], place[hit])
             n -= 1
+            if not n:
+                total -= 16.0 * np.bincount(text[at], minlength=len(total))[:, None]  # a letter never seen: uniform over 16 bits
+                break
         return -total / np.maximum(np.diff(offsets), 1)[:, None]
 
     @staticmethod
