@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import identity, matching, offers, ordering, pages, resolve, usage
+from ..operators import attributes, identity, listings, matching, offers, ordering, pages, planning, resolve, usage
 
 TABLES = "region|nation|customer|supplier|part|orders|lineitem|events|documents|pages|benchmark|labels|conversations"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -467,3 +467,75 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     t = rows(spark, sf_dir, r"select p_partkey as record_id, concat('Here:', chr(10), '- Brand: ', p_brand, chr(10), '* Model name : ', p_name, chr(10), 'Brand: other', chr(10), 'Size (GB): ', cast(p_size as string), ' GB', chr(10), 'Colour: n/a') as response_text from part")
     return pages.answers(t)
+
+
+# Attributes: names in several spellings, made of part columns.
+_PAIRS = (("Marca", "p_brand", 0), (" MODELO ", "concat(' ', p_name)", 1), ("marca", "'other'", 2), ("Part Number", "concat('P-', cast(p_partkey as varchar(20)))", 3), ("Avaliação", "'5'", 4), ("EAN", "gtin", 5), ("Size", "case when p_partkey % 2 = 0 then '' else cast(p_size as varchar(5)) end", 6))
+PAIRS = " union all ".join(f"select p_partkey as record_id, {pos} as pos, '{name}' as name, {value} as value from ({GTIN})" for name, value, pos in _PAIRS)
+
+
+@query("attribute_lookup", f"select p_partkey as record_id, unnest(['marca', 'modelo', 'part_number', 'avaliacao', 'ean']) as key, unnest([p_brand, p_name, 'P-' || p_partkey, '5', gtin]) as value from ({GTIN}) union all select p_partkey, 'size', p_size::varchar from part where p_partkey % 2 = 1")
+def _(spark, sf_dir):
+    return attributes.lookup(rows(spark, sf_dir, PAIRS))
+
+
+@query("attribute_aliases", f"select p_partkey as record_id, unnest(['code', 'label']) as field, unnest([gtin, p_name]) as value from ({GTIN})")
+def _(spark, sf_dir):
+    aliases = spark.createDataFrame([("code", "gtin", 1), ("code", "EAN", 2), ("code", "Part number", 3), ("label", "modelo", 1), ("label", "marca", 2)], "field string, alias string, priority int")
+    return attributes.by_alias(rows(spark, sf_dir, PAIRS), aliases)
+
+
+@query("attribute_merge", f"select record_id, name, value from (select *, row_number() over (partition by record_id order by pos) as r from ({PAIRS}) where value <> '') where r <= 4")
+def _(spark, sf_dir):
+    pairs = rows(spark, sf_dir, PAIRS)
+    return attributes.merge(pairs.where("pos < 3"), pairs, 4)
+
+
+@query("technical_attributes", f"select record_id, pos from ({PAIRS}) where pos <> 4")
+def _(spark, sf_dir):
+    return attributes.technical_only(rows(spark, sf_dir, PAIRS)).select("record_id", "pos")
+
+
+@query("identity_from_attributes", f"select p_partkey as record_id, p_brand as brand, p_name as model, 'P-' || p_partkey as mpn, case when p_partkey % 3 <> 0 then gtin end as gtin from ({GTIN})")
+def _(spark, sf_dir):
+    return attributes.identity_of(rows(spark, sf_dir, PAIRS))
+
+
+@query("affiliate_items", "select p_partkey as item_id, p_retailprice as price_min, case when p_partkey % 3 = 0 then null else p_retailprice + 1 end as price_max, (case p_partkey % 3 when 0 then 25 when 1 then 40 else 0 end)::double as discount, p_size::bigint as sales, 4.5::double as rating, p_partkey % 3 <> 2 as promo from part")
+def _(spark, sf_dir):
+    t = "select p_partkey as item_id, cast(p_retailprice as string) as price_min, case when p_partkey % 3 = 0 then '-1' else cast(p_retailprice + 1 as string) end as price_max, case p_partkey % 3 when 0 then '0.25' when 1 then '40' else '0' end as discount_rate, cast(p_size as string) as sales, '4.5' as rating from part"
+    return listings.affiliate_items(rows(spark, sf_dir, t))
+
+
+@query("title_matches", "select p_partkey as id, p_partkey % 3 <> 0 as words, p_partkey % 4 <> 0 and p_partkey % 5 <> 0 as same from part")
+def _(spark, sf_dir):
+    t = rows(spark, sf_dir, "select p_partkey as id, concat('RTX4060 ', case when p_partkey % 3 = 0 then 'qqq' else '' end) as q, concat('Card rtx 4060 ', p_size, 'GB', case when p_partkey % 4 = 0 then ' Ti' else '' end) as a, concat('RTX 4060 ', p_size + case when p_partkey % 5 = 0 then 1 else 0 end, ' gb') as b from part")
+    return t.select("id", listings.all_words(F.col("q"), F.col("a")).alias("words"), listings.same_variant(F.col("a"), F.col("b")).alias("same"))
+
+
+@query("admissible_offers", "select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem where l_extendedprice > 0 and l_linestatus = 'O' and l_returnflag <> 'R' and l_linenumber <> 1")
+def _(spark, sf_dir):
+    t = "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice as price, case when l_linestatus = 'O' then 'BRL' else 'USD' end as currency, case l_returnflag when 'R' then false when 'A' then true end as available, case when l_linenumber = 1 then 'none' else 'https://a.example/p' end as url from lineitem"
+    return listings.admissible(rows(spark, sf_dir, t)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("search_status", "select user_id as search_id, case when count(*) filter (value > 150) > 0 then 'FOUND' when bool_and(event_type <> 'error') then 'EMPTY' when bool_or(event_type <> 'error') then 'PARTIAL' else 'FAILED' end as status from events group by 1")
+def _(spark, sf_dir):
+    return listings.search_status(rows(spark, sf_dir, "select user_id as search_id, event_type <> 'error' as ok, case when value > 150 then 1 else 0 end as found from events"))
+
+
+@query("source_agreement", "select l_partkey as item, count(distinct l_suppkey % 7) as n_sources, string_agg(distinct 's' || (l_suppkey % 7), ',' order by 's' || (l_suppkey % 7)) as sources from lineitem group by 1")
+def _(spark, sf_dir):
+    return listings.agreement(rows(spark, sf_dir, "select l_partkey as item, concat('s', cast(l_suppkey % 7 as string)) as source from lineitem"))
+
+
+@query("base_patch", f"""with l as (select l.id, unnest(['brand', 'model', 'mpn', 'gtin']) as field, unnest([l.brand, l.model, l.mpn, l.gtin]) as old, unnest([r.brand, r.model, r.mpn, r.gtin]) as value from ({LISTINGS}) l join ({RECORDS}) r using (id))
+select id, field, value, case when old is null then 'FILL' else 'CONFLICT' end as action, true as is_identity from l where value is not null and (old is null or lower(old) <> lower(value))""")
+def _(spark, sf_dir):
+    return planning.base_patch(rows(spark, sf_dir, LISTINGS), rows(spark, sf_dir, RECORDS), "id", ["brand", "model", "mpn", "gtin"])
+
+
+@query("offer_payload", "select p_partkey as offer_id, case when p_partkey % 4 <> 0 then p_retailprice end as price, case when p_partkey % 4 <> 0 and p_partkey % 3 = 0 then p_retailprice + 5 end as previous, left('code ' || p_name || ' ' || p_name || ' ' || p_name, 20) as code, case when p_partkey % 2 = 0 then 'https://a.example/' || p_partkey end as url, case when p_partkey % 4 = 0 then 'NO_PRICE' end as error from part")
+def _(spark, sf_dir):
+    t = "select p_partkey as offer_id, case when p_partkey % 4 = 0 then 0 else p_retailprice end as price, p_retailprice + case when p_partkey % 3 = 0 then 5 else -5 end as previous, concat(' code  ', p_name, ' ', p_name, ' ', p_name) as code, concat('https://a.example/', case when p_partkey % 2 = 1 then repeat('x', 60) else '' end, cast(p_partkey as string)) as url from part"
+    return planning.offer_payload(rows(spark, sf_dir, t))
