@@ -10,9 +10,13 @@ Every pair so found is confirmed on its full shingle sets before it counts as a
 
 Groups are never expanded into all their pairs. Exact copies of a set become one node first. Then
 1. each key's members are compared with the key's first member (a star), which joins dense groups;
-2. what is still apart is compared completely: in each key whose members lie in several components, members of
-   different components are compared inside the task, in blocks of bounded size, and only pairs within RADIUS
-   leave it. These are confirmed and joined; then no pair under the threshold is left unexamined.
+2. what is still apart is compared completely: in each key whose members lie in several components, signatures
+   of different components are compared inside the task, in blocks of bounded size. Only which components hang
+   together within RADIUS leaves the task (a tree over them), which parts the nodes into groups that hold every
+   pair within RADIUS;
+3. in each group the full shingle sets of nodes of different components are compared, again inside tasks, block
+   against block, and only a tree over the linked nodes leaves them. Then no pair under the threshold is left
+   unexamined.
 Components are found by minimum labels with pointer jumping, each round checkpointed.
 
 Edge cases: fewer words than a shingle: the whole sequence is one shingle; null and blank texts have an empty
@@ -185,60 +189,124 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", F.col("new").alias("label"))
 
 
-def _across(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs within RADIUS of members of one key that lie in different components; compared in the task, block against block."""
+def _trees(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """For each of n items the least item that the edges join it with."""
+    label = np.arange(n)
+    while len(u):
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, u, low)
+        np.minimum.at(new, v, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def _blocked(rows: DataFrame, key: str, size: str) -> DataFrame:
+    """Each row once for each pair (i, j) of blocks of its key that its own block is in; a key of `size` rows has size / BLOCK blocks."""
+    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
+    spread = rows.withColumn("at", F.explode(meets)).withColumn("i", F.col("at.i")).withColumn("j", F.col("at.j")).drop("at", "blocks", size)
+    return spread.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def _groups(batches, key: str, columns: list[str], most: int = 1 << 14):
+    """Rows of whole groups (key, i, j) from sorted rows, some groups at a time: the columns and where each group starts."""
+    held = None
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            now = {c: batch.column(c).slice(at, most) for c in (*columns, key, "i", "j")}
+            if held is not None:
+                now = {c: pa.concat_arrays([held[c], now[c]]) for c in now}
+            ids = [np.asarray(now[c]) for c in (key, "i", "j")]
+            new = np.ones(len(ids[0]), bool)
+            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in ids])
+            starts = np.flatnonzero(new)
+            if len(starts) > 1:
+                yield {c: a.slice(0, starts[-1]) for c, a in now.items()}, starts[:-1]
+            held = {c: a.slice(starts[-1]) for c, a in now.items()}
+    if held is not None and len(held[key]):
+        yield held, np.array([0])
+
+
+def _edges_of(names: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
+    moved = np.flatnonzero(least != np.arange(len(least)))
+    return pa.RecordBatch.from_arrays([pa.array(names[least[moved]]), pa.array(names[moved])], names=["u", "v"])
+
+
+def _close(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges that join all components with nodes that are within RADIUS and share a key: a tree for each run of keys."""
     marked = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = marked.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.hash("node"), blocks)
-    rows = marked.join(mixed.select("key", "n"), "key").join(nodes.select("node", "sig"), "node").select("key", "node", "label", "sig", blocks.alias("blocks"), own.alias("own"))
-    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"))))
-    spread = rows.select("key", "node", "label", "sig", "own", meets.alias("at")).select("key", "at.i", "at.j", "node", "label", "sig", "own")
-
-    def compare(node, label, sig, own, i, j, starts):
-        """Pairs in groups of consecutive rows that start at `starts`."""
-        ends = np.append(starts[1:], len(node))
-        found = []
-        for size in np.unique(ends - starts):
-            if size < 2:
-                continue
-            group = starts[ends - starts == size]
-            a, b = np.triu_indices(size, 1)
-            for s in range(0, len(group), max(1, 400_000 // len(a))):
-                at = group[s : s + max(1, 400_000 // len(a)), None]
-                x, y = (at + a).ravel(), (at + b).ravel()
-                # in a group of two blocks the pairs inside a block belong to that block's own group
-                ok = (label[x] != label[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
-                x, y = x[ok], y[ok]
-                for t in range(0, len(x), 200_000):
-                    p, q = x[t : t + 200_000], y[t : t + 200_000]
-                    near = (sig[p] != sig[q]).sum(1) <= RADIUS
-                    found.append((node[p[near]], node[q[near]]))
-        if not found:
-            return None
-        u, v = (np.concatenate(z) for z in zip(*found, strict=True))
-        low, high = np.minimum(u, v), np.maximum(u, v)
-        pairs = np.unique(np.stack([low, high], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+    rows = marked.join(mixed.select("key", "n"), "key").join(nodes.select("node", "sig"), "node").select("key", "n", "node", "label", "sig")
 
     def run(batches):
-        held = None
-        for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, POSITIONS)
-            now = [np.asarray(batch.column(c)) for c in ("node", "label")] + [sig] + [np.asarray(batch.column(c)) for c in ("own", "i", "j", "key")]
-            now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            new = np.ones(len(now[0]), bool)
-            new[1:] = (now[6][1:] != now[6][:-1]) | (now[4][1:] != now[4][:-1]) | (now[5][1:] != now[5][:-1])
-            starts = np.flatnonzero(new)
-            last = starts[-1] if len(starts) else 0
-            if last and (out := compare(*(x[:last] for x in now[:6]), starts[:-1])) is not None:
-                yield out
-            held = [x[last:] for x in now]
-        if held is not None and len(held[0]) and (out := compare(*held[:6], np.array([0]))) is not None:
-            yield out
+        for got, starts in _groups(batches, "key", ["label", "sig", "own"]):
+            label, own, i, j = (np.asarray(got[c]) for c in ("label", "own", "i", "j"))
+            sig = np.frombuffer(b"".join(got["sig"].to_pylist()), "<u2").reshape(-1, POSITIONS)
+            sizes = np.diff(np.append(starts, len(label)))
+            found = [(starts[:0], starts[:0])]
+            for size in np.unique(sizes[sizes > 1]):
+                a, b = np.triu_indices(size, 1)
+                group, step = starts[sizes == size], max(1, 200_000 // len(a))
+                for s in range(0, len(group), step):
+                    at = group[s : s + step, None]
+                    x, y = (at + a).ravel(), (at + b).ravel()
+                    ok = (label[x] != label[y]) & ((i[x] == j[x]) | (own[x] != own[y]))  # pairs inside a block have a group of their own
+                    x, y = x[ok], y[ok]
+                    near = (sig[x] != sig[y]).sum(1) <= RADIUS
+                    found.append((x[near], y[near]))
+            u, v = (np.concatenate(z) for z in zip(*found, strict=True))
+            names, place = np.unique(label, return_inverse=True)
+            yield _edges_of(names, _trees(place[u], place[v], len(names)))
+
+    return _blocked(rows, "key", "n").mapInArrow(run, "u long, v long")
+
+
+def _linked(close: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame, share: int) -> DataFrame:
+    """Edges that join all components with linked nodes, among those that `close` joins: compared on full sets, a tree for each pair of blocks."""
+    groups = components(close).select(F.col("node").alias("label"), F.col("label").alias("g"))
+    marked = nodes.select("node", F.col("rep").alias("doc_id")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    wanted = cut(marked.join(groups, "label").select("node", "label", "g", "doc_id"))
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = docs.select("doc_id", "text").join(side, "doc_id").select("node", "label", "g", "text")
 
-    grouped = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return grouped.mapInArrow(run, "u long, v long")
+    def sets(batches):
+        for part in pieces(batches):
+            gram, at = shingles(*text_bytes(part.column("text")))
+            same = _set_sums(gram, at)[0] == np.asarray(part.column("node"))  # not another text under the same doc_id
+            blobs = pa.array([gram[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "label", "g")), blobs], names=["node", "label", "g", "grams"]).filter(pa.array(same))
+
+    sized = wanted.groupBy("g").agg(F.count("*").alias("n"))
+    rows = texts.mapInArrow(sets, "node long, label long, g long, grams binary").join(sized, "g")
+
+    def run(batches):
+        for got, starts in _groups(batches, "g", ["label", "grams", "own"], BLOCK):
+            for s, e in zip(starts, np.append(starts[1:], len(got["label"])), strict=True):
+                label, own, i, j = (np.asarray(got[c].slice(s, e - s)) for c in ("label", "own", "i", "j"))
+                names, place = np.unique(label, return_inverse=True)
+                if len(names) < 2:
+                    continue
+                grams = [np.frombuffer(x, np.uint64) for x in got["grams"].slice(s, e - s).to_pylist()]
+                sizes = np.array([len(x) for x in grams])
+                at = np.cumsum(sizes) - sizes
+                ids = np.unique(np.concatenate(grams), return_inverse=True)[1]
+                mark, found = np.zeros(len(ids), bool), [(starts[:0], starts[:0])]
+                for x in range(e - s - 1):
+                    mark[ids[at[x] : at[x] + sizes[x]]] = True
+                    both = np.add.reduceat(mark[ids[at[x + 1] :]].astype(np.int64), at[x + 1 :] - at[x + 1])
+                    mark[ids[at[x] : at[x] + sizes[x]]] = False
+                    y = np.arange(x + 1, e - s)
+                    ok = (100 * both >= share * (sizes[x] + sizes[y] - both)) & (label[y] != label[x]) & ((i[0] == j[0]) | (own[y] != own[x]))
+                    found.append((np.full(ok.sum(), x), y[ok]))
+                u, v = (np.concatenate(z) for z in zip(*found, strict=True))
+                yield _edges_of(names, _trees(place[u], place[v], len(names)))
+
+    return _blocked(rows, "g", "n").mapInArrow(run, "u long, v long")
 
 
 def links(docs: DataFrame, share: int = SHARE) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -252,15 +320,13 @@ def links(docs: DataFrame, share: int = SHARE) -> tuple[DataFrame, DataFrame, Da
     star = members.where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
     found = _confirmed(cut(_near(star, nodes)), nodes, docs, share)
     labels = components(found)
-    rest = cut(_across(members.select("key", "node"), nodes, labels).distinct())
-    more = _confirmed(rest, nodes, docs, share)
+    close = cut(_close(members.select("key", "node"), nodes, labels).distinct())
+    more = cut(_linked(close, nodes, labels, docs, share).distinct())
     if not more.isEmpty():
-        # A component counts as one node from here on, so the new links are few.
-        at = lambda c: F.coalesce(F.col(f"l{c}"), F.col(c))
-        lab = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-        over = more.join(lab("u"), "u", "left").join(lab("v"), "v", "left").select(at("u").alias("u"), at("v").alias("v")).distinct()
-        top = components(over).select(F.col("node").alias("low"), F.col("label").alias("top"))
-        every = labels.select("node", F.col("label").alias("low")).union(over.select(F.explode(F.array("u", "v")).alias("node")).select("node", F.col("node").alias("low"))).distinct()
+        # Its edges are between components; one of a single node has that node's number.
+        top = components(more).select(F.col("node").alias("low"), F.col("label").alias("top"))
+        single = more.select(F.explode(F.array("u", "v")).alias("node")).join(labels, "node", "left_anti")
+        every = labels.select("node", F.col("label").alias("low")).union(single.select("node", F.col("node").alias("low"))).distinct()
         labels = cut(every.join(top, "low", "left").select("node", F.coalesce("top", "low").alias("label")).distinct())
     return rows, nodes, labels
 
