@@ -218,6 +218,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, beam: int = BEAM,
                 for a in range(0, len(qids), 128):
                     got, _ = search(v, lists, q[a : a + 128], beam, EXPAND, row["shard"])
                     exact = (v[got].astype(np.float64) * q[a : a + 128, None, :].astype(np.float64)).sum(-1)
+                    exact[got < 0] = -np.inf
+                    # A shard's k + 1 best nodes (one may be the query's own) are all that can be among the k nearest.
+                    best = np.lexsort((ids[got], -exact), axis=1)[:, : k + 1]
+                    got, exact = np.take_along_axis(got, best, 1), np.take_along_axis(exact, best, 1)
                     of, at = np.nonzero(got >= 0)
                     yield pa.RecordBatch.from_arrays([pa.array(qids[a + of]), pa.array(ids[got[of, at]]), pa.array(exact[of, at])], names=["query_id", "node", "score"])
 
