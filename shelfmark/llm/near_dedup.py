@@ -38,7 +38,7 @@ from .common import cut, inside, mix, pieces, text_bytes, tokens, windows
 
 SHINGLE, SHARE = 5, 75
 POSITIONS, CHUNKS, RADIUS = 64, 16, 31
-BLOCK = 256
+BLOCK = 1024
 #: An explicit broadcast carries at most this many rows of two longs; beyond it, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 _rng = np.random.Generator(np.random.PCG64(64016))
@@ -257,8 +257,10 @@ def _close(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame
                     x, y = (at + a).ravel(), (at + b).ravel()
                     ok = (label[x] != label[y]) & ((i[x] == j[x]) | (own[x] != own[y]))  # pairs inside a block have a group of their own
                     x, y = x[ok], y[ok]
-                    near = (sig[x] != sig[y]).sum(1) <= RADIUS
-                    found.append((x[near], y[near]))
+                    for t in range(0, len(x), 200_000):
+                        p, q = x[t : t + 200_000], y[t : t + 200_000]
+                        near = (sig[p] != sig[q]).sum(1) <= RADIUS
+                        found.append((p[near], q[near]))
             u, v = (np.concatenate(z) for z in zip(*found, strict=True))
             names, place = np.unique(label, return_inverse=True)
             yield _edges_of(names, _trees(place[u], place[v], len(names)))
