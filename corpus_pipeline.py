@@ -22,12 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id (of rows that share it, the least text)."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    chosen = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    others = [c for c in docs.columns if c != "doc_id"]
-    one = chosen.groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in others if c != "text"))).alias("row"))
-    return one.select(*(F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns))
+    """One row of each group of near-duplicates: the one with the smallest doc_id (nulls last; of rows that share it, the least text)."""
+    return near_dedup.one_each(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

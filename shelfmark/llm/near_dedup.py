@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, inside, mix, pieces, text_bytes, tokens, windows
+from .common import WORD, cut, inside, mix, pieces, sized_broadcast, text_bytes, tokens, windows
 
 SHINGLE, SHARE = 5, 75
 POSITIONS, CHUNKS, RADIUS = 64, 16, 31
@@ -342,3 +342,30 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     out = rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("n_shingles") == 0)
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def one_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, one of each component: that of the least (doc_id, nulls last; text; other columns).
+
+    Texts, not doc_ids, are told apart (by their MD5), so a doc_id over several texts and rows without one count like
+    all others. Blank texts are nobody's copy: each stays, once a doc_id and text.
+    """
+    key = F.md5(F.col("text").cast("binary"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct("text", *others)
+    head = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    has_word = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    full = docs.where(has_word)
+    heads = cut(full.groupBy(key.alias("key")).agg(F.min(head).alias("head"), F.count("*").alias("n")))
+    keyed = full.select(key.alias("doc_id"), "text")
+    copied = sized_broadcast(heads.where("n > 1").select(F.col("key").alias("doc_id")))
+    texts = keyed.join(copied, "doc_id", "left_anti").union(keyed.join(copied, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    found = near_duplicates(texts).select(F.col("doc_id").alias("key"), "component_id")
+    placed = cut(heads.select("key", "head").join(found, "key"))
+    least = placed.groupBy(F.col("component_id").alias("of")).agg(F.min("head").alias("least"))
+    # Several texts of a component may share its least doc_id; the least text among them is chosen.
+    chosen = placed.join(least, (F.col("component_id") == F.col("of")) & (F.col("head") == F.col("least"))).select("key", F.col("head.id").alias("id"), "component_id")
+    first = full.withColumn("_key", key).join(chosen, (F.col("_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    one = first.groupBy("component_id").agg(F.min(F.struct("id", row.alias("row"))).alias("one")).select("one.id", "one.row")
+    blank = docs.where(~has_word).groupBy(F.col("doc_id").alias("id"), "text").agg(F.min(row).alias("row")).select("id", "row")
+    return one.union(blank).select(*(F.col("id").alias(c) if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -374,3 +374,17 @@ def test_pipeline(spark, tmp_path):
     for _, stage in pipeline.STAGES:
         empty = stage(spark, empty, "")
         assert empty.count() == 0
+
+
+def test_pipeline_keeps_one_row_a_component(spark):
+    """One doc_id over several texts, and rows without a doc_id: of each component exactly one row stays."""
+    import corpus_pipeline as pipeline
+
+    words = lambda name, at=None: " ".join("other" if i == at else f"{name}{i}" for i in range(120))
+    rows = [(7, words("a")), (7, words("b")), (1, words("x")), (5, words("x", 60)), (5, words("y")), (None, words("x", 30)), (None, words("c"))]
+    rows += [(None, words("d")), (None, words("d")), (None, words("d", 50)), (9, words("e")), (9, words("e", 10)), (9, words("e")), (3, ""), (4, None), (None, " ")]
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    want = [(7, words("a")), (7, words("b")), (1, words("x")), (5, words("y")), (None, words("c")), (None, min(words("d"), words("d", 50))), (9, min(words("e"), words("e", 10)))]
+    want += [(3, ""), (4, None), (None, " ")]
+    one = pipeline.dedup(spark, df, "")
+    assert one.columns == df.columns and sorted(map(str, want)) == sorted(str((r.doc_id, r.text)) for r in one.collect())
