@@ -89,19 +89,42 @@ def linked_product(rows: DataFrame) -> DataFrame:
 def similar_names(rows: DataFrame, other: DataFrame, least: float = 0.94) -> DataFrame:
     """a_id, b_id, ratio of same-brand names whose matching-blocks ratio is at least `least`: candidates only, never matches.
 
-    Blocked on brand and on lengths that can reach the ratio (2 * shorter / both); the exact ratio is computed on batches of pairs.
+    Blocked on brand and an exact bound: the ratio leaves at most d = (1 - least) * (both lengths) characters outside the
+    matching blocks. A name a is cut into as many segments and one more, so one of them stands whole in b, moved by no
+    more than d allows: an equi-join on length of a, segment number and segment. Then bags of characters are compared, then the ratio.
     """
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+        pairs = (SequenceMatcher(None, x, y) for x, y in zip(a, b, strict=True))
+        return pd.Series([m.ratio() if m.quick_ratio() >= least else 0.0 for m in pairs], dtype="float64")
 
+    slack, longer = f"{1 - least!r}D", f"{(2 - least) / least!r}D"  # 1e-9 against rounding: never a pair too few
+    n_parts = lambda n: f"(1 + cast(floor({slack} * ({n} + floor({n} * {longer} + 1e-9D)) + 1e-9D) as int))"
     side = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), S.key(F.col("brand")).alias(f"{p}_brand"), S.key(F.col("name")).alias(f"{p}_name")).where(f"{p}_brand is not null and {p}_name is not null")
-    a, b = side(rows, "a"), side(other, "b")
-    la, lb = F.length("a_name"), F.length("b_name")
-    pairs = a.join(b, (F.col("a_brand") == F.col("b_brand")) & (2 * F.least(la, lb) >= least * (la + lb)))
+    a = side(rows, "a").withColumn("n", F.length("a_name")).withColumn("m", F.expr(n_parts("n")))
+    a = a.withColumn("i", F.explode(F.expr("sequence(0, m - 1)"))).withColumn("part", F.expr("substring(a_name, n * i div m + 1, n * (i + 1) div m - n * i div m)"))
+    b = side(other, "b").withColumn("nb", F.length("b_name"))
+    b = b.withColumn("n", F.explode(F.expr(f"sequence(cast(ceil(nb / {longer} - 1e-9D) as int), cast(floor(nb * {longer} + 1e-9D) as int))"))).withColumn("m", F.expr(n_parts("n")))
+    b = b.withColumn("d", F.expr(f"cast(floor({slack} * (n + nb) + 1e-9D) as int)")).withColumn("i", F.explode(F.expr("sequence(0, m - 1)")))
+    b = b.withColumn("start", F.expr("n * i div m")).withColumn("size", F.expr("n * (i + 1) div m - start"))
+    places = "filter(sequence(cast(ceil((nb - n - d) / 2) as int), cast(floor((nb - n + d) / 2) as int)), s -> start + s >= 0 and start + s + size <= nb)"
+    b = b.withColumn("part", F.explode(F.expr(f"array_distinct(transform({places}, s -> substring(b_name, cast(start + s + 1 as int), cast(size as int))))")))
+    on = (F.col("a_brand") == F.col("b_brand")) & (F.col("a.n") == F.col("b.n")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.part") == F.col("b.part"))
+    pairs = a.alias("a").join(b.alias("b"), on).select("a_id", "a_name", "b_id", "b_name").distinct()
     return pairs.withColumn("ratio", ratio("a_name", "b_name")).where(F.col("ratio") >= least).select("a_id", "b_id", "ratio")
 
 
+def similar_classes(rows: DataFrame, least: float = 0.94) -> DataFrame:
+    """kind, a_id, b_id, ratio: a MEMBER row gives each id (b_id) its class, the smallest id (a_id) of the same brand and name;
+    a SIMILAR row links two classes of similar names. Rows without brand or name are a class each."""
+    named = rows.where("brand is not null and name is not null")
+    classes = named.groupBy("brand", "name").agg(F.min("id").alias("id"))
+    of = named.select("id", "brand", "name").join(classes.withColumnRenamed("id", "a_id"), ["brand", "name"]).select("a_id", F.col("id").alias("b_id"))
+    alone = rows.where("brand is null or name is null").select(F.col("id").alias("a_id"), F.col("id").alias("b_id"))
+    members = of.union(alone).select(F.lit("MEMBER").alias("kind"), "a_id", "b_id", F.lit(1.0).alias("ratio"))
+    return members.union(similar_names(classes, classes, least).where("a_id < b_id").select(F.lit("SIMILAR"), "a_id", "b_id", "ratio"))
+
+
 def rank_offers(pairs: DataFrame, by: list, keep: int) -> DataFrame:
     """The first `keep` rows of each a_id in the given order, with their rank."""
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a_id").orderBy(*by))).where(F.col("rank") <= keep)

@@ -222,8 +222,7 @@ def _(spark, sf_dir):
 @query("match_similar")
 def _(spark, sf_dir):
     some = "select p_partkey as id, p_brand as brand, concat(p_name, case when p_partkey % 2 = 0 then ' II' else '' end) as name from part"
-    names = rows(spark, sf_dir, some).groupBy("brand", "name").agg(F.min("id").alias("id"))
-    return matching.similar_names(names, names).where("a_id < b_id")
+    return matching.similar_classes(rows(spark, sf_dir, some))
 
 
 STORED = "select l_orderkey * 10 + l_linenumber as offer_id, l_partkey as product_id, l_suppkey % 5 as partner_id, concat('https://www.store', cast(l_suppkey % 5 as varchar(2)), '.example//p/', cast(l_partkey as varchar(20)), '/?q=', cast(l_linenumber as varchar(2))) as url from lineitem where l_orderkey % 3 = 0"

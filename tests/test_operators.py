@@ -30,6 +30,31 @@ def test_similar_names_are_candidates(spark):
     assert [(a, b) for a, b, _ in rows(matching.similar_names(t, t).where("a_id < b_id"))] == [(1, 2)]
 
 
+def test_similar_classes_hold_every_row_and_every_pair(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    draw, names = random.Random(5), []
+    for size in (1, 5, 8, 17, 20, 33, 50, 120):
+        for _ in range(4):
+            base = [draw.choice("abcde") for _ in range(size)]
+            for _ in range(6):
+                own = list(base)
+                for _ in range(draw.randrange(0, 1 + size // 12)):
+                    at = draw.randrange(len(own))
+                    own[at : at + 1] = draw.choice(([], [own[at], "x"], ["y"])) if len(own) > 1 else own
+                names.append("".join(own))
+    t = [(i, "A" if i % 5 else "B", n) for i, n in enumerate([*names, *names[:40]])] + [(900, None, names[0]), (901, "A", None)]
+    got = rows(matching.similar_classes(spark.createDataFrame(t, "id int, brand string, name string")))
+    first = {}
+    for i, brand, name in t:
+        first.setdefault((brand, name) if brand and name else i, i)
+    assert [(a, b) for kind, a, b, _ in got if kind == "MEMBER"] == sorted((first[(brand, name) if brand and name else i], i) for i, brand, name in t)
+    reps = [(i, k) for k, i in first.items() if isinstance(k, tuple)]
+    want = [(i, j) for i, (p, x) in reps for j, (q, y) in reps if i < j and p == q and SequenceMatcher(None, x, y).ratio() >= 0.94]
+    assert len(want) > 50 and [(a, b) for kind, a, b, _ in got if kind == "SIMILAR"] == sorted(want)
+
+
 def test_gap_fill_and_conflicts(spark):
     c = spark.createDataFrame([(1, "f", "S1", 1, ""), (1, "f", "S2", 2, "false"), (1, "f", "S3", 3, " FALSE "), (1, "f", "S4", 4, "true"), (1, "g", "S1", 1, None)], "record_id int, field string, source string, rank int, value string")
     assert rows(resolve.gap_fill(c)) == [(1, "f", "false", "S2", 2)]
