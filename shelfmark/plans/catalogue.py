@@ -177,6 +177,15 @@ def _(spark, sf_dir):
     return rows(spark, sf_dir, "select doc_id, left(text, 60) as t from documents").select("doc_id", S.key(t).alias("key"), S.token(t).alias("token"), S.spaced(t).alias("spaced"))
 
 
+TEXT_KEYS_WHOLE = ORACLES["text_keys"].replace("left(text, 60)", "text")
+
+
+@query("text_keys_whole", TEXT_KEYS_WHOLE)
+def _(spark, sf_dir):
+    t = F.col("text")
+    return rows(spark, sf_dir, "select doc_id, text from documents").select("doc_id", S.key(t).alias("key"), S.token(t).alias("token"), S.spaced(t).alias("spaced"))
+
+
 # Catalogue records from part; incoming listings are the same records with some keys blanked or altered.
 MODEL = "concat(replace(p_name, ' ', '-'), '-', cast(p_partkey as varchar(20)))"
 RECORDS = f"select p_partkey as id, p_brand as brand, {MODEL} as model, concat('MPN-', cast(p_partkey as varchar(20))) as mpn, gtin, concat(p_brand, ' ', p_name, ' ', cast(p_partkey as varchar(20))) as name from ({GTIN})"
