@@ -244,6 +244,14 @@ def _(spark, sf_dir):
     return matching.match_offers(rows(spark, sf_dir, FOUND), rows(spark, sf_dir, STORED))
 
 
+STORED_WHOLE = STORED.replace(" where l_orderkey % 3 = 0", "")
+
+
+@query("match_offers_whole", ORACLES["match_offers"].replace(STORED, STORED_WHOLE))
+def _(spark, sf_dir):
+    return matching.match_offers(rows(spark, sf_dir, FOUND), rows(spark, sf_dir, STORED_WHOLE))
+
+
 @query("partner_by_domain", r"""
 with p as (select s_suppkey as partner_id, s_suppkey as pos, 'site' || (s_suppkey % 5) || '.example' as domain from supplier),
 h as (select p_partkey as id, case p_partkey % 3 when 0 then 'shop.' else '' end || 'site' || (p_partkey % 7) || '.example' as host from part),
@@ -499,6 +507,12 @@ def _(spark, sf_dir):
     return attributes.merge(pairs.where("pos < 3"), pairs, 4)
 
 
+@query("attribute_merge_whole", ORACLES["attribute_merge"].replace("r <= 4", "r <= 350"))
+def _(spark, sf_dir):
+    pairs = rows(spark, sf_dir, PAIRS)
+    return attributes.merge(pairs.where("pos < 3"), pairs, 350)
+
+
 @query("technical_attributes", f"select record_id, pos from ({PAIRS}) where pos <> 4")
 def _(spark, sf_dir):
     return attributes.technical_only(rows(spark, sf_dir, PAIRS)).select("record_id", "pos")
