@@ -46,9 +46,9 @@ def text(html: Column) -> Column:
     return S.clean(out)
 
 
-def status(page_title: Column, body: Column) -> Column:
-    """BLOCKED, ERROR or OK."""
-    told = F.lower(F.concat_ws(" ", page_title, F.substring(body, 1, 2000)))
+def status(page_title: Column, body: Column, url: Column | None = None) -> Column:
+    """BLOCKED, ERROR or OK, by title, whole body and, if given, URL."""
+    told = F.lower(F.concat_ws(" ", page_title, body, *([] if url is None else [url])))
     blocked = told.rlike("captcha|access denied|verify you are human|unusual traffic")
     return F.when(blocked, "BLOCKED").when(told.rlike("page not found|not found \\(404\\)|error 404"), "ERROR").otherwise("OK")
 

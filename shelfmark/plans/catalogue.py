@@ -474,6 +474,12 @@ def _(spark, sf_dir):
     return rows(spark, sf_dir, "select page_id, html from pages").select("page_id", pages.heading(F.col("html")).alias("heading"), pages.title(F.col("html")).alias("title"))
 
 
+@query("page_status", """with t as (select page_id, lower(concat_ws(' ', html, url)) as x from pages)
+select page_id, case when regexp_matches(x, 'captcha|access denied|verify you are human|unusual traffic') then 'BLOCKED' when regexp_matches(x, 'page not found|not found \\(404\\)|error 404') then 'ERROR' else 'OK' end as status from t""")
+def _(spark, sf_dir):
+    return rows(spark, sf_dir, "select page_id, url, html from pages").select("page_id", pages.status(F.lit(None).cast("string"), F.col("html"), F.col("url")).alias("status"))
+
+
 @query("repeated_lines", "select doc_id, array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: not list_contains(l[1:i - 1], l[i])), lambda i: l[i]), chr(10)) as text from (select doc_id, string_split(text, chr(10)) as l from documents)")
 def _(spark, sf_dir):
     return rows(spark, sf_dir, "select doc_id, text from documents").select("doc_id", pages.drop_repeated_lines(F.col("text")).alias("text"))

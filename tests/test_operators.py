@@ -94,6 +94,11 @@ def test_page_text(spark):
     assert (r.t, r.m, r.h1) == ("A & B it costs R$ 1.234,50", 1234.5, "A &amp; B")
 
 
+def test_page_status_reads_the_whole_body_and_the_url(spark):
+    t = spark.createDataFrame([(1, "x " * 2000 + "Access denied", "https://a.example"), (2, "x " * 5000 + "Error 404", "https://a.example"), (3, "x", "https://a.example/captcha"), (4, "x", None)], "id int, body string, url string")
+    assert rows(t.select("id", pages.status(F.lit("t"), F.col("body"), F.col("url")))) == [(1, "BLOCKED"), (2, "ERROR"), (3, "BLOCKED"), (4, "OK")]
+
+
 def test_batches_and_sinks(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"ofertas": [{"id": "7", "url": "https://a.example/x", "preco": "1.234,56", "disponivel": "sim"}]}')
     (tmp_path / "a.csv").write_text("﻿ofertaId,link,precoAtual,status\n8,https://b.example,10.5,INDISPONIVEL\n", encoding="utf-8")
