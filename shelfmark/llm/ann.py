@@ -164,13 +164,13 @@ def _round(batches, work):
             yield pa.RecordBatch.from_arrays(arrays, names=["shard", "lists", "sims", "changed"])
 
 
-def build(vectors: DataFrame, shard_rows: int = SHARD_ROWS, k: int = NEIGHBOURS, rounds: int = 12, least: float = 0.01, seed: int = 11) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(packed, graph, members): each shard's vectors, its neighbour lists, and each node's k smallest vec_ids or so.
+def build(vectors: DataFrame, shard_rows: int = SHARD_ROWS, k: int = NEIGHBOURS, rounds: int = 12, least: float = 0.01, seed: int = 11, copies: int = 21) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(packed, graph, members): each shard's vectors, its neighbour lists, and each node's `copies` smallest vec_ids.
 
     vectors: rows of `valid`. A node is a distinct vector, numbered by its smallest vec_id.
     """
     same = Window.partitionBy("embedding").orderBy("vec_id")
-    ranked = vectors.distinct().withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= 21)
+    ranked = vectors.distinct().withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= copies)
     kept = cut(ranked)
     first = kept.where("nth = 1").select(F.col("vec_id").alias("id"), "embedding")
     n_shards = max(1, -(-first.count() // shard_rows))
@@ -200,7 +200,8 @@ def build(vectors: DataFrame, shard_rows: int = SHARD_ROWS, k: int = NEIGHBOURS,
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, beam: int = BEAM, **how) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row of `vectors` where `queries` holds (a condition on vec_id)."""
     rows = valid(vectors)
-    packed, graph, members = build(rows, **how)
+    beam = max(beam, k + 1)
+    packed, graph, members = build(rows, copies=k + 1, **how)  # one of the copies may be the query itself
     shards = packed.join(graph.select("shard", "lists"), "shard")
     asked = rows.where(queries).distinct().select(F.col("vec_id").alias("id"), "embedding")
     n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))

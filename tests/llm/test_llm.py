@@ -388,3 +388,10 @@ def test_pipeline_keeps_one_row_a_component(spark):
     want += [(3, ""), (4, None), (None, " ")]
     one = pipeline.dedup(spark, df, "")
     assert one.columns == df.columns and sorted(map(str, want)) == sorted(str((r.doc_id, r.text)) for r in one.collect())
+
+
+def test_nearest_neighbours_of_a_common_vector(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(80)] + [(100 + i, [0.5, 0.1 * i]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [r.vec_id for r in ann.nearest(df, F.col("vec_id") == 3, k=50).orderBy("rank").collect()]
+    assert got == [i for i in range(51) if i != 3]
