@@ -25,6 +25,7 @@ _LOWER[65:91] += 32
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = 0x9E3779B97F4A7C15
+KEPT_POWERS = 3 << 20
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -81,7 +82,9 @@ def powers(n: int, base: int = _P) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, b, np.uint64)
             p[0] = 1
             made.append(np.multiply.accumulate(p))
-        _powers[base] = have = (made[0], made[1])
+        have = (made[0], made[1])
+        if size <= KEPT_POWERS:  # what a single long text needs is not kept by the worker
+            _powers[base] = have
     return have
 
 
@@ -172,16 +175,15 @@ def crc_of(ids: list) -> np.ndarray:
 
 
 
-def bounded_sample(rows: DataFrame, kind: str, cap: int, most_kinds: int = 1000) -> DataFrame:
-    """About `cap` rows of each value of `kind` (all, where there are fewer), chosen by a hash of doc_id; one count a value reaches the driver."""
-    counts = rows.groupBy(kind).count().limit(most_kinds + 1).collect()
-    if len(counts) > most_kinds:
-        raise ValueError(f"more than {most_kinds} values of {kind}")
-    rate = F.lit(0.0)
-    for r in counts:
-        rate = F.when(F.col(kind) == F.lit(r[0]), F.lit(min(1.0, cap / r["count"]))).otherwise(rate)
-    unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 11) / float(1 << 53)
-    return rows.where(unit < rate)
+def bounded_sample(rows: DataFrame, kind: str, cap: int) -> DataFrame:
+    """About `cap` rows of each value of `kind` (all, where there are fewer), chosen by a hash of the whole row.
+
+    Rows that share a doc_id, or have none, are told apart by their other columns. The counts are joined back,
+    by broadcast where they are few, so any number of values will do.
+    """
+    counts = sized_broadcast(cut(rows.groupBy(F.col(kind).alias("_kind")).agg((F.lit(float(cap)) / F.count("*")).alias("_rate"))))
+    unit = F.shiftrightunsigned(F.xxhash64(*rows.columns, F.lit("sample")), 11) / float(1 << 53)
+    return rows.join(counts, F.col(kind) == F.col("_kind")).where(unit < F.col("_rate")).select(*rows.columns)
 
 
 def sized_broadcast(df: DataFrame, most: int = 1_000_000) -> DataFrame:
@@ -190,17 +192,27 @@ def sized_broadcast(df: DataFrame, most: int = 1_000_000) -> DataFrame:
 
 
 class Seen(dict):
-    """What a function has given, in two generations of at most `cap` entries: what is asked for again stays."""
+    """What a function has given, in two generations of about `most` bytes each: what is asked for again stays.
+
+    Keys of more than `longest` characters are worked out anew each time: they hardly come twice.
+    """
+
+    ENTRY = 150  # what a small key, its value and their places take beside their letters
 
-    def __init__(self, func, cap: int = 300_000):
-        self.func, self.cap, self.old = func, cap, {}
+    def __init__(self, func, most: int = 12 << 20, longest: int = 64):
+        self.func, self.most, self.longest, self.old, self.size = func, most, longest, {}, 0
 
     def __missing__(self, key):
-        if len(self) >= self.cap:
+        text = key[0] if isinstance(key, tuple) else key
+        if len(text) > self.longest:
+            return self.func(key)
+        if self.size >= self.most:
             self.old = dict(self)
             self.clear()
+            self.size = 0
         out = self.old.get(key)
         if out is None:
             out = self.func(key)
         self[key] = out
+        self.size += self.ENTRY + len(text) + (len(out) if isinstance(out, bytes) else 0)
         return out

@@ -1,6 +1,6 @@
 """Corpus-wide counts of 64-bit keys, asked for by batches of documents.
 
-Documents are dealt into batches of about `batch_bytes` of text by a hash of doc_id. A batch asks for each of
+Documents are dealt into batches of about `batch_bytes` of text by a hash of doc_id and text. A batch asks for each of
 its distinct keys once, as sorted arrays cut by key range into buckets (one row a batch and bucket that has
 keys, so no per-key rows); a bucket adds up what the batches have of each key and answers each batch in the
 order it asked. A frequent key is one entry a batch, however often it occurs, and the key ranges are even
@@ -22,10 +22,13 @@ REQUEST = "batch long, bucket long, keys binary, counts binary"
 
 
 def batches_of(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
-    """The documents with a column `batch`, and the number of batches (from the size of all texts)."""
+    """The documents with a column `batch`, and the number of batches (from the size of all texts).
+
+    The batch is a hash of doc_id and text, so rows that share a doc_id, or have none, are dealt out like all others.
+    """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // batch_bytes))
-    return docs.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n))), n
+    return docs.withColumn("batch", F.pmod(F.xxhash64(*(c for c in ("doc_id", "text") if c in docs.columns)), F.lit(n))), n
 
 
 def by_bucket(keys: np.ndarray, n_buckets: int) -> np.ndarray:

@@ -9,7 +9,7 @@ in any task. Slot j of a source stands for block perm(j mod blocks) of pass j //
 Feistel permutation of the block numbers; slots and blocks are joined by (source, block).
 
 Shuffled are the sizes of documents and block numbers, never texts; a source's documents are dealt out by
-buckets of about `bucket_docs`, so a hot source is spread. Only one row a source reaches the driver (at most
+a hash of the row into buckets of about `bucket_docs`, so hot sources and ids are spread. Only one row a source reaches the driver (at most
 MOST_SOURCES, else an error). The same input and seed give the same mix.
 
 Edge cases: null texts and texts without words have size 0 and taken 0; a null source is a source of its own,
@@ -19,13 +19,16 @@ an empty result. The sources' order, ties included, is by code point.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, words
+from .common import WORD, cut, words
 
+EXACT = 1_000_000_000  # numpy draws a hypergeometric number of fewer items than this
 WEIGHTS = (5, 2, 1)
 MOST_SOURCES = 100_000
 
@@ -52,11 +55,41 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float =
     return rows.select("source", "source_no", "source_size", F.least(F.col("cap"), F.coalesce(free["level"], F.lit(float("inf"))) * F.col("w")).alias("target"))
 
 
+def _drawn(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n slots drawn from good + bad are good ones: hypergeometric, exact below EXACT slots.
+
+    Beyond, its limits are drawn: binomial where one side is rare (off by about its share, under 1e-4), else normal.
+    """
+    total = good + bad
+    if total < EXACT:
+        return int(rng.hypergeometric(good, bad, n))
+    if good * 10_000 < total:
+        out = int(rng.binomial(good, n / total))
+    elif bad * 10_000 < total:
+        out = n - int(rng.binomial(bad, n / total))
+    elif n * 10_000 < total:
+        out = int(rng.binomial(n, good / total))
+    else:
+        share = good / total
+        out = round(rng.normal(n * share, math.sqrt(n * share * (1 - share) * ((total - n) / (total - 1)))))
+    return min(max(out, n - bad, 0), good, n)
+
+
 def _split(left: int, right: int, counts: np.ndarray, width: int, seed: int) -> np.ndarray:
     """How many of each source's slots fall to the shards left..mid of left..right."""
     mid = (left + right) // 2
-    take = min(int(counts.sum()), (mid - left) * width)
-    return np.random.default_rng([seed, left, right]).multivariate_hypergeometric(counts, take, method="marginals")
+    rest = int(counts.sum())
+    take = min(rest, (mid - left) * width)
+    rng = np.random.default_rng([seed, left, right])
+    if rest < EXACT:
+        return rng.multivariate_hypergeometric(counts, take, method="marginals")
+    out = np.zeros_like(counts)
+    for s in np.flatnonzero(counts):  # source by source, each given those before it
+        own = int(counts[s])
+        rest -= own
+        out[s] = _drawn(rng, own, rest, take)
+        take -= int(out[s])
+    return out
 
 
 def shard_counts(shard: int, n_shards: int, slots: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +129,8 @@ class Mix:
         n_buckets = max(1, -(-docs.count() // bucket_docs))
         size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
         h = F.xxhash64("doc_id", "source", F.coalesce("text", F.lit("")))
-        sized = docs.select("doc_id", "source", size.alias("size"), h.alias("row_hash"), F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets)).alias("bucket"))
+        # The texts are read once; what is kept of them is short.
+        sized = cut(docs.select("doc_id", "source", size.alias("size"), h.alias("row_hash")).withColumn("bucket", F.pmod(F.col("row_hash"), F.lit(n_buckets))))
         by_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
         by_source = by_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
         self.sources = targets(by_source)
@@ -139,7 +173,8 @@ class Mix:
         buckets = by_bucket.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("bucket_size").over(up_to), F.lit(0)).alias("bucket_start"))
         within = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "row_hash").rowsBetween(Window.unboundedPreceding, -1)
         placed = sized.withColumn("offset", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        placed = placed.join(buckets, placed["source"].eqNullSafe(buckets["s"]) & (placed["bucket"] == buckets["b"]))
+        # Both sides of this join and of those below grow with the documents: they are merged, never broadcast.
+        placed = placed.join(buckets.hint("merge"), placed["source"].eqNullSafe(buckets["s"]) & (placed["bucket"] == buckets["b"]))
         placed = placed.join(F.broadcast(table), placed["source"].eqNullSafe(table["src"]))  # at most MOST_SOURCES rows
         return placed.select("doc_id", "source", "row_hash", "size", "source_no", "source_size", "target", (F.col("bucket_start") + F.col("offset")).alias("start"))
 
@@ -150,14 +185,14 @@ class Mix:
         takes = self.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
         b = self.block_words
         overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - F.greatest(F.col("start"), F.col("block") * b)
-        return pieces.join(takes, ["source_no", "block"], "left").select(
+        return pieces.join(takes.hint("merge"), ["source_no", "block"], "left").select(
             "doc_id", "source", "row_hash", "size", "source_no", "start", "block", F.coalesce("times", F.lit(0)).alias("times"), overlap.alias("overlap")
         )
 
     def documents(self) -> DataFrame:
         """doc_id, size, source_size, target, taken: one row a document."""
         taken = self.block_takes().groupBy("source_no", "start").agg(F.sum(F.col("times") * F.col("overlap")).alias("taken"))
-        some = self.sized.where("size > 0").join(taken, ["source_no", "start"])
+        some = self.sized.where("size > 0").join(taken.hint("merge"), ["source_no", "start"])
         none = self.sized.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
         columns = ["doc_id", "size", "source_size", "target", "taken"]
         return some.select(*columns).unionByName(none.select(*columns))
@@ -173,7 +208,7 @@ class Mix:
         keyed = docs.withColumn("_h", h)
         keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "_h").orderBy("_h")))
         on = keyed["doc_id"].eqNullSafe(takes["d"]) & keyed["source"].eqNullSafe(takes["s"]) & (keyed["_h"] == takes["h"]) & (keyed["_nth"] == takes["nth"])
-        passes = keyed.join(takes.where(F.array_max("times") > 0), on).withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max("times"))))
+        passes = keyed.join(takes.where(F.array_max("times") > 0).hint("merge"), on).withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max("times"))))
         passes = passes.withColumn("_words", words(F.col("text")))
         first = F.floor(F.col("start") / self.block_words)
         chosen = F.filter("_words", lambda w, i: F.get("times", (F.floor((F.col("start") + i) / self.block_words) - first).cast("int")) >= F.col("_pass"))

@@ -118,7 +118,7 @@ def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
 
     def run(batches):
         of = shared.value[:-1].tolist().__getitem__
-        seen = Seen(lambda w: sum(map(of, f := features(w))) / len(f), 400_000)
+        seen = Seen(lambda w: sum(map(of, f := features(w))) / len(f))
         for part in pieces(batches):
             out = np.empty(part.num_rows)
             for i, text in enumerate(part.column("text").to_pylist()):

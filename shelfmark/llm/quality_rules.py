@@ -80,7 +80,10 @@ def measure(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     again = F.filter("_sorted", lambda x, i: (x.h == F.get("_sorted", i - 1).h) | (x.h == F.get("_sorted", i + 1).h))
     hits = ranked.select("*", F.sort_array(F.transform(again, lambda x: x.p)).alias("_hits")).drop("_sorted")
     all_of = hits.select("*", F.when(F.size("_hits") > 0, _covered(F.col("_hits"))).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"))
-    return all_of.select(*(F.col("_carried")[c].alias(c) for c in carry if c not in MEASURES), *MEASURES)
+    # What a generator makes is not replaced by the expressions behind it: a filter on a measure stays above it, instead
+    # of being pushed down as copies of them into the lambdas, where they would be worked out again for every word.
+    row = F.struct(*(F.col("_carried")[c].alias(c) for c in carry if c not in MEASURES), *MEASURES)
+    return all_of.select(F.inline(F.array(row)))
 
 
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -99,9 +102,7 @@ def apply_policy(led: DataFrame, policy: str = "strict.v1") -> DataFrame:
 def keep(docs: DataFrame, policy: str = "strict.v1") -> DataFrame:
     """The documents, with all their columns, that the policy keeps."""
     judged = apply_policy(ledger(docs.select(F.struct(*docs.columns).alias("_doc"), "text"), carry=("_doc",)), policy)
-    # A filter on what a generator makes stays above it, instead of being filled with copies of the rules' expressions.
-    sure = judged.select(F.inline(F.array(F.struct("_doc", F.col("kept").alias("_kept")))))
-    return sure.where("_kept").select("_doc.*")
+    return judged.where("kept").select("_doc.*")
 
 
 def ablation(led: DataFrame, policy: str = "strict.v1", rules: tuple[Rule, ...] = RULES) -> DataFrame:

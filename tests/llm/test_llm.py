@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -165,39 +166,49 @@ def test_pigeonhole_keys():
 
 
 def test_substring_dedup(texts, docs, none):
+    for size in (20_000, 1 << 30):
+        rows = substring_dedup.remove_repeats(docs, batch_bytes=size).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in rows) == brute_repeats(texts, texts)
+        assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in rows)
+    assert substring_dedup.remove_repeats(none).count() == 0
+
+
+def brute_repeats(rows, all_rows):
+    """(doc_id, n_words, n_removed, kept) of rows, by windows counted over all_rows."""
     seen = collections.Counter()
-    for _, t, *_ in texts:
+    for _, t, *_ in all_rows:
         w = split(t)
         seen.update(tuple(w[i : i + 35]) for i in range(len(w) - 34))
     want = []
-    for i, t, *_ in texts:
+    for i, t, *_ in rows:
         w = split(t)
         gone = [False] * len(w)
         for k in range(len(w) - 34):
             if seen[tuple(w[k : k + 35])] > 1:
                 gone[k : k + 35] = [True] * 35
         want.append((str(i), len(w), sum(gone), b" ".join(x for x, g in zip(w, gone) if not g).decode()))
-    for size in (20_000, 1 << 30):
-        rows = substring_dedup.remove_repeats(docs, batch_bytes=size).collect()
-        assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in rows) == sorted(want)
-        assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in rows)
-    assert substring_dedup.remove_repeats(none).count() == 0
+    return sorted(want)
 
 
-def test_fingerprint_index_is_incremental(spark, tmp_path):
+def test_fingerprint_index_judges_a_batch_against_history(spark, texts, tmp_path):
+    """Three batches, the index opened anew and compacted between them: each is judged against all before it and itself."""
+    frame = lambda rows: spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string")
     words = [f"w{i}" for i in range(80)]
-    first = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
-    second = spark.createDataFrame([(2, "new " + " ".join(words[20:])), (3, " ".join(f"n{i}" for i in range(60)))], "doc_id long, text string")
-    index = substring_dedup.FingerprintIndex(spark, str(tmp_path), 3)
-    index.append(first)
-    index.append(second)
-    before = {(r.bucket, bytes(r.keys)): r for r in index.rows().collect()}
-    assert len(index.runs) == 2 and before
-    index.compact()
-    assert len(index.runs) == 1
-    both = substring_dedup.FingerprintIndex(spark, str(tmp_path / "x"), 3)
-    both.append(first.union(second))
-    assert sorted((r.bucket, bytes(r.keys), bytes(r.counts)) for r in index.rows().collect()) == sorted((r.bucket, bytes(r.keys), bytes(r.counts)) for r in both.rows().collect())
+    parts = [texts[::3] + [(1, " ".join(words))], texts[1::3] + [(2, "new " + " ".join(words[20:]))], texts[2::3] + [(3, " ".join(words)), (4, " ".join(f"n{i}" for i in range(60)))]]
+    substring_dedup.FingerprintIndex.create(spark, str(tmp_path), 3)
+    before = []
+    for k, part in enumerate(parts):
+        index = substring_dedup.FingerprintIndex.open(spark, str(tmp_path))
+        assert index.n_buckets == 3 and len(index.runs) == min(k, 1)
+        rows = substring_dedup.ingest(index, frame(part), batch_bytes=20_000).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in rows) == brute_repeats(part, before + part)
+        before += part
+        index.compact()
+    again = substring_dedup.FingerprintIndex.create(spark, str(tmp_path / "x"), 3)
+    again.append(frame(before))
+    at_once, merged = ({(r.bucket, bytes(r["keys"]), bytes(r.counts)) for r in i.rows().collect()} for i in (again, index))
+    assert at_once == merged and len(index.runs) == 1
+    assert substring_dedup.ingest(index, frame(before[:0])).count() == 0
 
 
 def test_quality_rules(texts, docs, none):
@@ -215,6 +226,10 @@ def test_quality_rules(texts, docs, none):
     table = {r.rule: r for r in quality_rules.ablation(led).collect()}
     assert table["few_words"].n_docs == len(texts) and table["few_words"].n_failed == led.where("n_words < 50").count() and n <= len(texts)
     assert quality_rules.ledger(none).count() == 0
+    # A filter on any measure takes no longer than the ledger itself, a text of 30,000 words included.
+    began = time.time()
+    assert led.where("n_repeat_words > 0 and n_dup_lines >= 0").count() == sum(r.n_repeat_words > 0 for r in led.collect())
+    assert time.time() - began < 60
 
 
 def water_level(sizes, weights):
@@ -259,6 +274,10 @@ def test_mixing_parts():
     assert (sum(c for c, _ in counts) == slots).all()
     for a, b in zip(counts, counts[1:]):
         assert (a[1] + a[0] == b[1]).all()
+    slots = np.array([10**12, 3 * 10**11, 5, 10**7])  # beyond what numpy draws from at once
+    n = -(-int(slots.sum()) // 4096)
+    first, second, last = (mixing.shard_counts(i, n, slots, 4096, 5) for i in (0, 1, n - 1))
+    assert first[0].sum() == 4096 and (first[0] == second[1]).all() and (last[0] + last[1] == slots).all()
     for n in (1, 2, 3, 17, 1000):
         assert sorted(mixing.permuted(np.arange(n), n, 3)) == list(range(n))
     assert list(mixing.permuted(np.arange(100), 100, 3)) != list(mixing.permuted(np.arange(100), 100, 4))
