@@ -88,7 +88,7 @@ def powers(n: int, base: int = _P) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `most` bytes of text (one long text is a slice of its own), so that memory does not follow the batch size."""
     for batch in batches:
         ends = np.cumsum(_lengths(batch.column(text)))
@@ -98,6 +98,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2
             to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # a worker lives on for other tasks
 
 
 def _lengths(column: pa.Array) -> np.ndarray:

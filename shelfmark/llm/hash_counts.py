@@ -31,27 +31,46 @@ def batches_of(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> tuple[DataFra
     return docs.withColumn("batch", F.pmod(F.xxhash64(*(c for c in ("doc_id", "text") if c in docs.columns)), F.lit(n))), n
 
 
-def by_bucket(keys: np.ndarray, n_buckets: int) -> np.ndarray:
-    """Edges of the buckets' slices in sorted keys."""
-    step = (1 << 64) // n_buckets + 1
-    at = np.array([min(b * step, (1 << 64) - 1) for b in range(1, n_buckets)], np.uint64)
+def by_bucket(keys: np.ndarray, n_buckets: int, span: int = 1 << 64) -> np.ndarray:
+    """Edges of the buckets' slices in sorted keys, which are below `span`."""
+    step = span // n_buckets + 1
+    at = np.array([min(b * step, span - 1) for b in range(1, n_buckets)], np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, at), [len(keys)]])
 
 
-def request_rows(batch: int | None, keys: np.ndarray, counts: np.ndarray, n_buckets: int) -> pa.Table:
-    """Rows (batch, bucket, keys, counts) of sorted distinct keys."""
-    edges = by_bucket(keys, n_buckets)
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, byte plane by byte plane: the high planes are zero and take no room once compressed."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs, after that number."""
+    size = 1 if (most := counts.max(initial=0)) < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+
+
+def keys_in(table: pa.Table) -> list[np.ndarray]:
+    blobs = table.column("keys").to_pylist()
+    return [np.cumsum(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64) for x in blobs]
+
+
+def counts_in(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64) for x in table.column("counts").to_pylist()]
+
+
+def request_rows(batch: int | None, keys: np.ndarray, counts: np.ndarray, n_buckets: int, span: int = 1 << 64) -> pa.Table:
+    """Rows (batch, bucket, keys, counts) of sorted distinct keys, packed."""
+    edges = by_bucket(keys, n_buckets, span)
     full = np.flatnonzero(np.diff(edges))
-    cut = lambda a, kind: [a[edges[b] : edges[b + 1]].astype(kind).tobytes() for b in full]
-    columns = {"batch": pa.array([batch] * len(full), pa.int64()), "bucket": pa.array(full, pa.int64()), "keys": pa.array(cut(keys, "<u8"), pa.binary()), "counts": pa.array(cut(counts, "<i8"), pa.binary())}
-    return pa.table(columns)
+    cut = lambda a, pack: pa.array([pack(a[edges[b] : edges[b + 1]]) for b in full], pa.binary())
+    return pa.table({"batch": pa.array([batch] * len(full), pa.int64()), "bucket": pa.array(full, pa.int64()), "keys": cut(keys, pack_keys), "counts": cut(counts, pack_counts)})
 
 
-def requests(batched: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], n_buckets: int) -> DataFrame:
+def requests(batched: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], n_buckets: int, span: int = 1 << 64) -> DataFrame:
     """What the batches ask for; keys_of gives a batch's sorted distinct keys and how often it has each."""
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        return request_rows(key[0].as_py(), *keys_of(table), n_buckets)
+        return request_rows(key[0].as_py(), *keys_of(table), n_buckets, span)
 
     return batched.groupBy("batch").applyInArrow(ask, REQUEST)
 
@@ -70,11 +89,11 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 def answers(table: pa.Table, bucket: int, sums: np.ndarray, place: np.ndarray, lengths: list[int]) -> pa.Table:
     """Rows (batch, bucket, counts) with the sums in the order of each request."""
     edges = np.cumsum([0, *lengths])
-    out = [sums[place[a:b]].astype("<i8").tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+    out = [pack_counts(sums[place[a:b]]) for a, b in zip(edges, edges[1:], strict=False)]
     return pa.table({"batch": table.column("batch"), "bucket": pa.array([bucket] * len(out), pa.int64()), "counts": pa.array(out, pa.binary())})
 
 
 def in_key_order(replies: pa.Table) -> np.ndarray:
     """A batch's answers in the order of its sorted keys."""
-    rows = sorted(zip(replies.column("bucket").to_pylist(), replies.column("counts").to_pylist(), strict=True))
-    return np.concatenate([np.frombuffer(c, "<i8") for _, c in rows]) if rows else np.zeros(0, np.int64)
+    parts = sorted(zip(replies.column("bucket").to_pylist(), counts_in(replies), strict=True), key=lambda x: x[0])
+    return np.concatenate([c for _, c in parts]) if parts else np.zeros(0, np.int64)

@@ -8,8 +8,9 @@ every known word and one for unknown ones. Each text is read once from left to r
 is the longest seen context; where it has no arc for the next word, failure arcs are followed, their log
 weights added, until one has. A batch's texts are read together, as arrays.
 
-Only the arcs and states that a batch's texts can reach are brought to it, by a hashed count exchange
-(`hash_counts`), so the model is never in one place and grows with the corpus.
+Only the arcs and states that a batch's texts can reach are brought to it: the counts of its n-grams come by a
+hashed count exchange (`hash_counts`), and the batch builds its part of the automaton from them (`automaton`), so
+the model is never in one place and grows with the corpus.
 
 Tokens are words with A-Z in lower case, and one end token a text. Edge cases: a null or blank text is just
 its end token; repeated rows count and score each on its own; a null doc_id is hashed as an empty text for the
@@ -19,6 +20,8 @@ token); an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +32,7 @@ from .common import crc_mod, mix, pieces, text_bytes, tokens
 
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _A = np.uint64(0x2545F4914F6CDD1D)
+HASH = 54  # bits: with the order's two, five bytes a key once sorted and packed
 STATS = ("total", "kinds", "once", "twice")
 
 
@@ -44,7 +48,7 @@ def sequences(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ngram_keys(toks: np.ndarray, offsets: np.ndarray, order: int) -> list[np.ndarray]:
-    """For n = 1..order the key of the n-gram that ends at each token; the lowest two bits hold n - 1."""
+    """For n = 1..order the key of the n-gram that ends at each token: n - 1, then HASH bits."""
     firsts = offsets[:-1]
     out, context, back = [], np.zeros(len(toks), np.uint64), toks
     for n in range(order):
@@ -52,39 +56,125 @@ def ngram_keys(toks: np.ndarray, offsets: np.ndarray, order: int) -> list[np.nda
             back = np.concatenate([[BEGIN], back[:-1]]) if len(back) else back
             back[firsts] = BEGIN
             context = mix(context * _A + back)
-        out.append(mix(context * _A + toks) & ~np.uint64(3) | np.uint64(n))
+        out.append(mix(context * _A + toks) >> np.uint64(64 - HASH) | np.uint64(n << HASH))
     return out
 
 
-def _contexts(counts: list[np.ndarray], offsets: np.ndarray, n_texts: int) -> list[np.ndarray]:
-    """c(h) of each token's context of 1..order-1 tokens: the count of that n-gram where it ended, one token before."""
-    out = []
-    for c in counts[:-1]:
-        h = np.concatenate([[0], c[:-1]]) if len(c) else c
-        h[offsets[:-1]] = n_texts
-        out.append(h)
-    return out
-
+@dataclass(frozen=True)
+class Automaton:
+    """State 0 has no context, states 1..order-1 are as many text starts, the others are contexts of one token or more.
+
+    arcs: sorted state * n_words + word; to and weight (log10): where each leads and what it adds. fail and fail_weight:
+    of each state its next shorter context and what is added for going there. A word without an arc from state 0 adds `unknown`.
+    """
+
+    n_words: int
+    arcs: np.ndarray
+    to: np.ndarray
+    weight: np.ndarray
+    fail: np.ndarray
+    fail_weight: np.ndarray
+    begin: int
+    unknown: float
+
+    def walk(self, words: np.ndarray, offsets: np.ndarray, order: int, stretch: int = 64) -> np.ndarray:
+        """What each token adds. Texts are read from left to right, many at a time: at each step every reader takes its next word.
+
+        A long text is read in stretches by as many readers: each starts order - 1 words early without counting them, after
+        which its state is that of a reader that comes from the beginning.
+        """
+        sizes = np.diff(offsets)
+        readers = -(-sizes // stretch)
+        text = np.repeat(np.arange(len(sizes)), readers)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(readers) - readers, readers)
+        first = offsets[text] + nth * stretch
+        end = np.minimum(first + stretch, offsets[text + 1])
+        at = np.maximum(first - (order - 1), offsets[text])
+        by = np.argsort(at - end, kind="stable")  # the longest way first, so that those who are done are the last
+        first, end, at = first[by], end[by], at[by]
+        state = np.where(at == offsets[text[by]], self.begin, 0)
+        steps, out = end - at, np.zeros(len(words))
+        for step in range(int(steps[0]) if len(steps) else 0):
+            n = int(np.searchsorted(-steps, -step, side="left"))  # readers with a way of more than `step`
+            here = at[:n] + step
+            added, state[:n] = self.read(state[:n], words[here])
+            counts = here >= first[:n]
+            out[here[counts]] = added[counts]
+        return out
 
-def traverse(counts: list[np.ndarray], offsets: np.ndarray, stats: dict[str, int], n_texts: int, mu: float) -> np.ndarray:
-    """log10 P of every token: the unigram arc, or for each seen context its arc, else its failure arc's weight times what the shorter one gives."""
-    total, kinds = stats["total"], stats["kinds"]
+    def read(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One word for each reader: along its state's arc, or along failure arcs until a state has one."""
+        added, state, left = np.zeros(len(state)), state.copy(), np.arange(len(state))
+        while len(left):
+            asked = state[left] * self.n_words + word[left]
+            place = np.minimum(np.searchsorted(self.arcs, asked), len(self.arcs) - 1)
+            hit = self.arcs[place] == asked
+            added[left[hit]] += self.weight[place[hit]]
+            state[left[hit]] = self.to[place[hit]]
+            left = left[~hit]
+            stuck = state[left] == 0
+            added[left[stuck]] += self.unknown
+            left = left[~stuck]
+            added[left] += self.fail_weight[state[left]]
+            state[left] = self.fail[state[left]]
+        return added, state
+
+
+def automaton(places: list[np.ndarray], offsets: np.ndarray, counts: np.ndarray, stats: dict[str, int], n_texts: int, mu: float) -> Automaton:
+    """The part of the model that these texts can reach, from the counts of their n-grams.
+
+    places: for n = 1..order the number of the n-gram that ends at each token (shorter ones have lower numbers); counts: of each n-gram.
+    """
+    order, total, n_words = len(places), stats["total"], int(places[0].max(initial=-1)) + 1
     d = stats["once"] / (stats["once"] + 2 * stats["twice"]) if stats["once"] and stats["twice"] else 0.5
-    if not total:
-        return np.zeros(len(counts[0]))
-    p = np.where(counts[0] > 0, (counts[0] - d) / total, d * kinds / total)
-    for c, h in zip(counts[1:], _contexts(counts, offsets, n_texts), strict=True):
-        p = np.where(h > 0, (c + mu * p) / (h + mu), p)
-    return np.log10(p)
-
-
-def score(docs: DataFrame, train: Column, order: int = 2, mu: float = 400.0, batch_bytes: int = hc.BATCH_BYTES) -> DataFrame:
+    known = counts > 0
+    ends = [int(p.max(initial=-1)) + 1 for p in places]  # where the numbers of each order end
+    state_of = np.where(known, np.cumsum(known) + order - 1, 0)
+    n_states = order + int(known[: ends[-2]].sum()) if order > 1 else 1
+    fail, held = np.zeros(n_states, np.int64), np.zeros(n_states)
+    fail[1:order], held[1:order] = np.arange(order - 1), n_texts
+    begins = np.zeros(len(places[0]), bool)
+    begins[offsets[:-1]] = True
+    seen_at, chance = np.zeros(len(counts), np.int64), np.zeros(len(counts))
+    arcs, to = [], []
+    for n, place in enumerate(places, 1):
+        seen_at[place] = np.arange(len(place))  # some token where the n-gram ends
+        own = np.arange(ends[n - 2] if n > 1 else 0, ends[n - 1])
+        own = own[known[own]]
+        at = seen_at[own]
+        if n == 1:
+            source, chance[own] = np.zeros(len(own), np.int64), (counts[own] - d) / max(total, 1)
+        else:
+            before = places[n - 2][at - 1]
+            source = np.where(begins[at], n - 1, state_of[before])
+            seen = np.where(begins[at], n_texts, counts[before])
+            chance[own] = (counts[own] + mu * chance[places[n - 2][at]]) / (seen + mu)
+        if n < order:
+            state = state_of[own]
+            fail[state], held[state] = state_of[places[n - 2][at]] if n > 1 else 0, counts[own]
+        arcs.append(source * n_words + places[0][at])
+        to.append(state_of[own] if n < order else state_of[places[n - 2][at]] if n > 1 else np.zeros(len(own), np.int64))
+    arcs, to = np.concatenate(arcs), np.concatenate(to)
+    by = np.argsort(arcs)
+    weight = np.log10(chance[known])  # n-grams are in order of their numbers here as in `arcs`
+    return Automaton(n_words, arcs[by], to[by], weight[by], fail, np.log10(mu / (held + mu)), order - 1 if n_texts else 0, float(np.log10(d * stats["kinds"] / total)) if total else 0.0)
+
+
+def token_scores(places: list[np.ndarray], offsets: np.ndarray, counts: np.ndarray, stats: dict[str, int], n_texts: int, mu: float) -> np.ndarray:
+    """log10 P of every token; 0 where nothing was learnt."""
+    if not stats["total"]:
+        return np.zeros(len(places[0]))
+    return automaton(places, offsets, counts, stats, n_texts, mu).walk(places[0], offsets, len(places))
+
+
+def score(docs: DataFrame, train: Column, order: int = 3, mu: float = 150.0, batch_bytes: int = hc.BATCH_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: learns from rows where `train` holds, scores all."""
     if not 1 <= order <= 4:
         raise ValueError("order is 1 to 4")
     rows = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
     batched, n_batches = hc.batches_of(rows, batch_bytes)
-    n_buckets = max(1, n_batches * batch_bytes * order // 6 // hc.BUCKET_KEYS)
+    n_buckets = order * max(1, n_batches * batch_bytes // 6 // hc.BUCKET_KEYS)
+    span = order << HASH  # as many buckets for each order, those of single tokens first
 
     def distinct(table: pa.Table) -> tuple:
         toks, offsets = sequences(table)
@@ -98,34 +188,36 @@ def score(docs: DataFrame, train: Column, order: int = 2, mu: float = 400.0, bat
         return found, np.bincount(place[learn], minlength=len(found))
 
     def total_up(key: tuple, table: pa.Table) -> pa.Table:
-        keys = hc.unpack(table, "keys", "<u8")
-        found, sums, place = hc.summed(keys, hc.unpack(table, "counts", "<i8"))
-        out = hc.answers(table, key[0].as_py(), sums, place, [len(k) for k in keys])
-        own = sums[(found & np.uint64(3) == 0) & (sums > 0)]
-        stats = [int(own.sum()), len(own), int((own == 1).sum()), int((own == 2).sum())]
-        blank = {"batch": pa.array([None], pa.int64()), "bucket": pa.array([None], pa.int64()), "counts": pa.array([None], pa.binary())}
-        out = pa.concat_tables([out, pa.table(blank)])
-        for i, name in enumerate(STATS):
-            out = out.append_column(name, pa.array([None] * (out.num_rows - 1) + [stats[i]], pa.int64()))
-        return out
-
-    asked = hc.requests(batched, keys_of, n_buckets)
-    totals = asked.groupBy("bucket").applyInArrow(total_up, "batch long, bucket long, counts binary, " + ", ".join(f"{s} long" for s in STATS))
+        keys = hc.keys_in(table)
+        _, sums, place = hc.summed(keys, hc.counts_in(table))
+        return hc.answers(table, key[0].as_py(), sums, place, [len(k) for k in keys])
+
+    def statistics(key: tuple, table: pa.Table) -> pa.Table:
+        own = np.zeros(0, np.int64)
+        if key[0].as_py() < n_buckets // order:  # the others have no single tokens
+            found, sums, _ = hc.summed(hc.keys_in(table), hc.counts_in(table))
+            own = sums[(sums > 0) & (found < np.uint64(1 << HASH))]
+        return pa.table(dict(zip(STATS, ([int(own.sum())], [len(own)], [int((own == 1).sum())], [int((own == 2).sum())]), strict=True)))
+
+    asked = hc.requests(batched, keys_of, n_buckets, span)
+    replies = asked.groupBy("bucket").applyInArrow(total_up, "batch long, bucket long, counts binary")
     learnt = rows.agg(F.count_if("train").alias("n_texts"))
-    stats = totals.where("batch is null").agg(*(F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in STATS)).crossJoin(learnt)  # one row
-    replies = totals.where("batch is not null").select("batch", "bucket", "counts").crossJoin(F.broadcast(stats))
+    by_bucket = asked.groupBy("bucket").applyInArrow(statistics, ", ".join(f"{s} long" for s in STATS))
+    stats = by_bucket.agg(*(F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in STATS)).crossJoin(learnt)  # one row
+    replies = replies.crossJoin(F.broadcast(stats))
 
     def read(texts: pa.Table, replies: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return schema.empty_table()
         _, place, learn, offsets = distinct(texts)
         of = {s: replies.column(s)[0].as_py() for s in (*STATS, "n_texts")}
-        counts = np.split(hc.in_key_order(replies)[place], order)
-        log_p = traverse(counts, offsets, of, of["n_texts"], mu)
-        base = np.log10((counts[0] + 1) / (of["total"] + of["kinds"] + 1))
+        counts, places = hc.in_key_order(replies), np.split(place, order)
+        log_p = token_scores(places, offsets, counts, of, of["n_texts"], mu)
+        own = counts[places[0]]
+        base = np.log10((own + 1) / (of["total"] + of["kinds"] + 1))
         add = lambda x: np.add.reduceat(x, offsets[:-1])
         return pa.table({
-            "doc_id": texts.column("doc_id"), "held_out": pa.array(~learn[: offsets[-1]][offsets[:-1]]), "n_tokens": np.diff(offsets), "n_known": add((counts[0] > 0).astype(np.int64)),
+            "doc_id": texts.column("doc_id"), "held_out": pa.array(~learn[: offsets[-1]][offsets[:-1]]), "n_tokens": np.diff(offsets), "n_known": add((own > 0).astype(np.int64)),
             "train_tokens": np.full(len(offsets) - 1, of["total"]), "base_score": add(base), "score": add(log_p),
         }, schema=schema)
 

@@ -160,8 +160,8 @@ class FingerprintIndex:
 
     def _write(self, rows: DataFrame) -> str:
         def merged(key: tuple, table: pa.Table) -> pa.Table:
-            keys, counts, _ = hc.summed(hc.unpack(table, "keys", "<u8"), hc.unpack(table, "counts", "<i8"))
-            return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
+            keys, counts, _ = hc.summed(hc.keys_in(table), hc.counts_in(table))
+            return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "keys": pa.array([hc.pack_keys(keys)], pa.binary()), "counts": pa.array([hc.pack_counts(counts)], pa.binary())})
 
         name = f"run-{self.version:05d}-{uuid.uuid4().hex}"
         rows.groupBy("bucket").applyInArrow(merged, RUN).write.parquet(f"{self.path}/{name}/fingerprints")
@@ -190,10 +190,10 @@ class FingerprintIndex:
         """For each fingerprint asked for a bit: whether `least` places or more chose it, over some or all runs."""
 
         def join(key: tuple, asked: pa.Table, runs: pa.Table) -> pa.Table:
-            parts = hc.unpack(asked, "keys", "<u8")
+            parts = hc.keys_in(asked)
             wanted, place = np.unique(np.concatenate(parts), return_inverse=True) if parts else (np.zeros(0, np.uint64), None)
             total = np.zeros(len(wanted), np.int64)
-            for keys, counts in zip(hc.unpack(runs, "keys", "<u8"), hc.unpack(runs, "counts", "<i8"), strict=True):
+            for keys, counts in zip(hc.keys_in(runs), hc.counts_in(runs), strict=True):
                 _, here, there = np.intersect1d(wanted, keys, assume_unique=True, return_indices=True)  # a merge: both are sorted
                 total[here] += counts[there]
             ends = np.cumsum([len(p) for p in parts])

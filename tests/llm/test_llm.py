@@ -89,21 +89,80 @@ def test_lm_counts_and_probabilities(texts, docs, none):
     assert lm_score.score(none, lm_score.training_rows()).count() == 0
 
 
+class DictionaryModel:
+    """Interpolated probabilities and a backoff automaton in dictionaries, one token at a time."""
+
+    def __init__(self, seqs, order, mu):
+        self.order, self.mu, self.n = order, mu, [collections.Counter() for _ in range(order + 1)]
+        for s in seqs:
+            s = ["^"] * (order - 1) + [*s, None]
+            for i in range(order - 1, len(s)):
+                for n in range(1, order + 1):
+                    self.n[n][tuple(s[i - n + 1 : i + 1])] += 1
+        for k in range(1, order):
+            self.n[k][("^",) * k] = len(seqs)
+        uni = {w: c for (w,), c in self.n[1].items() if w != "^"}
+        once, twice = sum(c == 1 for c in uni.values()), sum(c == 2 for c in uni.values())
+        self.total, self.kinds, self.d = sum(uni.values()), len(uni), once / (once + 2 * twice) if once and twice else 0.5
+        self.uni = uni
+
+    def p(self, context, word):
+        if not context:
+            return (self.uni[word] - self.d) / self.total if word in self.uni else self.d * self.kinds / self.total
+        below, seen = self.p(context[1:], word), self.n[len(context)][context]
+        return (self.n[len(context) + 1][(*context, word)] + self.mu * below) / (seen + self.mu) if seen else below
+
+    def walk(self, words):
+        """log10 of each token and the end: the state is the longest seen context; without an arc its failure arc is taken."""
+        state, out = ("^",) * (self.order - 1), []
+        for w in [*words, None]:
+            total = 0.0
+            while state and not self.n[len(state) + 1][(*state, w)]:
+                total += math.log10(self.mu / (self.n[len(state)][state] + self.mu))
+                state = state[1:]
+            out.append(total + math.log10(self.p(state, w)))
+            state = (*state, w) if state or w in self.uni else ()
+            while len(state) >= self.order or (state and not self.n[len(state)][state]):
+                state = state[1:]
+        return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm_automaton_token_by_token(texts, order):
+    rows = [t for _, t, *_ in texts[:45]] + ["", "a", "b a b a c a b", " ".join(["x y z"] * 70)]
+    seqs = [[w.lower() for w in split(t)] for t in rows]
+    learn = [i % 3 != 0 for i in range(len(rows))]
+    model = DictionaryModel([s for s, yes in zip(seqs, learn) if yes], order, 5.0)
+    import pyarrow as pa
+
+    toks, offsets = lm_score.sequences(pa.table({"text": rows}))
+    found, place = np.unique(np.concatenate(lm_score.ngram_keys(toks, offsets, order)), return_inverse=True)
+    own = np.tile(np.repeat(learn, np.diff(offsets)), order)
+    counts = np.bincount(place[own], minlength=len(found))
+    stats = {"total": model.total, "kinds": model.kinds, "once": sum(c == 1 for c in model.uni.values()), "twice": sum(c == 2 for c in model.uni.values())}
+    places = np.split(place, order)
+    got = lm_score.token_scores(places, offsets, counts, stats, sum(learn), 5.0)
+    assert np.allclose(got, [x for s in seqs for x in model.walk(s)], atol=1e-9)
+    for stretch in (1, 7, 10_000):
+        assert np.allclose(got, lm_score.automaton(places, offsets, counts, stats, sum(learn), 5.0).walk(places[0], offsets, order, stretch))
+
+
+def test_lm_scores_of_documents(texts, docs):
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    seqs = [(i, [w.lower() for w in split(t)]) for i, t, *_ in texts]
+    model = DictionaryModel([s for i, s in seqs if not held(i)], 3, 150.0)
+    want = sorted((str(i), round(sum(model.walk(s)), 5)) for i, s in seqs)
+    rows = lm_score.score(docs, lm_score.training_rows(), batch_bytes=40_000).collect()
+    for (i, a), (j, b) in zip(sorted((str(r.doc_id), round(r.score, 5)) for r in rows), want, strict=True):
+        assert i == j and abs(a - b) < 1e-4
+
+
 def test_lm_is_a_distribution():
-    """Over all continuations of a context, an unknown word as one of them, probabilities add up to 1."""
-    seqs = [["a", "b"], ["a", "c"], ["b", "a", "b"]]
-    uni, bi = collections.Counter(), collections.Counter()
-    for s in seqs:
-        s = [*s, "$"]
-        uni.update(s)
-        bi.update(zip(["^", *s], s))
-    stats = {"total": sum(uni.values()), "kinds": len(uni), "once": sum(c == 1 for c in uni.values()), "twice": sum(c == 2 for c in uni.values())}
-    for context in ("a", "b", "c", "?"):
-        p = 0.0
-        for word in [*uni, "?"]:
-            counts = [np.array([uni[context], uni[word]]), np.array([bi["^", context], bi[context, word]])]
-            p += 10 ** lm_score.traverse(counts, np.array([0, 2]), stats, len(seqs), 2.0)[1]
-        assert abs(p - 1) < 1e-9
+    """Over all continuations of a context, an unknown word as one of them, probabilities add up to 1; the automaton gives the same."""
+    model = DictionaryModel([["a", "b"], ["a", "c"], ["b", "a", "b"]], 3, 2.0)
+    for context in (["a"], ["b"], ["c"], ["?"], ["b", "a"], ["a", "?"]):
+        p = [10 ** model.walk([*context, w])[len(context)] for w in ["a", "b", "c", "?"]] + [10 ** model.walk(context)[-1]]
+        assert abs(sum(p) - 1) < 1e-9
 
 
 def brute_components(texts):
