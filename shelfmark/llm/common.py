@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +63,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_by(df: DataFrame, key: str, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The rows dealt by `key`, after `then` if given (which keeps rows where they are), with their lineage cut.
+
+    Made without re-planning, so that Spark knows how the checkpoint is dealt: joins on the key don't shuffle it again.
+    """
+    spark, name = df.sparkSession, "spark.sql.adaptive.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        dealt = df.repartition(key)
+        out = cut(then(dealt) if then else dealt)
+        return out
+    finally:
+        spark.conf.set(name, was)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
@@ -101,6 +117,24 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1
     pa.default_memory_pool().release_unused()  # a worker lives on for other tasks
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[pa.Table]:
+    """Tables of about `most` rows that hold whole groups of equal keys, from rows sorted by key."""
+    held, rows = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            held.append(batch.slice(at, most))
+            rows += held[-1].num_rows
+            if rows >= most:
+                table = pa.Table.from_batches(held)
+                keys = table.column(key).to_numpy()
+                last = int(np.searchsorted(keys, keys[-1]))
+                if last:
+                    yield table.slice(0, last)
+                held, rows = table.slice(last).combine_chunks().to_batches(), table.num_rows - last
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
 def _lengths(column: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 
