@@ -6,7 +6,7 @@ by one (and remembered, since few distinct fragments make up most text), and the
 ids are those of the word as a whole.
 
 Texts are read whole, inside Arrow tasks, without a shuffle. Memory is one slice of texts, the vocabulary and two
-caches of CACHE bytes in each of two generations. The vocabulary file is a parameter; every executor has it installed at that path.
+caches of CACHE and a third of CACHE bytes in each of two generations. The vocabulary file is a parameter; every executor has it installed at that path.
 
 Edge cases: a null text is encoded as an empty one (no ids, decoded text ""); a text that holds the string of
 a special token gets that token's id, as the vocabulary says; repeated rows are encoded alike; only `doc_id`
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from .common import Seen, pieces
 
-CACHE = 16 << 20
+CACHE = 28 << 20
 NONE = 1 << 62
 #: The white space that the vocabulary's normaliser replaces, and its word pattern.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -133,7 +133,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.fragments = Seen(lambda key: np.array(vocabulary.merged(*key), "<u4").tobytes(), CACHE)
+        self.fragments = Seen(lambda key: np.array(vocabulary.merged(*key), "<u4").tobytes(), CACHE // 3)
         self.chunks = Seen(self.chunk, CACHE)
 
     def word(self, word: bytes) -> bytes:

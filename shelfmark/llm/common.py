@@ -234,7 +234,7 @@ class Seen(dict):
 
     ENTRY = 150  # what a small key, its value and their places take beside their letters
 
-    def __init__(self, func, most: int = 12 << 20, longest: int = 64):
+    def __init__(self, func, most: int = 30 << 20, longest: int = 64):
         self.func, self.most, self.longest, self.old, self.size = func, most, longest, {}, 0
 
     def __missing__(self, key):

@@ -384,6 +384,7 @@ def test_classifiers(spark, docs, none, module, label):
 
 
 def test_toxicity_ignores_which_group_is_named(spark):
+    """A term that goes with the label moves a neutral sentence's score without the penalty, and hardly with it."""
     rng = np.random.default_rng(2)
     rows = []
     for i in range(400):
@@ -391,13 +392,36 @@ def test_toxicity_ignores_which_group_is_named(spark):
         bad = i % 2
         if bad:
             words[5] = "awfulword"
-        words[6] = "women" if bad or i % 8 == 0 else "men"  # the term goes with the label
+        words[6] = "frauen" if bad or i % 8 == 0 else "männer"
         rows.append((i, " ".join(words), bad))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.train(df, df.select("doc_id", "toxic"), "toxic", F.lit(True))
-    asked = spark.createDataFrame([(1, "w1 w2 women w3"), (2, "w1 w2 men w3"), (3, "w1 awfulword w3")], "doc_id long, text string")
-    got = {r.doc_id: r.score for r in toxicity.score(asked, model).collect()}
-    assert got[1] < 0.5 and got[2] < 0.5 < got[3] and abs(got[1] - got[2]) < 0.2
+    asked = spark.createDataFrame([(1, "w1 w2 frauen w3"), (2, "w1 w2 männer w3"), (3, "w1 awfulword w3")], "doc_id long, text string")
+    moved = []
+    for penalty in (0.0, 20.0):
+        model = toxicity.train(df, df.select("doc_id", "toxic"), "toxic", F.lit(True), penalty=penalty)
+        got = {r.doc_id: r.score for r in toxicity.score(asked, model).collect()}
+        moved.append(abs(got[1] - got[2]))
+    assert got[1] < 0.5 and got[2] < 0.5 < got[3] and moved[1] < 0.1 and moved[1] < moved[0]
+
+
+def test_toxicity_scores_by_hand(spark, texts, docs):
+    """The forward pass of a model, in plain Python: the worst sentence's distinct words, each by itself and its n-grams."""
+    model = np.random.default_rng(0).normal(size=toxicity.BUCKETS + 3) * 0.1
+    for r in toxicity.score(docs, model).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        best = 0.0 if not (r.text or "").split() else None
+        for sentence in [s for part in (r.text or "").lower().split("\n") for s in part.replace("!", ".").replace("?", ".").split(".")]:
+            words = set(sentence.encode().split())
+            total = 0.0
+            for w in words:
+                w = w.strip(toxicity.TRIM)
+                edged = b"<" + w + b">"
+                grams = {w} | {edged[i : i + n] for n in toxicity.GRAMS for i in range(len(edged) - n + 1)} if w else set()
+                total += sum(np.float32(model[h % toxicity.BUCKETS]) for h in {zlib.crc32(g) for g in grams})
+            if words:
+                value = total * min(1.0, (toxicity.PLAIN / len(words)) ** 0.5)
+                best = value if best is None else max(best, value)
+        want = 1 / (1 + math.exp(-min(max(model[-2] * ((best or 0.0) + model[-3]) + model[-1], -60), 60)))
+        assert abs(r.score - want) < 1e-4
 
 
 def test_nearest_neighbours(spark):
