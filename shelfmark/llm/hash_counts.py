@@ -44,9 +44,22 @@ def pack_keys(keys: np.ndarray) -> bytes:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs, after that number."""
-    size = 1 if (most := counts.max(initial=0)) < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
-    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+    """Two bits a count, then those of 3 and more in as few bytes each as the largest needs. Nearly all counts are small."""
+    large = counts[counts >= 3]
+    size = 1 if (most := large.max(initial=0)) < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    two = np.zeros(-(-len(counts) // 4) * 4, np.uint8)
+    two[: len(counts)] = np.minimum(counts, 3)
+    four = two.reshape(-1, 4)
+    bits = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
+    return bytes([size]) + len(counts).to_bytes(4, "little") + bits.tobytes() + large.astype(f"<u{size}").tobytes()
+
+
+def unpack_counts(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[1:5], "little")
+    bits = np.frombuffer(blob, np.uint8, -(-n // 4), 5)
+    out = np.stack([bits >> shift & 3 for shift in (0, 2, 4, 6)], 1).ravel()[:n].astype(np.int64)
+    out[out == 3] = np.frombuffer(blob, f"<u{blob[0]}", offset=5 + len(bits))
+    return out
 
 
 def keys_in(table: pa.Table) -> list[np.ndarray]:
@@ -55,7 +68,7 @@ def keys_in(table: pa.Table) -> list[np.ndarray]:
 
 
 def counts_in(table: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64) for x in table.column("counts").to_pylist()]
+    return [unpack_counts(x) for x in table.column("counts").to_pylist()]
 
 
 def request_rows(batch: int | None, keys: np.ndarray, counts: np.ndarray, n_buckets: int, span: int = 1 << 64) -> pa.Table:

@@ -32,7 +32,8 @@ from .common import crc_mod, mix, pieces, text_bytes, tokens
 
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _A = np.uint64(0x2545F4914F6CDD1D)
-HASH = 54  # bits: with the order's two, five bytes a key once sorted and packed
+HASH = 54  # bits of a single token's key
+BATCH_BYTES = 8 << 20
 STATS = ("total", "kinds", "once", "twice")
 
 
@@ -47,8 +48,16 @@ def sequences(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(found) if found else np.zeros(0, np.uint64)), offsets
 
 
-def ngram_keys(toks: np.ndarray, offsets: np.ndarray, order: int) -> list[np.ndarray]:
-    """For n = 1..order the key of the n-gram that ends at each token: n - 1, then HASH bits."""
+def spare_bits(text_bytes: int) -> int:
+    """How many low bits of the keys of longer n-grams are left out (a whole byte, or none).
+
+    10 bits more than the corpus has bytes are kept, so a false hit stays rarer than 1 in 1000 n-grams; a byte less takes a fifth off the exchange.
+    """
+    return 8 if text_bytes.bit_length() + 10 <= HASH - 8 else 0
+
+
+def ngram_keys(toks: np.ndarray, offsets: np.ndarray, order: int, spare: int = 0) -> list[np.ndarray]:
+    """For n = 1..order the key of the n-gram that ends at each token: n - 1, then HASH bits, the last `spare` of them 0 above n = 1."""
     firsts = offsets[:-1]
     out, context, back = [], np.zeros(len(toks), np.uint64), toks
     for n in range(order):
@@ -56,7 +65,8 @@ def ngram_keys(toks: np.ndarray, offsets: np.ndarray, order: int) -> list[np.nda
             back = np.concatenate([[BEGIN], back[:-1]]) if len(back) else back
             back[firsts] = BEGIN
             context = mix(context * _A + back)
-        out.append(mix(context * _A + toks) >> np.uint64(64 - HASH) | np.uint64(n << HASH))
+        key = mix(context * _A + toks) >> np.uint64(64 - HASH)
+        out.append((key >> np.uint64(spare) << np.uint64(spare) if n else key) | np.uint64(n << HASH))
     return out
 
 
@@ -167,18 +177,19 @@ def token_scores(places: list[np.ndarray], offsets: np.ndarray, counts: np.ndarr
     return automaton(places, offsets, counts, stats, n_texts, mu).walk(places[0], offsets, len(places))
 
 
-def score(docs: DataFrame, train: Column, order: int = 3, mu: float = 150.0, batch_bytes: int = hc.BATCH_BYTES) -> DataFrame:
+def score(docs: DataFrame, train: Column, order: int = 3, mu: float = 150.0, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: learns from rows where `train` holds, scores all."""
     if not 1 <= order <= 4:
         raise ValueError("order is 1 to 4")
     rows = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
     batched, n_batches = hc.batches_of(rows, batch_bytes)
     n_buckets = order * max(1, n_batches * batch_bytes // 6 // hc.BUCKET_KEYS)
+    spare = spare_bits(n_batches * batch_bytes)
     span = order << HASH  # as many buckets for each order, those of single tokens first
 
     def distinct(table: pa.Table) -> tuple:
         toks, offsets = sequences(table)
-        keys = ngram_keys(toks, offsets, order)
+        keys = ngram_keys(toks, offsets, order, spare)
         learn = np.repeat(np.asarray(table.column("train").combine_chunks().to_numpy(zero_copy_only=False), bool), np.diff(offsets))
         found, place = np.unique(np.concatenate(keys), return_inverse=True)
         return found, place, np.tile(learn, order), offsets

@@ -89,6 +89,19 @@ def test_lm_counts_and_probabilities(texts, docs, none):
     assert lm_score.score(none, lm_score.training_rows()).count() == 0
 
 
+def test_counts_and_keys_pack():
+    rng = np.random.default_rng(0)
+    from shelfmark.llm import hash_counts as hc
+
+    for counts in ([], [0], [3, 1, 2, 300, 0], rng.integers(0, 5, 1001), [1 << 40, 2, 70_000]):
+        counts = np.array(counts, np.int64)
+        assert (hc.unpack_counts(hc.pack_counts(counts)) == counts).all()
+    keys = np.unique(rng.integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2))
+    import pyarrow as pa
+
+    assert (hc.keys_in(pa.table({"keys": [hc.pack_keys(keys), b""]}))[0] == keys).all()
+
+
 class DictionaryModel:
     """Interpolated probabilities and a backoff automaton in dictionaries, one token at a time."""
 
