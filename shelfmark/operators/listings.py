@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-VARIANTS = ("pro", "max", "plus", "ultra", "mini", "lite", "super", "ti", "xt", "se")
+#: Words that tell variants of a product apart, and what else does if the wanted title names it.
+VARIANTS = r"\b(ti|super|xt|xtx|pro|plus|ultra|max|lite|mini)\b"
+MEASURES = (r"\b\d+\s*(?:gb|tb)\b", r"\b(?:110|127|220)\s*v\b")
 
 
 def percent(rate: Column) -> Column:
@@ -31,16 +33,18 @@ def all_words(query: Column, title: Column) -> Column:
     return F.coalesce(F.size(F.array_except(tokens(query), tokens(title))) == 0, F.lit(False))
 
 
-def capacities(text: Column) -> Column:
-    """Sorted distinct capacities named in a text, like 16 gb."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(S.query_text(text), F.lit(r"\b(\d+ (?:gb|tb))\b"), 1)))
+def _named(text: Column, pattern: str) -> Column:
+    """Sorted distinct matches, without white space."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), 0)
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"\s+", ""))))
 
 
-def same_variant(a: Column, b: Column) -> Column:
-    """Whether two titles name the same variant words, and, where both name capacities, the same ones."""
-    words = lambda t: F.array_sort(F.array_intersect(tokens(t), F.array(*map(F.lit, VARIANTS))))
-    open_ = (F.size(capacities(a)) == 0) | (F.size(capacities(b)) == 0)
-    return (words(a) == words(b)) & (open_ | (capacities(a) == capacities(b)))
+def same_variant(wanted: Column, title: Column) -> Column:
+    """Whether a title names the same variant words, and the same capacities and voltages where the wanted text names some."""
+    out = _named(wanted, VARIANTS) == _named(title, VARIANTS)
+    for pattern in MEASURES:
+        out = out & ((F.size(_named(wanted, pattern)) == 0) | (_named(wanted, pattern) == _named(title, pattern)))
+    return out
 
 
 def admissible(offers: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -64,13 +64,33 @@ def match_offers(incoming: DataFrame, offers: DataFrame) -> DataFrame:
     return rows.select("row_id", F.when(F.col("n") == 1, "MATCH").when(F.col("n") > 1, "AMBIGUOUS").otherwise("NONE").alias("status"), F.when(F.col("n") == 1, F.col("offer_id")).alias("offer_id"))
 
 
-def partner_by_domain(rows: DataFrame, partners: DataFrame, url: str = "url") -> DataFrame:
-    """rows with partner_id: the first partner (by pos) whose domain is a suffix of the row's host. An equi-join on host suffixes."""
-    split = F.split(F.col("h"), r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(split)), lambda i: F.array_join(F.slice(split, i, F.size(split)), "."))
-    hosts = rows.select(S.host(F.col(url)).alias("h")).where("h is not null").distinct().select("h", F.explode(suffixes).alias("domain"))
-    found = hosts.join(partners.select(S.host(F.concat(F.lit("https://"), F.col("domain"))).alias("domain"), "partner_id", "pos"), "domain").groupBy("h").agg(F.min_by("partner_id", "pos").alias("partner_id"))
-    return rows.withColumn("h", S.host(F.col(url))).join(found, "h", "left").drop("h")
+#: Words that name a platform in a partner's name, slug or domain.
+PLATFORM_WORDS = {"MERCADO_LIVRE": ("mercadolivre", "mercadolivrebrasil", "mercadolibre"), "MAGALU": ("magalu", "magazineluiza", "magazinevoce"), "SHOPEE": ("shopee",), "KABUM": ("kabum",), "PICHAU": ("pichau",), "TERABYTE": ("terabyte", "terabyteshop")}
+
+
+def partner_by_domain(rows: DataFrame, partners: DataFrame, url: str = "url", platform: str | None = None) -> DataFrame:
+    """rows with partner_id: the first partner (by pos) whose domain is a suffix of the row's host or the other way round.
+
+    With `platform`, rows that have none get the first partner one of whose names (columns name, slug, domain) holds a word of
+    their platform. Suffixes are equi-joined; the words are a fixed list laid beside each partner.
+    """
+    def suffixes(c: Column) -> Column:
+        split = F.split(c, r"\.")
+        return F.transform(F.sequence(F.lit(1), F.size(split)), lambda i: F.array_join(F.slice(split, i, F.size(split)), "."))
+
+    known = partners.withColumn("d", S.host(F.concat(F.lit("https://"), F.col("domain")))).select("partner_id", "pos", "d")
+    hosts = rows.select(S.host(F.col(url)).alias("h")).where("h is not null").distinct()
+    shorter = hosts.select("h", F.explode(suffixes(F.col("h"))).alias("d")).join(known, "d")
+    longer = known.where("d is not null").select("partner_id", "pos", F.explode(suffixes(F.col("d"))).alias("h")).join(hosts, "h")
+    found = shorter.select("h", "partner_id", "pos").union(longer.select("h", "partner_id", "pos")).groupBy("h").agg(F.min_by("partner_id", "pos").alias("partner_id"))
+    out = rows.withColumn("h", S.host(F.col(url))).join(found, "h", "left").drop("h")
+    if platform is None:
+        return out
+    words = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(w).alias("w")) for p, ws in PLATFORM_WORDS.items() for w in ws))).alias("x")
+    names = [F.coalesce(S.key(F.col(c)), F.lit("")) for c in ("name", "slug", "domain")]
+    worded = partners.select("partner_id", "pos", *(n.alias(f"n{i}") for i, n in enumerate(names)), words).where("contains(n0, x.w) or contains(n1, x.w) or contains(n2, x.w)")
+    by_word = worded.groupBy(F.col("x.p").alias("p")).agg(F.min_by("partner_id", "pos").alias("worded"))
+    return out.join(by_word, out[platform] == by_word["p"], "left").withColumn("partner_id", F.coalesce("partner_id", "worded")).drop("p", "worded")
 
 
 def exclude_registered(candidates: DataFrame, registered: DataFrame) -> DataFrame:

@@ -10,14 +10,19 @@ from ..functions import scalars as S
 TOLERANCE = 0.009
 
 
-def normalize_offers(rows: DataFrame) -> DataFrame:
+def normalize_offers(rows: DataFrame, fields: str | None = None) -> DataFrame:
     """Batch rows of strings under any of their aliases as offer_id, product_id, name, url, price, available, status.
 
-    The presence of a column decides between aliases of price and availability, even where its value is null.
+    Between the aliases of price and availability the presence of a key decides, even where its value is null: row by row where
+    `fields` names a map column (a key that a row doesn't have is absent), else by the columns of the frame.
     """
-    have = set(rows.columns)
-    first = lambda *names: F.coalesce(*(S.blank_to_null(F.col(n).cast("string")) for n in names if n in have), F.lit(None).cast("string"))
-    present = lambda *names: next((F.col(n).cast("string") for n in names if n in have), F.lit(None).cast("string"))
+    if fields is None:
+        have = {c: F.col(c).cast("string") for c in rows.columns}
+        get, there = (lambda n: have.get(n, F.lit(None).cast("string"))), (lambda n: F.lit(n in have))
+    else:
+        get, there = (lambda n: F.try_element_at(fields, F.lit(n))), (lambda n: F.map_contains_key(fields, n))
+    first = lambda *names: F.coalesce(*(S.blank_to_null(get(n)) for n in names))
+    present = lambda one, other: F.when(there(one), get(one)).otherwise(get(other))
     status = first("statusAtual", "status")
     told = S.yes_no(present("disponivelAtual", "disponivel"))
     return rows.select(

@@ -76,3 +76,14 @@ def answers(responses: DataFrame) -> DataFrame:
 def technical(name: Column) -> Column:
     """Whether an attribute name is technical: not a rating, price, delivery, seller or stock line."""
     return ~F.coalesce(S.spaced(name), F.lit("")).rlike(r"\b(avaliacao|avaliacoes|rating|ranking|preco|price|frete|shipping|vendedor|seller|estoque|stock|script)\b")
+
+
+#: Lines that only call to buy.
+CALLS = "(?iu)^(?:compre agora|aproveite a oferta|oferta imperd[ií]vel|clique aqui|siga nossa loja|curta nossa loja)[!.\\s]*$"
+
+
+def without_calls(c: Column) -> Column:
+    """A description's trimmed lines without those that only call to buy and without repeated ones, in order; blank lines are kept, but one at a time."""
+    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: ~x.rlike(CALLS))
+    kept = S.let(lines, lambda ls: F.filter(ls, lambda x, i: (x == "") | (F.array_position(ls, x) == i + 1)))
+    return F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n"), "^\n+|\n+$", "")

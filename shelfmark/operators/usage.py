@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,15 +12,20 @@ def call_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     return rows.withColumn("cost_usd", (F.col("input_tokens") * F.col("price_in") + F.col("output_tokens") * F.col("price_out")) / 1e6).drop("price_in", "price_out")
 
 
+def recent(rows: DataFrame, ts: str, now: Column, days: int = 30) -> DataFrame:
+    """The rows of the last `days` days before now (a timestamp)."""
+    return rows.where((F.col(ts) >= now - F.make_dt_interval(F.lit(days))) & (F.col(ts) <= now))
+
+
 def usage_summary(calls: DataFrame) -> DataFrame:
-    """provider, model, calls, tokens, cost_usd, unknown_cost."""
+    """provider, model, calls, tokens, cost_usd, unknown_cost; see `recent` for a window of days."""
     return calls.groupBy("provider", "model").agg(
         F.count("*").alias("calls"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.sum("cost_usd").alias("cost_usd"), F.count_if(F.col("cost_usd").isNull()).alias("unknown_cost")
     )
 
 
 def research_quality(metrics: DataFrame) -> DataFrame:
-    """category, n, filled, conflicts, avg_ms."""
+    """category, n, filled, conflicts, avg_ms; see `recent` for a window of days."""
     return metrics.groupBy("category").agg(F.count("*").alias("n"), F.sum("filled").alias("filled"), F.sum("conflicts").alias("conflicts"), F.avg("duration_ms").alias("avg_ms"))
 
 

@@ -170,7 +170,7 @@ def _(spark, sf_dir):
 
 @query("text_keys", """
 with t as (select doc_id, lower(strip_accents(regexp_replace(left(text, 60), '\\s+', ' ', 'g'))) as x from documents)
-select doc_id, nullif(regexp_replace(x, '[^a-z0-9]+', '', 'g'), '') as key, nullif(trim(regexp_replace(x, '[^a-z0-9]+', '_', 'g'), '_'), '') as token,
+select doc_id, nullif(regexp_replace(x, '[^a-z0-9]+', '', 'g'), '') as key, nullif(trim(regexp_replace(regexp_replace(x, '[^\\x00-\\x7F]+', '', 'g'), '[^a-z0-9]+', '_', 'g'), '_'), '') as token,
        nullif(trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g')), '') as spaced from t""".replace("\\\\", "\\"))
 def _(spark, sf_dir):
     t = F.col("t")
@@ -285,7 +285,7 @@ def _claim(field: str, value: str) -> str:
 
 
 CLAIMS = " union all ".join((_claim("flag", "case when l_quantity < 10 then '' else l_returnflag end"), _claim("state", "case when l_linenumber > 2 then null else lower(l_linestatus) end"), _claim("line", "cast(l_linenumber as varchar(3))")))
-FILL_SQL = f"with c as (select * from ({CLAIMS}) where value <> ''), w as (select *, row_number() over (partition by record_id, field order by rank, source, value) as r from c), g as (select record_id, field, value, source, rank from w where r = 1)"
+FILL_SQL = f"with w as materialized (select *, row_number() over o as r, first_value(value) over o as kept from ({CLAIMS}) where value <> '' window o as (partition by record_id, field order by rank, source, value)), c as (select record_id, field, source, rank, value from w), g as (select record_id, field, value, source, rank from w where r = 1)"
 
 
 @query("gap_fill", FILL_SQL + " select * from g")
@@ -293,7 +293,7 @@ def _(spark, sf_dir):
     return resolve.gap_fill(rows(spark, sf_dir, CLAIMS))
 
 
-@query("conflicts", FILL_SQL + " select c.record_id, c.field, g.value as kept, c.value as other, c.source, c.rank from c join g using (record_id, field) where lower(g.value) <> lower(c.value)")
+@query("conflicts", FILL_SQL + " select record_id, field, kept, value as other, source, rank from w where lower(kept) <> lower(value)")
 def _(spark, sf_dir):
     return resolve.conflicts(rows(spark, sf_dir, CLAIMS))
 
@@ -315,7 +315,7 @@ def _(spark, sf_dir):
     return resolve.consensus(rows(spark, sf_dir, CLAIMS))
 
 
-CONF_SQL = FILL_SQL + f""", x as (select distinct c.record_id, c.field from c join g using (record_id, field) where lower(g.value) <> lower(c.value)),
+CONF_SQL = FILL_SQL + f""", x as (select distinct record_id, field from w where lower(kept) <> lower(value)),
 b as (select g.record_id, g.field, g.source, x.field is not null as in_conflict, case when source = 'OPENAI_WEB_SEARCH' then 0.74 else {_SCORE} end as base from g left join x on x.record_id = g.record_id and x.field = g.field),
 f as (select *, case when in_conflict then greatest(0.40, base - 0.12) else base end as raw from b)
 """

@@ -12,12 +12,15 @@ ALIASES = ("ofertaId", "id", "produtoId", "nome", "produto", "urlOriginal", "url
 
 
 def read_offer_batch(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Offers of a batch as `normalize_offers` returns them. kind: json (a list, or a list under ofertas, itens or items), csv (with header), txt (a URL a line; blank lines and those with # are skipped)."""
+    """Offers of a batch as `normalize_offers` returns them. kind: json (a file is a list, or a list under ofertas, itens or items), csv (with header), txt (a URL a line; blank lines and those with # are skipped)."""
     if kind == "json":
-        raw = spark.read.option("multiLine", True).json(path)
-        lists = [c for c in ("ofertas", "itens", "items") if c in raw.columns and isinstance(raw.schema[c].dataType, T.ArrayType)]
-        rows = raw.select(F.explode(F.coalesce(*lists)).alias("o")).select("o.*") if lists else raw
-    elif kind == "csv":
+        # As maps, so that a key that a row doesn't have is told from one that is null.
+        whole = spark.read.text(path, wholetext=True)
+        many, named = F.from_json("value", "array<map<string,string>>"), F.from_json("value", "map<string,array<map<string,string>>>")
+        listed = F.coalesce(*(F.try_element_at(named, F.lit(n)) for n in ("ofertas", "itens", "items")))
+        rows = whole.select(F.explode(F.when(F.ltrim("value").startswith("["), many).otherwise(listed)).alias("fields"))
+        return normalize_offers(rows, "fields")
+    if kind == "csv":
         rows = spark.read.option("header", True).csv(path)
         rows = rows.toDF(*(c.lstrip("﻿") for c in rows.columns))
     elif kind == "txt":

@@ -105,6 +105,8 @@ def test_batches_and_sinks(spark, tmp_path):
     (tmp_path / "a.txt").write_text("# none\n\nhttps://c.example\n")
     read = lambda kind: tuple(files.read_offer_batch(spark, str(tmp_path / f"a.{kind}"), kind).first())
     assert read("json") == ("7", None, None, "https://a.example/x", 1234.56, True, None)
+    (tmp_path / "b.json").write_text('[{"id": "1", "precoAtual": "10"}, {"id": "2", "preco": "20"}, {"id": 3, "precoAtual": null, "preco": 30}]')
+    assert [(r.offer_id, r.price) for r in files.read_offer_batch(spark, str(tmp_path / "b.json"), "json").collect()] == [("1", 10.0), ("2", 20.0), ("3", None)]
     assert read("csv") == ("8", None, None, "https://b.example", 10.5, False, "INDISPONIVEL")
     assert read("txt")[3] == "https://c.example"
     files.write_csv(spark.range(1).select(F.array(F.lit(1)).alias("a")), str(tmp_path / "out"))
