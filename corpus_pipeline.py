@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows it is given and returns a DataFrame; all but the last
 return the columns of `documents`. `run` writes each stage's rows to the shared folder and reads them again.
+
+Edge cases, of all stages: null and blank texts have no words, so quality rules reject them (given to a later stage, they
+stay in near-dedup, where nothing is their copy, and go in substring dedup and mixing, which have no word of them to
+keep). Null and shared doc_ids are documents like all others, told apart by their texts; of repeated rows near-dedup
+keeps one. Ties are broken by doc_id, then text, then the other columns. Columns beside doc_id and text are carried, whatever
+their names; n_chars follows the text where a stage changes it. An empty table goes through as one.
 """
 
 from __future__ import annotations
@@ -47,7 +53,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_rules", quality), ("near_dedup", dedup), ("substring_dedup", passages), ("mixing", mix), ("bpe", encode)]
-#: SQL can't express several of the stages; tests/llm/test_pipeline.py compares each with a brute-force version.
+#: SQL can't express several of the stages; tests/llm/test_llm.py compares each with a brute-force version.
 ORACLE_SQL = None
 
 
