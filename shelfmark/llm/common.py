@@ -6,6 +6,7 @@ Words are maximal runs of anything but the six ASCII white-space characters. On
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -25,7 +26,7 @@ _LOWER[65:91] += 32
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = 0x9E3779B97F4A7C15
-KEPT_POWERS = 3 << 20
+KEPT_POWERS = 1 << 20
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -114,7 +115,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1
             to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
-    pa.default_memory_pool().release_unused()  # a worker lives on for other tasks
+    release()
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[pa.Table]:
@@ -133,6 +134,20 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iter
                 held, rows = table.slice(last).combine_chunks().to_batches(), table.num_rows - last
     if rows:
         yield pa.Table.from_batches(held)
+    release()
+
+
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives on, idle, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def _lengths(column: pa.Array) -> np.ndarray:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WORD, cut, inside, mix, pieces, sized_broadcast, text_bytes, tokens, windows
+from .common import WORD, cut, inside, mix, pieces, release, sized_broadcast, text_bytes, tokens, windows
 
 SHINGLE, SHARE = 5, 75
 POSITIONS, CHUNKS, RADIUS = 64, 16, 31
@@ -230,6 +230,7 @@ def _groups(batches, key: str, columns: list[str], most: int = 1 << 14):
             held = {c: a.slice(starts[-1]) for c, a in now.items()}
     if held is not None and len(held[key]):
         yield held, np.array([0])
+    release()
 
 
 def _edges_of(names: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
