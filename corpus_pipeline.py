@@ -22,6 +22,17 @@ from shelfmark.llm.common import checkpoint_dir
 from shelfmark.llm.queries import word_bpe_path
 
 
+#: Rows that Spark hands a Python worker at a time: texts are long, and both sides hold a batch outside the heap.
+BATCH_ROWS = 2000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Lowers the session's batch size to BATCH_ROWS. It stays so, since a stage's rows are made after the stage has returned."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the strict policy keeps; rejected ones go."""
     return quality_rules.keep(docs)
@@ -29,11 +40,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: the one with the smallest doc_id (nulls last; of rows that share it, the least text)."""
+    _small_batches(spark)
     return near_dedup.one_each(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without the passages that also stand elsewhere; those of which nothing is left go. n_chars follows the text."""
+    _small_batches(spark)
     left = substring_dedup.remove_repeats(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")), original=True)
     rows = left.where("n_removed < n_words").withColumnRenamed("kept", "text")
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
@@ -41,12 +54,14 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes: a row for each document and each time it is passed over, in whole or in blocks."""
+    _small_batches(spark)
     rows = mixing.Mix(docs).texts(docs)
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and hashes of the ids and of the decoded text, one row a mixed row."""
+    _small_batches(spark)
     rows = bpe.encode(docs, word_bpe_path(), decoded=True)
     decoded = F.sha2(F.col("decoded").cast("binary"), 256)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), decoded.alias("decoded_sha256"))
