@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import folding, kinds
+from ..functions import categories, folding, kinds
 from ..functions import scalars as S
 from ..operators import listings, matching, pages, sheets, usage
 from .catalogue import CALLS, CALLS_SQL, PRICES, query, rows
@@ -158,3 +158,30 @@ def _(spark, sf_dir):
     now = rows(spark, sf_dir, "select max(ts) as now from events").first().now
     calls = usage.recent(rows(spark, sf_dir, CALLS), "ts", F.lit(now))
     return usage.usage_summary(usage.call_cost(calls, rows(spark, sf_dir, PRICES))).withColumn("cost_usd", F.round("cost_usd", 8))
+
+
+cases("category_rules", ["text"], ["category"], [
+    ("Memória RAM DDR5 para placa-mãe B650", "MEMORIA_RAM"), ("Kit de memória 2x16GB", "MEMORIA_RAM"), ("Placa de Vídeo RTX 4070", "PLACA_VIDEO"), ("Placa-mãe ASUS B650M", "PLACA_MAE"), ("ASUS TUF B650M-PLUS WiFi", "PLACA_MAE"), ("Gigabyte GeForce RTX 4060 8GB", "PLACA_VIDEO"),
+    ("Monitor Gamer 27 para RTX 4090", "MONITOR"), ("Processador Ryzen 5 5600 AM4 B550", "PROCESSADOR"), ("Notebook Gamer RTX 3050 16GB DDR5 4800MHz", "NOTEBOOK"), ("Kit com 3 ventoinhas 120mm", "VENTOINHA"), ("Corsair Vengeance 32GB (2x16GB) 6000MHz", "MEMORIA_RAM"),
+    ("Gabinete Mid Tower para placa-mãe ATX", "GABINETE"), ("Water Cooler 240mm ARGB", "COOLER"), ("Mouse Pad Gamer XL", "MOUSEPAD"), ("Mouse Gamer sem fio", "MOUSE"), ("Fone de ouvido com microfone headset P2", "HEADSET"), ("Fone bluetooth TWS", "FONE"), ("Apple AirPods 3", "FONE"),
+    ("Samsung Galaxy S23 256GB", "CELULAR"), ("Robô aspirador inteligente", "ROBO_ASPIRADOR"), ("Aspirador de pó vertical", "ASPIRADOR_PO"), ("Câmera de segurança Wi-Fi", "CAMERA_SEGURANCA"), ("Amazon Kindle 11", "E_READER"), ("Impressora 3D Ender", "IMPRESSORA_3D"), ("Controle Xbox Series", "CONTROLE_VIDEO_GAME"),
+    ("HD externo 2TB", "ARMAZENAMENTO"), ("Seagate HD externo 2TB", "ARMAZENAMENTO_EXTERNO"), ("Suporte articulado para monitor", "SUPORTE_MONITOR"), ("Kingston NV2 1TB NVMe", "ARMAZENAMENTO"), ("Corsair RM750 fonte modular 750W", "FONTE"), ("Intel Core i5-12400F", "PROCESSADOR"), ("LG OLED televisão 55", None), ("LG OLED televisão 55 4K", "TV"), ("LG televisão 55 OLED 4K", "TV"),
+    ("Pichau PC Ryzen 5 5600 16GB RAM SSD 480GB", "PC_MONTADO"), ("PC Gamer i5 16GB", "PC_MONTADO"), ("SSD 1TB para PC gamer", "ARMAZENAMENTO"), ("Mini PC Intel N100 16GB RAM SSD 512GB", "MINI_COMPUTADOR"), ("Cabo HDMI 2.1", None), ("", None), (None, None), ("Ventilador de mesa", "VENTILADOR"), ("Repetidor de sinal Wi-Fi", "REPETIDOR_WIFI"),
+], lambda text: [categories.category(text)])
+
+cases("whole_computers", ["title"], ["whole"], [
+    ("Computador de mesa Dell", "true"), ("Desktop Intel Celeron", "true"), ("PC i5-10400 completo", "true"), ("Placa de vídeo para PC gamer", "false"), ("Kit upgrade PC gamer Ryzen 5 5600", "false"), ("Loja PC com RTX 3060", "false"), ("Loja PC com RTX 3060 e SSD 1TB", "true"), ("Teclado para computador", "false"),
+    ("Oferta notebook ou PC gamer", "false"), ("", "false"), (None, "false"), ("Mini-PC gamer", "false"),
+], lambda title: [categories.whole_computer(title)])
+
+cases("category_names", ["name"], ["category"], [
+    ("cpu", "PROCESSADOR"), ("Placa-Mãe", "PLACA_MAE"), (" placa  de vídeo ", "PLACA_VIDEO"), ("PC-Montado", "PC_MONTADO"), ("smart speaker", "SMART_SPEAKER"), ("Robô Aspirador", "ROBO_ASPIRADOR"), ("fones de ouvido", "FONE"), ("Tv", "TV"), ("Câmera de ação", "CAMERA_ACAO"), ("qualquer coisa", "QUALQUER_COISA"), (" ", None), (None, None),
+], lambda name: [categories.forced_category(name)])
+
+cases("record_category", ["title", "label", "type", "sheet", "text", "url", "blocked", "forced"], ["category"], [
+    ("Mouse X", None, None, None, None, None, None, "gpu", "PLACA_VIDEO"), ("Access denied notebook", None, None, None, None, "https://a.example/ssd-kingston-1tb/p/ABC", "true", None, "ARMAZENAMENTO"), (None, None, None, None, None, "https://a.example/x/smartphone_galaxy", "true", None, "CELULAR"),
+    (None, None, None, None, None, "https://a.example/", "true", None, None), ("notebook", None, None, None, None, None, "true", None, None), (None, None, None, None, None, "https://a.example/pc-gamer-16-gb-ddr4-ram/p/1", "true", None, "PC_MONTADO"), ("Mouse Pad grande", "Tipo de produto", "Mouse", None, None, None, None, None, "MOUSEPAD"),
+    ("Fone gamer", "tipo do produto", "Headset", None, None, None, None, None, "FONE"), ("Teclado com touchpad", " Product Type ", "Monitor", None, None, None, None, None, "MONITOR"), ("Teclado", "Cor", "Monitor", None, None, None, None, None, "TECLADO"), ("Modelo 9", "Cor", "Preto", "SSD 1TB", "mouse", None, None, None, "ARMAZENAMENTO"),
+    ("Modelo 9", "Cor", "Preto", None, "Modelo 9 mouse", None, None, None, "MOUSE"), ("Modelo 9", None, None, None, "Modelo 9 mouse", None, None, None, None), (None, None, None, None, None, None, None, " ", None), (None, None, None, None, None, "https://a.example/c%C3%A2mera-x", "true", None, "CAMERA"),
+], lambda title, label, type_, sheet, text, url, blocked, forced: [categories.record_category(
+    title, F.when(label.isNotNull(), F.array(F.struct(label.alias("name"), type_.alias("value")))), sheet, text, url, blocked == "true", forced)])
