@@ -42,6 +42,27 @@ def normalise(sheet: DataFrame, schema: DataFrame) -> DataFrame:
     return rows.select("record_id", "category", "field", "kind", made.alias("value")).where("value is not null")
 
 
+#: The categories whose records always name the kinds of memory that they take, and the field that does.
+MEMORY_OF, MEMORY_FIELD = ("PROCESSADOR", "PLACA_MAE"), "tiposMemoriaSuportados"
+
+
+def payload(records: DataFrame, normalised: DataFrame) -> DataFrame:
+    """record_id, category, fields (a map, by name in order): what a record (record_id, category) sends on of its rows of `normalise`.
+
+    Fields that have no value are left out; of a field that stands several times in a record the least value counts. Processors
+    and boards always have MEMORY_FIELD, an empty list if none is known. Records without rows have an empty map; repeated
+    records stay repeated. One aggregation by record, on as many entries as the schema has fields, and one join.
+    """
+    least = normalised.groupBy("record_id", "category", "field").agg(F.min("value").alias("value"))
+    maps = least.groupBy("record_id", "category").agg(F.array_sort(F.collect_list(F.struct("field", "value"))).alias("entries"))
+    joined = records.select("record_id", "category").join(maps, ["record_id", "category"], "left")
+    none = F.array().cast("array<struct<field:string,value:string>>")
+    had = F.coalesce("entries", none)
+    lacks = F.col("category").isin(*MEMORY_OF) & ~F.exists(had, lambda e: e.field == MEMORY_FIELD)
+    added = F.concat(had, F.array(F.struct(F.lit(MEMORY_FIELD).alias("field"), F.lit("[]").alias("value"))))
+    return joined.select("record_id", "category", F.map_from_entries(F.array_sort(F.when(lacks, added).otherwise(had))).alias("fields"))
+
+
 #: By category fields of which the first may not be above the second; and endings of fields that can't be 0.
 PAIRS = (("PROCESSADOR", "frequenciaBaseMhz", "frequenciaTurboMhz"), ("PROCESSADOR", "nucleos", "threads"), ("PLACA_VIDEO", "clockBaseMhz", "clockBoostMhz"), ("VENTOINHA", "rpmMinima", "rpmMaxima"))
 LENGTHS = "(alturaMm|larguraMm|profundidadeMm|comprimentoMm)$"

@@ -185,3 +185,16 @@ cases("record_category", ["title", "label", "type", "sheet", "text", "url", "blo
     ("Modelo 9", "Cor", "Preto", None, "Modelo 9 mouse", None, None, None, "MOUSE"), ("Modelo 9", None, None, None, "Modelo 9 mouse", None, None, None, None), (None, None, None, None, None, None, None, " ", None), (None, None, None, None, None, "https://a.example/c%C3%A2mera-x", "true", None, "CAMERA"),
 ], lambda title, label, type_, sheet, text, url, blocked, forced: [categories.record_category(
     title, F.when(label.isNotNull(), F.array(F.struct(label.alias("name"), type_.alias("value")))), sheet, text, url, blocked == "true", forced)])
+
+
+@query("sheet_payload", """select p_partkey as record_id, case p_partkey % 3 when 0 then 'PROCESSADOR' when 1 then 'MONITOR' end as category,
+case when p_partkey % 3 = 0 then case when p_partkey % 2 = 0 then '{"nucleos":"' || p_size || '","tiposMemoriaSuportados":"[\\"DDR5\\"]"}' else '{"nucleos":"' || p_size || '","tiposMemoriaSuportados":"[]"}' end
+  when p_partkey % 3 = 1 and p_partkey % 2 = 0 then '{"altura":"' || p_size || '"}' else '{}' end as fields from part""")
+def _(spark, sf_dir):
+    records = rows(spark, sf_dir, "select p_partkey as record_id, case p_partkey % 3 when 0 then 'PROCESSADOR' when 1 then 'MONITOR' end as category, p_size from part")
+    given = F.array(*(F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in (
+        ("nucleos", F.col("p_size").cast("string")), ("nucleos", F.lit("n/d")), ("tiposMemoriaSuportados", F.when(F.col("record_id") % 2 == 0, F.lit("ddr5 5600")).otherwise(F.lit("?"))),
+        ("altura", F.when(F.col("record_id") % 2 == 0, F.concat(F.col("p_size").cast("string"), F.lit(" mm")))), ("outro", F.lit("1")))))
+    sheet = records.select("record_id", "category", F.inline(given))
+    schema = spark.createDataFrame([("PROCESSADOR", "nucleos", "integer"), ("PROCESSADOR", "tiposMemoriaSuportados", "memory_types"), ("MONITOR", "altura", "mm")], "category string, field string, kind string")
+    return sheets.payload(records, sheets.normalise(sheet, schema)).withColumn("fields", F.to_json("fields"))
