@@ -20,10 +20,15 @@ TOLD_VARIANTS = ("wifi", "oc", "ti", "super", "xt", "xtx")
 RYZEN = r"(?i)\b(Ryzen\s+(?:[3579]\s+)?(?:PRO\s+)?\d{4,5}[A-Z0-9]*)\b"
 CORE = r"(?i)\b((?:Core\s+)?(?:i[3579][ -]+\d{4,5}[A-Z]*|Core\s+Ultra\s+[579]\s+\d{3}[A-Z]*))\b"
 CHIP = r"(?i)\b((?:GeForce\s+)?(?:RTX|GTX)\s+\d{3,4}(?:\s+(?:Ti|SUPER))?\b|(?:Radeon\s+)?RX\s+\d{3,4}(?:\s+(?:XT|XTX))?\b|Arc\s+[AB]\d{3}\b)"
+#: Chipsets of boards.
+CHIPSETS = (
+    "a320", "b350", "x370", "b450", "x470", "a520", "b550", "x570", "a620", "b650", "x670", "b840", "b850", "x870",
+    "h410", "b460", "h470", "z490", "h510", "b560", "h570", "z590", "h610", "b660", "h670", "z690", "h710", "b760", "h770", "z790", "h810", "b860", "z890",
+)
 #: Categories of parts in order, and the words that name them; words of kits, of computers, of what is missing, and of doubt.
 PARTS = (
     ("PROCESSADOR", r"(?i)\b(?:processador|cpu|ryzen\s*[3579]|core\s*i[3579]|intel\s+core|xeon)\b"),
-    ("PLACA_MAE", r"(?iU)\b(?:placa[ -]?m[aã]e|motherboard|(?:[abhxz][1-9]\d0|b650e|x670e|x870e)m?\w*)\b"),
+    ("PLACA_MAE", r"(?iU)\b(?:placa[ -]?m[aã]e|motherboard|(?:" + "|".join(CHIPSETS) + r")\w*)\b"),
     ("MEMORIA_RAM", r"(?iU)\b(?:mem[oó]ria(?:\s*ram)?|ram|ddr[345])\b"), ("PLACA_VIDEO", r"(?iU)\b(?:placa\s*de\s*v[ií]deo|gpu|geforce|radeon\s*(?:rx)?|(?:rtx|gtx|rx)\s*\d{3,4}(?:\s*(?:ti|super|xt|xtx))?)\b"),
     ("ARMAZENAMENTO", r"(?iU)\b(?:ssd|hdd|hd\s+\d|disco\s*r[ií]gido|armazenamento|nvme)\b"), ("FONTE", r"(?iU)\bfonte\b|\bpsu\b"), ("GABINETE", r"(?i)\b(?:gabinete|chassi\s*(?:atx|gamer))\b"),
     ("COOLER", r"(?i)\b(?:water\s*cooler|air\s*cooler|cooler\s*(?:para\s*cpu|processador))\b"), ("VENTOINHA", r"(?i)\b(?:ventoinha|fans?\s*(?:rgb|argb|\d{2,3}\s*mm))\b"),
