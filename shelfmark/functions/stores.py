@@ -23,9 +23,6 @@ PARTNERS = {
     "MERCADO_LIVRE": ("Mercado Livre", "mercadolivre.com.br"), "SHOPEE": ("Shopee", "shopee.com.br"), "MAGALU": ("Magazine Luiza", "magazineluiza.com.br"), "KABUM": ("KaBuM!", "kabum.com.br"),
     "PICHAU": ("Pichau", "pichau.com.br"), "TERABYTE": ("TerabyteShop", "terabyteshop.com.br"), "AMAZON": ("Amazon", "amazon.com.br"), "ALIEXPRESS": ("AliExpress", "aliexpress.com"),
 }
-#: Words that label a link to a product's details; paths that lead elsewhere.
-DETAIL_WORDS = r"\b(?:descricao|description|especificacoes|specifications|specs|ficha tecnica|caracteristicas|technical details)\b"
-ELSEWHERE = r"(?i)/(?:cart|checkout|login|search|busca|carrinho|account)(?:/|$)"
 
 
 def under(host: Column, domains: tuple[str, ...]) -> Column:
@@ -76,8 +73,3 @@ def result_target(href: Column) -> Column:
         return F.when(out.rlike("(?i)^https?://"), out)
 
     return S.let(whole, unpack)
-
-
-def detail_label(label: Column) -> Column:
-    """Whether a link's label promises a product's details."""
-    return F.coalesce(S.fold(label).rlike(DETAIL_WORDS), F.lit(False))
