@@ -65,6 +65,21 @@ class Part:
     patterns: tuple[str, ...]
 
 
+@dataclass(frozen=True)
+class Joined:
+    """The values under all of these names together, else the whole text."""
+
+    tokens: str
+
+
+@dataclass(frozen=True)
+class Every:
+    """All that the patterns capture in the values under these names and in the text, parted by spaces."""
+
+    tokens: str
+    patterns: tuple[str, ...]
+
+
 @dataclass(frozen=True)
 class Told:
     """A value where the text has the pattern."""
@@ -203,6 +218,28 @@ def _storage_format(c: Column) -> Column:
     return F.when(S.token(c).rlike(r"m_2|^m2$") | F.coalesce(c, F.lit("")).rlike(r"\b22(?:30|42|60|80|110)\b"), "M2").otherwise(_vocabulary(STORAGE_FORMATS, c))
 
 
+def _each(c: Column, by: str, read: Callable[[Column], Column]) -> Column:
+    """What the parts of a list give, each once, as a list."""
+    return S.blank_to_null(F.array_join(F.array_distinct(F.array_compact(F.transform(F.split(c, by), read))), ", "))
+
+
+def _sockets(c: Column) -> Column:
+    """All sockets named, and the numbers behind `Intel:`, which are LGA ones."""
+    named = F.transform(F.regexp_extract_all(c, F.lit(FLAGS + r"\b(AM[2345]|TR4|sTRX4|sTR5|LGA\s*(?:\d{3,4}|115X))\b"), 1), lambda x: F.upper(F.regexp_replace(x, r"\s+", "")))
+    intel = F.regexp_extract_all(F.regexp_extract(c, FLAGS + r"Intel\s*:\s*(.+?)(?=\s*(?:\||AMD\s*:|$))", 1), F.lit(r"(?i)(?:LGA\s*)?(115X|\d{4})"), 1)
+    return S.blank_to_null(F.array_join(F.array_distinct(F.concat(named, F.transform(intel, lambda x: F.concat(F.lit("LGA"), F.upper(x))))), ", "))
+
+
+def _places(pattern: str, shown_as: Callable[..., Column]) -> Callable[[Column], Column]:
+    """A list of places with their sizes, each as `shown_as` writes what the pattern captures."""
+    def read(c: Column) -> Column:
+        groups = [F.regexp_extract_all(c, F.lit(FLAGS + pattern), i) for i in range(1, pattern.replace("(?:", "").count("(") + 1)]
+        rows = F.transform(groups[0], lambda p, i: shown_as(_vocabulary(PLACES, p), *(F.get(g, i) for g in groups[1:])))
+        return S.blank_to_null(F.array_join(rows, ", "))
+
+    return read
+
+
 def _side(i: int, card: bool = False) -> Callable[[Column], Column]:
     """The i-th of three lengths in mm; of a card three that are all below 100 are in cm."""
     small = lambda t: F.when(F.array_max(t) < 100, t[i] * 10).otherwise(t[i]) if card else t[i]
@@ -220,6 +257,13 @@ MODULE_FORMS = (("so_dimm|sodimm", "SO_DIMM"), ("dimm", "DIMM"))
 MODULARITY = (("^nao$|^no$|^false$|modular_nao|nao_modular|non_modular", "NAO_MODULAR"), ("semi_modular", "SEMI_MODULAR"), ("^sim$|^yes$|^true$|^completamente$|^totalmente$|modular", "MODULAR"))
 M2_KEYS = ((r"b_?m\b|b_m_key|key_b_m", "B_M"), (r"(?:^|_)m(?:_|$)", "M"), (r"(?:^|_)b(?:_|$)", "B"))
 
+CASE_SIZES = (("full_tower", "FULL_TOWER"), ("mid_?tower", "MID_TOWER"), ("mini_?tower", "MINI_TOWER"), ("^sff$|^small_form_factor$", "SFF"), ("open_frame", "OPEN_FRAME"))
+COOLERS = (("water_cooler|(?:^|_)aio(?:_|$)", "WATER_COOLER"), ("air_?cooler|tower_cooler", "AIR_COOLER"))
+FAN_PLUGS = (("4_pin|pwm", "PWM_4_PINOS"), ("3_pin", "DC_3_PINOS"), ("molex", "MOLEX"), ("propriet", "PROPRIETARIO"))
+PLACES = (("^sup|^top", "TOPO"), ("^tras|^rear", "TRASEIRA"), ("^inf|^bottom", "INFERIOR"), ("^fr", "FRENTE"), ("^lat|^side", "LATERAL"))
+HANDS = (("destro", "Destro"), ("canhoto", "Canhoto"), ("ambidestro", "Ambidestro"))
+SCREENS = ("4K", "UHD", "QHD", "WQHD", "FHD", "FULL HD", "HD")
+
 CONVERTERS: dict[str, Callable[[Column], Column]] = {
     "text": S.clean, "upper": lambda c: F.upper(S.clean(c)), "number": lambda c: shown(first_number(c)), "integer": lambda c: _whole(first_number(c)), "grouped": grouped,
     "mhz": lambda c: _whole(_scaled(c, {"ghz": 1000, "mhz": 1}, None, lambda n: F.when(n < 20, n * 1000).otherwise(n))),
@@ -229,6 +273,13 @@ CONVERTERS: dict[str, Callable[[Column], Column]] = {
     "interface": _interface, "module_form": lambda c: _vocabulary(MODULE_FORMS, c), "modularity": lambda c: _vocabulary(MODULARITY, c), "m2_length": lambda c: S.m2_length(c).cast("string"),
     "m2_key": lambda c: _vocabulary(M2_KEYS, c), "side_1": _side(0), "side_2": _side(1), "side_3": _side(2), "card_1": _side(0, True), "card_2": _side(1, True), "card_3": _side(2, True),
     "sum": lambda c: S.let(F.transform(F.split(c, " "), lambda x: F.rint(first_number(x))), lambda ns: F.when(F.exists(ns, lambda n: n > 0), _whole(F.aggregate(F.filter(ns, lambda n: n > 0), F.lit(0.0), lambda a, n: a + n)))),
+    "case_size": lambda c: _vocabulary(CASE_SIZES, c), "cooler_type": lambda c: _vocabulary(COOLERS, c), "fan_plug": lambda c: _vocabulary(FAN_PLUGS, c), "present": lambda c: F.when(c != "", "true"), "sockets": _sockets,
+    "board_forms": lambda c: _each(c, "[/,|;]+", lambda x: _vocabulary(BOARD_FORMS, x)), "supply_forms": lambda c: _each(c, "[/,|;]+", lambda x: _vocabulary(SUPPLY_FORMS, x)),
+    "fan_places": _places(r"(Superior|Topo|Traseir[oa]|Inferior|Frente|Frontal|Lateral)\s*:\s*(\d+)\s*x\s*(\d+)\s*mm", lambda place, n, size: F.concat(place, F.lit(" "), n, F.lit("x"), size)),
+    "radiator_places": _places(r"(Top|Topo|Front|Frente|Frontal|Rear|Traseir[oa]|Bottom|Inferior|Side|Lateral)\s*:?\s*(?:up\s+to\s*)?(120|140|240|280|360|420)\s*mm", lambda place, size: F.concat(place, F.lit(" "), size)),
+    "greatest": lambda c: F.array_max(F.transform(F.split(c, " "), lambda x: x.try_cast("int"))).cast("string"), "hand": lambda c: _vocabulary(HANDS, c),
+    "screen": lambda c: S.let(F.regexp_extract(c, r"(?i)(\d{3,5}\s*[x×]\s*\d{3,5})", 1), lambda wh: F.when(wh != "", F.regexp_replace(F.lower(wh), r"\s*[x×]\s*", "x")).otherwise(F.coalesce(*(F.when(F.contains(F.upper(c), F.lit(n)), n) for n in SCREENS), S.clean(c)))),
+    "mount": lambda c: F.regexp_replace(F.regexp_replace(S.clean(c), r"(?i)(\d)\s*[x×]\s*(\d)", "$1x$2"), r"(?i)\s*mm\b", ""), "grams": lambda c: shown(F.when(c.rlike(r"(?i)\bkg\b"), first_number(c) * 1000).otherwise(first_number(c))),
     "absent": lambda c: F.when(c != "", "false"), "unless_none": lambda c: S.let(S.token(c), lambda t: F.when(t.isNotNull(), F.when(t.isin("nao", "nenhum", "sem", "nao_incluso"), "false").otherwise("true"))),
     "percent": lambda c: F.when(F.contains(c, F.lit("%")), shown(first_number(c))),
 }
@@ -266,6 +317,12 @@ class Row:
             return [(part(self.source(way.tokens), p), convert) for p in way.patterns]
         if isinstance(way, Whole):
             return [(self.source(way.tokens), convert)]
+        if isinstance(way, Joined):
+            told = F.concat_ws(" | ", *map(self.under, way.tokens.split()))
+            return [(F.when(told != "", told).otherwise(self.text), convert)]
+        if isinstance(way, Every):
+            all_ = F.concat_ws(" | ", *map(self.under, way.tokens.split()), self.text)
+            return [(S.let(all_, lambda t: F.array_join(F.concat(*(F.regexp_extract_all(t, F.lit(FLAGS + p), 1) for p in way.patterns)), " ")), convert)]
         if isinstance(way, Words):
             return [(F.when(_has(self.text, patterns), told), "text") for patterns, told in ((way.no, "false"), (way.yes, "true")) if patterns]
         if isinstance(way, Told):

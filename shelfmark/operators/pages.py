@@ -39,11 +39,8 @@ def without_boilerplate(html: Column) -> Column:
 
 
 def text(html: Column) -> Column:
-    """Plain text of a fragment: tags become spaces, the five named entities their characters."""
-    out = F.regexp_replace(html, "<[^>]+>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return S.clean(out)
+    """Plain text of a fragment: tags become spaces, entities their characters."""
+    return S.clean(S.unescaped(F.regexp_replace(html, "<[^>]+>", " ")))
 
 
 def status(page_title: Column, body: Column, url: Column | None = None) -> Column:

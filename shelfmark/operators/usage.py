@@ -63,6 +63,21 @@ def intake(requests: DataFrame, order: list[str]) -> DataFrame:
     return rows.withColumn("outcome", outcome).drop("nth", "first_print")
 
 
+def cache_answers(events: DataFrame, found_seconds: int = 1800, nothing_seconds: int = 30) -> DataFrame:
+    """cache_key, event_id, ts, outcome, payload of each LOOKUP among events (cache_key, event_id, ts, kind, payload): HIT with the payload stored last
+    and not older than found_seconds, NOTHING where nothing (null) was stored within nothing_seconds, else MISS. The batch form of `stateful.cached_answers`.
+
+    One window by key; a key that very many events share is one task's.
+    """
+    before = Window.partitionBy("cache_key").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    stored = F.last(F.when(F.col("kind") == "STORE", F.struct("ts", "payload")), ignorenulls=True).over(before)
+    rows = events.withColumn("_s", stored).where("kind = 'LOOKUP'")
+    age = F.col("ts").cast("double") - F.col("_s.ts").cast("double")
+    known = F.coalesce(age <= F.when(F.col("_s.payload").isNotNull(), found_seconds).otherwise(nothing_seconds), F.lit(False))
+    outcome = F.when(known & F.col("_s.payload").isNotNull(), "HIT").when(known, "NOTHING").otherwise("MISS")
+    return rows.select("cache_key", "event_id", "ts", outcome.alias("outcome"), F.when(known, F.col("_s.payload")).alias("payload"))
+
+
 def cache_lookup(wanted: DataFrame, cache: DataFrame, now, ttl_seconds: float) -> DataFrame:
     """wanted (cache_key) with payload: the newest entry of its key that isn't older than the ttl."""
     fresh = cache.where(F.col("created_at") >= now - ttl_seconds).groupBy("cache_key").agg(F.max_by("payload", "created_at").alias("payload"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cross, gate, nested, products
+from ..operators import cross, gate, nested, products, usage
 from .catalogue import query, rows
 
 # Listings: of each part one that names it in one of six ways. Every tenth part stands in the catalogue twice.
@@ -103,3 +103,15 @@ def _(spark, sf_dir):
     given = {name: rows(spark, sf_dir, sql) for name, sql in _G.items()}
     found = gate.quality_gate(given["records"], given["schema"], given["values"], given["scores"], given["confirmations"], given["conflicts"])
     return found.withColumns({c: F.array_join(c, ",") for c in ("reasons", "review")})
+
+
+# A cache in front of searches: purchases store what they found (nothing, of even values), other events look up; a key is a user.
+_CACHED = "select cast(user_id as varchar(20)) as cache_key, event_id, ts, case when event_type = 'purchase' then 'STORE' else 'LOOKUP' end as kind, case when event_type = 'purchase' and cast(floor(value) as int) % 2 = 1 then cast(value as varchar(30)) end as payload from events"
+
+
+@query("cache_answers", f"""
+with e as ({_CACHED}), s as (select l.cache_key, l.event_id, l.ts, max(struct_pack(ts := s.ts, id := s.event_id)) as at from e l left join e s on s.cache_key = l.cache_key and s.kind = 'STORE' and (s.ts < l.ts or (s.ts = l.ts and s.event_id < l.event_id)) where l.kind = 'LOOKUP' group by all),
+j as (select s.*, e.payload as p, epoch(s.ts) - epoch(e.ts) <= case when e.payload is null then 30 else 1800 end as known from s left join e on e.event_id = s.at.id and s.at.id is not null)
+select cache_key, event_id, case when known and p is not null then 'HIT' when known then 'NOTHING' else 'MISS' end as outcome, case when known then p end as payload from j""")
+def _(spark, sf_dir):
+    return usage.cache_answers(rows(spark, sf_dir, _CACHED)).drop("ts")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import spec_rules, specs
+from ..functions import device_rules, spec_rules, specs
 from ..operators import evidence_passages
 from .catalogue import query, rows
 from .markups import filled
@@ -66,10 +66,63 @@ SHEETS: dict[str, list[tuple[str, str, tuple[str, str], tuple[str, str], str]]]
         ("conectoresSata", "size", ("Conectores", "{size}x SATA"), ("Conectores da Fonte", "SATA (15 pinos) {size}"), "Conector SATA: {size}"),
         ("tensaoEntrada", "lga || ' V'", ("INPUT_VOLTAGE", "{lga} V"), ("Tensão de entrada", "{lga}  V"), "Faixa de tensão de entrada: {lga} V"),
     ],
+    "GABINETE": [
+        ("tamanho", "'MID_TOWER'", ("CASE_TYPE", "Mid Tower"), ("Tamanho", "mid-tower ATX"), "Gabinete Mid Tower"),
+        ("alturaMm", "lga", ("HEIGHT", "{lga} mm"), ("Altura", "{lga}"), "Altura: {lga} mm"),
+        ("formatosPlacaMaeSuportados", "'ATX, MINI_ITX'", ("Motherboard Support", "ATX / Mini-ITX / ATX"), ("Placa mãe suportada", "ATX, mini itx"), "Placa-mãe suportada: ATX | Mini ITX"),
+        ("comprimentoMaximoGpuMm", "lga", ("MAX_GPU_LENGTH", "{lga} mm"), ("Comprimento máximo da GPU", "{lga}"), "placas de vídeo de até {lga} mm"),
+        ("baias25", "size", ("Baias", "{size}x SSD 2.5"), ("Baias", "{size} x 2,5"), "Baias: {size}x 2.5"),
+        ("suportesFans", "'FRENTE ' || size || 'x120, TOPO 2x140'", ("-", "-"), ("Ventoinhas Suportadas", "Frontal: {size}x 120mm Superior: 2 x 140 mm"), "Ventoinhas Suportadas: Frente: {size} x 120 mm, Topo: 2x140mm"),
+        ("slotsTraseiros", "size", ("EXPANSION_SLOTS", "{size}"), ("Slots de expansão", "{size}"), "Slots de expansão: {size}"),
+    ],
+    "COOLER": [
+        ("tipo", "'AIR_COOLER'", ("COOLER_TYPE", "Air Cooler"), ("Tipo", "air cooler torre"), "Tower cooler"),
+        ("socketsSuportados", "'AM5, LGA' || lga", ("CPU_SOCKETS", "AM5 / LGA {lga}"), ("Compatibilidade AMD", "AM5, LGA{lga}"), "serve em AM5 e LGA{lga}"),
+        ("capacidadeTermicaWatts", "lga", ("THERMAL_CAPACITY", "{lga} W"), ("Capacidade térmica", "{lga}"), "TDP Máximo: {lga} W"),
+        ("quantidadeVentoinhas", "size", ("FANS_NUMBER", "{size}"), ("Número de Ventoinhas", "{size}"), "Número de Ventoinhas: {size}"),
+        ("velocidadeMaxRpm", "lga", ("MAX_RPM", "{lga} RPM"), ("Velocidade máxima", "{lga}"), "Velocidade da Ventoinha: 500 ~ {lga} RPM"),
+        ("ruidoDb", "size || '.5'", ("NOISE_LEVEL", "{size}.5 dB"), ("Nível de Ruído", "{size},5"), "Ruído: {size},5 dB"),
+    ],
+    "VENTOINHA": [
+        ("rpmMaxima", "lga", ("MAX_RPM", "{lga}"), ("RPM máxima", "{lga} RPM"), "velocidade máxima: {lga} RPM"),
+        ("conector", "'PWM_4_PINOS'", ("PWM Support", "Yes"), ("Conector", "4 pinos"), "plugue PWM"),
+        ("pwm", "'true'", ("-", "-"), ("-", "-"), "-"),
+        ("fluxoArCfm", "size || '.5'", ("CFM", "{size}.5"), ("Fluxo de ar", "{size},5 CFM"), "{size}.5 CFM"),
+        ("pressaoEstaticaMmH2o", "size", ("STATIC_PRESSURE", "{size} mm"), ("Pressão estática", "{size}"), "{size} mm H2O"),
+    ],
+    "MONITOR": [
+        ("tamanhoPolegadas", "10 + size % 9", ("SCREEN_SIZE", "{volts} in"), ("Tamanho da tela", "{volts} polegadas"), "{volts} pol"),
+        ("resolucao", "lga || 'x' || lga", ("RESOLUTION", "{lga} x {lga} pixels"), ("Resolução Máxima", "{lga}x{lga}"), "tela {lga}×{lga}"),
+        ("taxaAtualizacaoHz", "lga", ("REFRESH_RATE", "{lga} Hz"), ("Taxa de atualização", "{lga}Hz"), "{lga} Hz"),
+        ("brilhoNits", "lga", ("BRIGHTNESS", "{lga} cd/m2"), ("Brilho", "{lga} nits"), "{lga} nits"),
+        ("tipoPainel", "'IPS'", ("PANEL_TYPE", "IPS"), ("Painel da Tela", "IPS"), "Painel da Tela: IPS"),
+        ("displayPort", "size", ("DisplayPort", "{size}"), ("Quantidade de DisplayPort", "{size}"), "{size} x DisplayPort"),
+        ("vesa", "'100x100'", ("VESA", "100 x 100 mm"), ("Padrão de Furação", "100x100mm"), "VESA 100x100"),
+    ],
+    "MOUSE": [
+        ("dpiMaximo", "1000 * size", ("MAX_DPI", "{size}000"), ("DPI máximo", "{size}000 DPI"), "DPI: Até {size}.000 DPI"),
+        ("pollingRateHz", "lga", ("POLLING_RATE", "{lga} Hz"), ("Polling rate", "{lga}"), "Polling Rate: {lga} Hz"),
+        ("botoes", "size", ("BUTTONS_NUMBER", "{size}"), ("Quantidade de botões", "{size}"), "Botões Programáveis: {size}"),
+        ("pesoGramas", "lga", ("WEIGHT", "{lga} g"), ("Peso do Produto", "{lga}"), "Peso: {lga} g"),
+        ("bluetooth", "'true'", ("Connection Type", "Bluetooth 5"), ("Conectividade", "USB / bluetooth"), "Conectividade: Bluetooth"),
+        ("wireless", "'true'", ("-", "-"), ("-", "-"), "-"), ("cabo", "'false'", ("-", "-"), ("-", "-"), "-"),
+    ],
+    "TECLADO": [
+        ("tipo", "'Mecânico'", ("KEYBOARD_TYPE", "Mecânico"), ("Tipo de Teclado", "Mecânico"), "teclado mecânico"),
+        ("switch", "'S' || size", ("Switch", "S{size}"), ("Tipo de switch", " S{size}"), "-"),
+        ("tamanho", "'TKL'", ("KEYBOARD_SIZE", "TKL"), ("Tamanho", "TKL"), "formato TKL"),
+        ("usb", "'true'", ("Connection Type", "USB-C"), ("Conectividade", "usb"), "Conexão: USB {size}"),
+    ],
+    "HEADSET": [
+        ("driverMm", "size", ("DRIVER_SIZE", "{size} mm"), ("Driver", "{size}mm"), "drivers de {size} mm"),
+        ("impedancia", "lga", ("Impedance", "{lga} ohms"), ("Impedância", "{lga} ohm (passiva), 9 ohms"), "{lga} Ω"),
+        ("bateriaHoras", "size", ("BATTERY_LIFE", "{size} h"), ("Autonomia da bateria", "{size}"), "Autonomia: até {size} h"),
+        ("microfone", "case when key % 4 < 2 then 'true' else 'false' end", ("WITH_MICROPHONE", "{yes}"), ("Microfone", "{yes}"), "-"),
+    ],
 }
 #: Fields that a style does not tell.
-UNTOLD = {("FONTE", "comprimentoMm"): 0}
-CATEGORIES, STYLES = list(SHEETS), 3
+UNTOLD = {("FONTE", "comprimentoMm"): 0, ("GABINETE", "suportesFans"): 0, ("TECLADO", "switch"): 2, ("HEADSET", "microfone"): 2}
+CATEGORIES, STYLES, RULES = list(SHEETS), 3, spec_rules.CATEGORIES | device_rules.CATEGORIES
 SHEET = """select p_partkey as key, p_size as size, 1000 + p_size as lga, 2 * p_size as twice, 10 + p_size % 9 as volts, case when p_partkey % 4 < 2 then 'Yes' else 'No' end as yes, case when p_partkey % 4 < 2 then 'com' else 'sem' end as com,
   case p_partkey % 4 when 0 then 'ATX' when 1 then 'Micro-ATX' when 2 then 'mini itx' else 'E-ATX' end as form from part"""
 KEYS = ("key", "size", "lga", "twice", "volts", "yes", "com", "form")
@@ -98,12 +151,12 @@ def sheet_sql(category: str) -> str:
 
 def _extracted(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     """The fields that SHEETS names; rules may find further ones in a sheet's lines."""
-    found = specs.long(specs.extract(sheets(spark, sf_dir).where(F.col("category").isin(*names)), {n: spec_rules.CATEGORIES[n] for n in names}).withColumn("_k", F.struct("record_id", "category")), "_k")
+    found = specs.long(specs.extract(sheets(spark, sf_dir).where(F.col("category").isin(*names)), {n: RULES[n] for n in names}).withColumn("_k", F.struct("record_id", "category")), "_k")
     known = F.array(*(F.lit(f"{n}.{f[0]}") for n in names for f in SHEETS[n]))
     return found.where(F.array_contains(known, F.concat_ws(".", "_k.category", "field"))).select("_k.record_id", "field", "value")
 
 
-for _name, _category in {"extract_cpu": "PROCESSADOR", "extract_board": "PLACA_MAE", "extract_ram": "MEMORIA_RAM", "extract_gpu": "PLACA_VIDEO", "extract_storage": "ARMAZENAMENTO", "extract_psu": "FONTE"}.items():
+for _name, _category in {"extract_cpu": "PROCESSADOR", "extract_board": "PLACA_MAE", "extract_ram": "MEMORIA_RAM", "extract_gpu": "PLACA_VIDEO", "extract_storage": "ARMAZENAMENTO", "extract_psu": "FONTE", "extract_case": "GABINETE", "extract_cooler": "COOLER", "extract_fan": "VENTOINHA", "extract_monitor": "MONITOR", "extract_mouse": "MOUSE", "extract_keyboard": "TECLADO", "extract_headset": "HEADSET"}.items():
     query(_name, sheet_sql(_category))(lambda spark, sf_dir, c=_category: _extracted(spark, sf_dir, c))
 
 
@@ -126,7 +179,7 @@ def _passage(category: str) -> str:
 
 
 #: Fields that one passage tells by itself; others need a second one.
-ALONE = "field not in ('saidasVideo', 'escritaSequencialMbps') and not (field = 'capacidadePorModuloGb' and record_id // 6 % 3 > 0)"
+ALONE = f"field not in ('saidasVideo', 'escritaSequencialMbps', 'pwm', 'wireless', 'cabo') and not (field = 'capacidadePorModuloGb' and record_id // {len(CATEGORIES)} % 3 > 0)"
 
 
 @query("field_evidence", f"select * from ({' union all '.join(map(_passage, CATEGORIES))}) where {ALONE}")
@@ -134,6 +187,6 @@ def _(spark, sf_dir):
     source = sheets(spark, sf_dir)
     known = F.array(*(F.lit(f"{n}.{f[0]}") for n in CATEGORIES for f in SHEETS[n]))
     key = F.struct("record_id", "source_id", "category")
-    found = specs.long(specs.extract(source, spec_rules.CATEGORIES).withColumn("_k", key), "_k").where(F.array_contains(known, F.concat_ws(".", "_k.category", "field")))
+    found = specs.long(specs.extract(source, RULES).withColumn("_k", key), "_k").where(F.array_contains(known, F.concat_ws(".", "_k.category", "field")))
     found = found.select("_k.record_id", "_k.source_id", "field", "value")
-    return evidence_passages.evidence(source, found, spec_rules.CATEGORIES).where(ALONE.replace("//", "div")).select("record_id", "field", "value", "passage")
+    return evidence_passages.evidence(source, found, RULES).where(ALONE.replace("//", "div")).select("record_id", "field", "value", "passage")
