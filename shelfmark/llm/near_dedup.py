@@ -21,8 +21,8 @@ Components are found by minimum labels with pointer jumping, each round checkpoi
 
 Edge cases: fewer words than a shingle: the whole sequence is one shingle; null and blank texts have an empty
 set and are linked with nothing, their component is their own doc_id; repeated rows are copies of each other;
-of copies the smallest doc_id is kept (all rows that carry it); a null doc_id is never kept but for an empty
-text; extra columns are ignored; an empty table gives an empty result. Sets are told apart by a 128-bit sum of
+of copies the smallest doc_id is kept (all rows that carry it); a row without doc_id links others as all do, but is kept only
+if its text is empty; a component without any doc_id has none; extra columns are ignored; an empty table gives an empty result. Sets are told apart by a 128-bit sum of
 shingle hashes and their size; nodes are numbered by its first half.
 """
 
@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -334,15 +334,44 @@ def links(docs: DataFrame, share: int = SHARE) -> tuple[DataFrame, DataFrame, Da
     return rows, nodes, labels
 
 
-def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept: one row a document."""
-    rows, nodes, labels = links(docs, share)
+def of_texts(texts: DataFrame, share: int = SHARE) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links): one row a text, where every text has a doc_id of its own.
+
+    Texts are joined by that doc_id, so it must not be null nor shared.
+    """
+    rows, nodes, labels = links(texts, share)
     marked = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = marked.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_node = marked.join(ids, "label").select("node", "component_id").groupBy("node").agg(F.min("component_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("n_shingles") == 0)
-    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+    out = rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _distinct_texts(full: DataFrame, heads: DataFrame, key: Column) -> DataFrame:
+    """doc_id (the key) and text of each distinct text; only those that are copied are shuffled."""
+    keyed = full.select(key.alias("doc_id"), "text")
+    copied = sized_broadcast(heads.where("n > 1").select(F.col("key").alias("doc_id")))
+    return keyed.join(copied, "doc_id", "left_anti").union(keyed.join(copied, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
+def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept: one row a document.
+
+    Texts are linked by their MD5s and doc_ids come in at the end: a row without doc_id links others like any row, and a doc_id over many
+    texts is no hot key.
+    """
+    key = F.md5(F.col("text").cast("binary"))
+    has_word = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    full = docs.where(has_word)
+    heads = cut(full.groupBy(key.alias("key")).agg(F.min("doc_id").alias("head"), F.count("*").alias("n")))
+    found = of_texts(_distinct_texts(full, heads, key), share).withColumnRenamed("doc_id", "key")
+    placed = cut(found.join(heads.select("key", "head"), "key"))
+    ids = placed.groupBy("component_id").agg(F.min("head").alias("least"))
+    of_key = placed.join(ids, "component_id").select("key", "n_shingles", F.col("least").alias("component_id"))
+    out = docs.select("doc_id", F.when(has_word, key).alias("key")).join(of_key, "key", "left")
+    linked = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    kept = F.col("key").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return out.select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), linked.alias("component_id"), kept.alias("kept"))
 
 
 def one_each(docs: DataFrame) -> DataFrame:
@@ -358,10 +387,7 @@ def one_each(docs: DataFrame) -> DataFrame:
     has_word = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     full = docs.where(has_word)
     heads = cut(full.groupBy(key.alias("key")).agg(F.min(head).alias("head"), F.count("*").alias("n")))
-    keyed = full.select(key.alias("doc_id"), "text")
-    copied = sized_broadcast(heads.where("n > 1").select(F.col("key").alias("doc_id")))
-    texts = keyed.join(copied, "doc_id", "left_anti").union(keyed.join(copied, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    found = near_duplicates(texts).select(F.col("doc_id").alias("key"), "component_id")
+    found = of_texts(_distinct_texts(full, heads, key)).select(F.col("doc_id").alias("key"), "component_id")
     placed = cut(heads.select("key", "head").join(found, "key"))
     least = placed.groupBy(F.col("component_id").alias("of")).agg(F.min("head").alias("least"))
     # Several texts of a component may share its least doc_id; the least text among them is chosen.
