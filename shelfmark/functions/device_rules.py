@@ -122,4 +122,11 @@ HEADSET = (
     Field("bateriaHoras", "number", Names("battery_life autonomia_da_bateria"), Text(r"(?:Bateria|Autonomia)\s*:?\s*(?:at[eé]\s*)?([0-9.,]+)\s*h")),
 )
 
-CATEGORIES = {"GABINETE": CASE, "COOLER": COOLER, "VENTOINHA": FAN, "MONITOR": MONITOR, "MOUSE": MOUSE, "TECLADO": KEYBOARD, "HEADSET": HEADSET, "FONE": HEADSET}
+_SOUND = "especificacoes"
+MICROPHONE = (
+    Field("conexao", "unbracketed", Names("connection_type conexao"), Part(_SOUND, (r"Conex[aã]o\s+de\s+sa[ií]da\s*:\s*(.+?)(?=\s*\|\s*Consumo|\s*Consumo\s+de\s+energia|\n|$)",))),
+    Field("padraoPolar", "text", Names("polar_pattern padrao_polar"), Part(_SOUND, (r"Padr[aã]o\s+polar\s*:\s*([^|\n]+)",))),
+    Field("taxaAmostragemKhz", "number", Names("sample_rate taxa_de_amostragem"), Every(_SOUND, (r"taxa\s+de\s+amostragem\s*:\s*\d+\s*bits?/\s*([0-9.,]+)\s*k\s*[-–]\s*[0-9.,]+\s*k\s*Hz", r"taxa\s+de\s+amostragem\s*:\s*\d+\s*bits?/\s*[0-9.,]+\s*k\s*[-–]\s*([0-9.,]+)\s*k\s*Hz"), "highest"), Part(_SOUND, (r"taxa\s+de\s+amostragem[^|\n]*?([0-9.,]+)\s*kHz",))),
+)
+
+CATEGORIES = {"GABINETE": CASE, "COOLER": COOLER, "VENTOINHA": FAN, "MONITOR": MONITOR, "MOUSE": MOUSE, "TECLADO": KEYBOARD, "HEADSET": HEADSET, "FONE": HEADSET, "MICROFONE": MICROPHONE}

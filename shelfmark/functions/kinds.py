@@ -91,10 +91,9 @@ def _words(t: Column) -> Column:
 
 def relevant(query: Column, title: Column) -> Column:
     """Whether a title is what a query asks for; a query without words fits all."""
-    def judge(wanted, offered):
-        asked, told = _named(wanted), _named(offered)
+    def judge(wanted, offered, read):
+        asked, told, words, has = read["asked"], read["told"], read["words"], read["has"]
         kind, sold = F.get(asked, F.lit(0)).kind, F.get(told, F.lit(0))
-        words, has = _words(wanted), _words(offered)
         same_kind = kind.isNull() | F.coalesce(sold.kind == kind, F.lit(False))
         places = F.filter(F.transform(words, lambda w: F.regexp_instr(offered, F.concat(F.lit(r"\b"), w, F.lit(r"\b")))), lambda p: p > 0)
         an_accessory = kind.isNull() & F.coalesce(sold.kind.isin(*ACCESSORIES), F.lit(False))
@@ -107,4 +106,8 @@ def relevant(query: Column, title: Column) -> Column:
         required = F.array_union(_words(rest), F.filter(words, lambda w: w.rlike("[0-9]")))
         return (F.trim(wanted) == "") | (same_kind & names_it_first & others & same_model & (F.size(F.array_except(required, has)) == 0))
 
-    return S.let(F.struct(title_text(query).alias("q"), title_text(title).alias("t")), lambda x: judge(x.q, x.t))
+    def bound(x: Column) -> Column:
+        read = F.struct(_named(x.q).alias("asked"), _named(x.t).alias("told"), _words(x.q).alias("words"), _words(x.t).alias("has"))
+        return S.let(read, lambda r: judge(x.q, x.t, r))
+
+    return S.let(F.struct(title_text(query).alias("q"), title_text(title).alias("t")), bound)

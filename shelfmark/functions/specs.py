@@ -78,6 +78,7 @@ class Every:
 
     tokens: str
     patterns: tuple[str, ...]
+    convert: str = ""
 
 
 @dataclass(frozen=True)
@@ -277,6 +278,7 @@ CONVERTERS: dict[str, Callable[[Column], Column]] = {
     "board_forms": lambda c: _each(c, "[/,|;]+", lambda x: _vocabulary(BOARD_FORMS, x)), "supply_forms": lambda c: _each(c, "[/,|;]+", lambda x: _vocabulary(SUPPLY_FORMS, x)),
     "fan_places": _places(r"(Superior|Topo|Traseir[oa]|Inferior|Frente|Frontal|Lateral)\s*:\s*(\d+)\s*x\s*(\d+)\s*mm", lambda place, n, size: F.concat(place, F.lit(" "), n, F.lit("x"), size)),
     "radiator_places": _places(r"(Top|Topo|Front|Frente|Frontal|Rear|Traseir[oa]|Bottom|Inferior|Side|Lateral)\s*:?\s*(?:up\s+to\s*)?(120|140|240|280|360|420)\s*mm", lambda place, size: F.concat(place, F.lit(" "), size)),
+    "unbracketed": lambda c: S.clean(F.regexp_replace(c, r"(?iU)\s*\([^)]*(?:microfone|computador)[^)]*\)", "")), "highest": lambda c: shown(F.array_max(F.transform(F.split(c, " "), first_number))),
     "greatest": lambda c: F.array_max(F.transform(F.split(c, " "), lambda x: x.try_cast("int"))).cast("string"), "hand": lambda c: _vocabulary(HANDS, c),
     "screen": lambda c: S.let(F.regexp_extract(c, r"(?i)(\d{3,5}\s*[x×]\s*\d{3,5})", 1), lambda wh: F.when(wh != "", F.regexp_replace(F.lower(wh), r"\s*[x×]\s*", "x")).otherwise(F.coalesce(*(F.when(F.contains(F.upper(c), F.lit(n)), n) for n in SCREENS), S.clean(c)))),
     "mount": lambda c: F.regexp_replace(F.regexp_replace(S.clean(c), r"(?i)(\d)\s*[x×]\s*(\d)", "$1x$2"), r"(?i)\s*mm\b", ""), "grams": lambda c: shown(F.when(c.rlike(r"(?i)\bkg\b"), first_number(c) * 1000).otherwise(first_number(c))),
@@ -322,7 +324,7 @@ class Row:
             return [(F.when(told != "", told).otherwise(self.text), convert)]
         if isinstance(way, Every):
             all_ = F.concat_ws(" | ", *map(self.under, way.tokens.split()), self.text)
-            return [(S.let(all_, lambda t: F.array_join(F.concat(*(F.regexp_extract_all(t, F.lit(FLAGS + p), 1) for p in way.patterns)), " ")), convert)]
+            return [(S.let(all_, lambda t: F.array_join(F.concat(*(F.regexp_extract_all(t, F.lit(FLAGS + p), 1) for p in way.patterns)), " ")), way.convert or convert)]
         if isinstance(way, Words):
             return [(F.when(_has(self.text, patterns), told), "text") for patterns, told in ((way.no, "false"), (way.yes, "true")) if patterns]
         if isinstance(way, Told):

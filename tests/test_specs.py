@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.functions import spec_rules, specs
+from shelfmark.functions import device_rules, spec_rules, specs
 
+RULES = spec_rules.CATEGORIES | device_rules.CATEGORIES
 SCHEMA = "record_id int, category string, attributes array<struct<id string, name string, value string>>, text string"
 CASES = [
     ("PROCESSADOR", [("CPU_SOCKET", "Socket", "AM5"), ("ARCHITECTURE", "Arquitetura", "x86-64"), ("RAM_MEMORY_TYPE", "Tipo de memória RAM", "DDR5")], "Processador Ryzen", {"socket": "AM5", "tiposMemoriaSuportados": "DDR5", "arquitetura": None}),
@@ -23,6 +24,20 @@ CASES = [
     ("ARMAZENAMENTO", [(None, "Formato", "3,5 polegadas"), (None, "Interface", "SATA III"), (None, "Capacidade", "2 TB"), (None, "Dimensões", "22 x 80 x 2,3 mm")], "HDD", {"tipo": "HDD", "formato": "POLEGADAS_3_5", "interface": "SATA", "capacidadeGb": "2048", "larguraMm": None, "tamanhoM2Mm": None}),
     ("FONTE", [], "Fonte ATX 750W 80 Plus Gold totalmente modular ATX 3.1 OVP OCP SCP", {"formato": "ATX", "potenciaWatts": "750", "certificacao": "80 Plus Gold", "modularidade": "MODULAR", "padraoAtx": "3.1", "protecoes": "OVP, OCP, SCP"}),
     ("FONTE", [(None, "Conectores", "1x CPU / Processador (P4+4) 2x CPU / Processador (EPS 8) 3x GPU / Placa de Vídeo (PCI-E 6+2 pinos)"), (None, "Dimensões do Produto", "140 x 150 x 86 mm"), (None, "Modularidade", "Não")], "cabo nativo 12V-2x6", {"conectoresEpsCpu": "3", "conectoresPcie8Pinos": "3", "comprimentoMm": "140", "alturaMm": "86", "modularidade": "NAO_MODULAR", "conectores12v2x6": "1"}),
+    ("GABINETE", [(None, "Baias", "2x SSD 2.5 / 1x HDD 3.5"), (None, "Radiator Support", "Front: 360mm, Top: up to 240 mm")], "Gabinete Full Tower L 418mm x W 277mm x H 440mm\nPlaca-mãe suportada: ATX, Micro-ATX, Mini-ITX | x", {"tamanho": "FULL_TOWER", "profundidadeMm": "418", "larguraMm": "277", "alturaMm": "440", "formatosPlacaMaeSuportados": "ATX, MICRO_ATX, MINI_ITX", "baias25": "2", "baias35": "1", "suportesRadiador": "FRENTE 360, TOPO 240"}),
+    ("COOLER", [], "Water Cooler AIO 360 mm compatível AM5 LGA1700 3 ventoinhas ARGB 2100 RPM 25 dB", {"tipo": "WATER_COOLER", "socketsSuportados": "AM5, LGA1700", "tamanhoRadiadorMm": "360", "argb": "true", "rgb": "true", "velocidadeMaxRpm": "2100", "ruidoDb": "25"}),
+    ("COOLER", [(None, "Compatibilidade", "Intel: LGA115X / 1200 / 1700 | AMD: AM4"), (None, "Tamanho da ventoinha", "120 x 120 x 25 mm")], "air cooler Velocidade: 800 RPM até 1.500 RPM", {"tipo": "AIR_COOLER", "socketsSuportados": "LGA115X, AM4, LGA1200, LGA1700", "tamanhoVentoinhaMm": "120", "espessuraVentoinhaMm": "25"}),
+    ("VENTOINHA", [], "Ventoinha 120 mm PWM 4 pinos 1800 RPM 62.5 CFM 1.8 mmH2O 25 dB ARGB", {"tamanhoMm": "120", "conector": "PWM_4_PINOS", "pwm": "true", "rpmMaxima": "1800", "fluxoArCfm": "62.5", "pressaoEstaticaMmH2o": "1.8", "argb": "true"}),
+    ("VENTOINHA", [(None, "PWM", "Não")], "fan 3 pinos 500 - 1.500 RPM reverse blade", {"conector": "DC_3_PINOS", "pwm": "false", "rpmMinima": "500", "rpmMaxima": "1500", "fluxoReverso": "true"}),
+    ("MONITOR", [], 'Monitor 27" 2560x1440 IPS 180Hz 1ms HDR FreeSync 2 x HDMI 1 x DisplayPort VESA 100x100', {"tamanhoPolegadas": "27", "resolucao": "2560x1440", "taxaAtualizacaoHz": "180", "tipoPainel": "IPS", "hdmi": "2", "displayPort": "1", "vesa": "100x100", "hdr": "true", "freeSync": "true", "tempoRespostaMs": "1"}),
+    ("MONITOR", [(None, "Resolução", "Full HD"), (None, "HDMI", "2")], "HDMI 2.1", {"resolucao": "FULL HD", "hdmi": "2"}),
+    ("MOUSE", [(None, "Conexões", "USB"), (None, "Bluetooth", "Sim")], "Mouse para destros, até 25.600 DPI", {"conexao": "Bluetooth / USB", "bluetooth": "true", "wireless": "true", "cabo": "false", "dpiMaximo": "25600", "mao": "Destro"}),
+    ("MOUSE", [(None, "Conexão", "USB com fio")], "", {"conexao": "USB com fio", "cabo": "true", "bluetooth": None}),
+    ("TECLADO", [], "Teclado mecânico ABNT2 Conexão: USB-C Bluetooth 2.4GHz RGB hot-swap 75%", {"tipo": "Mecânico", "abnt2": "true", "rgb": "true", "hotSwap": "true", "tamanho": "75%", "usb": "true", "bluetooth": "true"}),
+    ("TECLADO", [(None, "Tipo", "Compacto")], "membrana", {"tipo": "Membrana", "tamanho": "Compacto"}),
+    ("HEADSET", [(None, "Peso", "0,3 kg"), (None, "Impedância", "32 ohms (passiva), 60 ohms")], "Headset Bluetooth wireless driver 50 mm microfone 7.1 bateria 30 h", {"bluetooth": "true", "wireless": "true", "driverMm": "50", "microfone": "true", "somSurround": "true", "pesoGramas": "300", "impedancia": "32", "bateriaHoras": "30"}),
+    ("MICROFONE", [(None, "Especificações", "Padrão polar: Cardioide | Conexão de saída: USB-C (no microfone) | Consumo de energia: 5 V | Taxa de amostragem: 24 bits/ 44,1 k - 96 k Hz")], None, {"padraoPolar": "Cardioide", "conexao": "USB-C", "taxaAmostragemKhz": "96"}),
+    ("MICROFONE", [(None, "Conexão", "XLR")], "Taxa de amostragem de até 48 kHz", {"conexao": "XLR", "taxaAmostragemKhz": "48"}),
     ("OUTRA", [(None, "Socket", "AM5")], "x", {"socket": None}),
 ]
 
@@ -30,7 +45,7 @@ CASES = [
 @pytest.fixture(scope="module")
 def found(spark):
     rows = spark.createDataFrame([(i, c, [*a, (None, "x", None), (None, None, "y")] if i % 2 else a, t) for i, (c, a, t, _) in enumerate(CASES)], SCHEMA)
-    return {r.record_id: r.specs for r in specs.extract(rows, spec_rules.CATEGORIES).collect()}
+    return {r.record_id: r.specs for r in specs.extract(rows, RULES).collect()}
 
 
 @pytest.mark.parametrize("i", range(len(CASES)))
@@ -41,9 +56,9 @@ def test_a_sheet_gives_its_fields(found, i):
 
 def test_records_without_attributes_or_category(spark):
     rows = spark.createDataFrame([(1, "FONTE", None, "500 W"), (2, None, None, None), (3, "FONTE", [], None)], SCHEMA)
-    got = {r.record_id: r.specs for r in specs.extract(rows, spec_rules.CATEGORIES).collect()}
+    got = {r.record_id: r.specs for r in specs.extract(rows, RULES).collect()}
     assert got == {1: {"potenciaWatts": "500"}, 2: {}, 3: {}}
-    assert specs.long(specs.extract(rows, spec_rules.CATEGORIES)).where(F.col("field") == "potenciaWatts").count() == 1
+    assert specs.long(specs.extract(rows, RULES)).where(F.col("field") == "potenciaWatts").count() == 1
 
 
 def test_numbers_in_either_style(spark):
