@@ -72,7 +72,8 @@ def cache_answers(events: DataFrame, found_seconds: int = 1800, nothing_seconds:
     before = Window.partitionBy("cache_key").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     stored = F.last(F.when(F.col("kind") == "STORE", F.struct("ts", "payload")), ignorenulls=True).over(before)
     rows = events.withColumn("_s", stored).where("kind = 'LOOKUP'")
-    age = F.col("ts").cast("double") - F.col("_s.ts").cast("double")
+    since = lambda c: F.col(c).cast("timestamp").cast("double")
+    age = since("ts") - since("_s.ts")
     known = F.coalesce(age <= F.when(F.col("_s.payload").isNotNull(), found_seconds).otherwise(nothing_seconds), F.lit(False))
     outcome = F.when(known & F.col("_s.payload").isNotNull(), "HIT").when(known, "NOTHING").otherwise("MISS")
     return rows.select("cache_key", "event_id", "ts", outcome.alias("outcome"), F.when(known, F.col("_s.payload")).alias("payload"))

@@ -69,7 +69,7 @@ SHEETS: dict[str, list[tuple[str, str, tuple[str, str], tuple[str, str], str]]]
     "GABINETE": [
         ("tamanho", "'MID_TOWER'", ("CASE_TYPE", "Mid Tower"), ("Tamanho", "mid-tower ATX"), "Gabinete Mid Tower"),
         ("alturaMm", "lga", ("HEIGHT", "{lga} mm"), ("Altura", "{lga}"), "Altura: {lga} mm"),
-        ("formatosPlacaMaeSuportados", "'ATX, MINI_ITX'", ("Motherboard Support", "ATX / Mini-ITX / ATX"), ("Placa mãe suportada", "ATX, mini itx"), "Placa-mãe suportada: ATX | Mini ITX"),
+        ("formatosPlacaMaeSuportados", "'ATX, MINI_ITX'", ("Motherboard Support", "ATX / Mini-ITX / ATX"), ("Placa mãe suportada", "ATX, mini itx"), "Placa-mãe suportada: ATX, Mini ITX"),
         ("comprimentoMaximoGpuMm", "lga", ("MAX_GPU_LENGTH", "{lga} mm"), ("Comprimento máximo da GPU", "{lga}"), "placas de vídeo de até {lga} mm"),
         ("baias25", "size", ("Baias", "{size}x SSD 2.5"), ("Baias", "{size} x 2,5"), "Baias: {size}x 2.5"),
         ("suportesFans", "'FRENTE ' || size || 'x120, TOPO 2x140'", ("-", "-"), ("Ventoinhas Suportadas", "Frontal: {size}x 120mm Superior: 2 x 140 mm"), "Ventoinhas Suportadas: Frente: {size} x 120 mm, Topo: 2x140mm"),
