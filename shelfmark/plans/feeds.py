@@ -95,7 +95,7 @@ def _(spark, sf_dir):
 # Captured pages: of each part one, in one of five forms of identity.
 @query("captured_products", """
 select p_partkey as record_id, how <> 4 as ok, case when how <> 4 then p_brand || ' ' || p_name || tail end as title, case when how <> 4 then p_brand else 'Other' end as brand,
-  case how when 0 then 'Line ' || p_size when 1 then 'Line RTX 4060 TI' when 2 then 'C' || p_partkey || 'x' when 3 then 'K' || p_partkey || 'y' else 'ZZ-' || p_partkey end as model, case when how in (0, 1, 4) then 'ZZ-' || p_partkey end as mpn, p_retailprice as price, case when p_partkey % 2 = 0 then p_retailprice * 2 end as previous_price, p_partkey % 3 = 0 as available,
+  case how when 0 then 'Line ' || p_size when 1 then 'Line RTX 4060 TI' when 2 then 'C' || p_partkey || 'x' when 3 then 'K' || p_partkey || 'y' else 'ZZ-' || p_partkey end as model, case when how in (0, 1) or (how = 4 and p_partkey >= 10) then 'ZZ-' || p_partkey end as mpn, p_retailprice as price, case when p_partkey % 2 = 0 then p_retailprice * 2 end as previous_price, p_partkey % 3 = 0 as available,
   case how when 0 then 'MPN=' || 'ZZ-' || p_partkey || '|Linha=Line ' || p_size when 1 then 'mpn=ZZ-' || p_partkey || '|Linha=Line' when 2 then 'Cor=' || p_type when 3 then 'Número do processador=K' || p_partkey || 'y' else 'Marca=Other|Modelo=ZZ-' || p_partkey || '|Referência=ZZ-' || p_partkey end as attributes
 from (select *, p_partkey % 5 as how, case p_partkey % 5 when 1 then ' RTX 4060  Ti' when 2 then ' - C' || p_partkey || 'x' else '' end as tail from part) x""")
 def _(spark, sf_dir):
