@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def dedup_by_key(rows: DataFrame, key: Column, pos: str) -> DataFrame:
     """The first row by `pos` of each key; rows without a key are all kept."""
@@ -54,8 +56,6 @@ def greedy_dedup(rows: DataFrame, url: str, name: str, pos: str) -> DataFrame:
     A row's fate depends only on rows that share its url or name, directly or through others. Rounds: the first open row of
     both its url and its name is kept; open rows that share either with a kept row go; until none is open.
     """
-    from ..plans.lineage import cut
-
     left = cut(rows.select(F.col(pos).alias("p"), F.col(url).alias("u"), F.col(name).alias("n")))
     kept = None
     while not left.isEmpty():

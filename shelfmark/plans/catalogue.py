@@ -397,7 +397,12 @@ def _(spark, sf_dir):
     return ordering.most_informative(t, "p_brand", ["k", "extra"], "id").select("id", "p_brand")
 
 
-@query("greedy_dedup")
+@query("greedy_dedup", """
+with recursive t as (select *, row_number() over (order by pos) as i from (select p_partkey as pos, 'u' || (p_partkey * 7 % 97) as url, p_name || p_size as name from part)),
+w as (select 0::bigint as i, []::varchar[] as urls, []::varchar[] as names, null::bigint as pos, null::varchar as url, null::varchar as name, false as kept
+  union all select t.i, case when k then list_append(w.urls, t.url) else w.urls end, case when k then list_append(w.names, t.name) else w.names end, t.pos, t.url, t.name, k
+  from w join t on t.i = w.i + 1, lateral (select not list_contains(w.urls, t.url) and not list_contains(w.names, t.name) as k) l)
+select pos, url, name from w where kept""")
 def _(spark, sf_dir):
     t = rows(spark, sf_dir, "select p_partkey as pos, concat('u', cast(p_partkey * 7 % 97 as string)) as url, concat(p_name, cast(p_size as string)) as name from part")
     return ordering.greedy_dedup(t, "url", "name", "pos")

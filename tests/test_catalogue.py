@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from shelfmark.plans import cases, catalogue, discoveries, feeds, identities, market, markups, research, resolution, spec_sheets, wordings  # noqa: F401
+from shelfmark.plans import arriving, cases, catalogue, discoveries, feeds, identities, market, markups, research, resolution, spec_sheets, wordings  # noqa: F401
 
 SF = os.environ.get("SHELFMARK_TEST_DIR", "/root/testdata/sf0.001")
 
