@@ -37,29 +37,32 @@ def expanded_search(searches: DataFrame, pages: DataFrame) -> DataFrame:
     keywords of a query are read in turn, six pages of the query alone or two of each; a keyword ends at a page that is missing, empty,
     without a new item or the last, all end once `most` items fit. An item (by shop and item, else address or name) counts the first
     time it is seen; it fits if it is relevant, and on promotion where that is asked. Order: relevance, then as found. Null and blank
-    queries read pages of a null keyword. A query's pages are few and bounded, so they are walked inside one row.
+    queries read pages of a null keyword. Items are judged once a distinct query; its pages are few and bounded, so each search walks them inside a row.
     """
-    words = searches.select("query_id", "query", F.col("most").cast("int").alias("most"), F.coalesce("promotions_only", F.lit(False)).alias("promoted"), keywords(F.col("query")).alias("w"))
-    asked = words.select("query_id", "query", "most", "promoted", F.when(F.size("w") > 1, PAGES_EACH).otherwise(PAGES_ALONE).alias("until"), F.posexplode("w").alias("turn", "word"))
+    plain = searches.select("query_id", F.coalesce("query", F.lit("")).alias("query"), F.col("most").cast("int").alias("most"), F.coalesce("promotions_only", F.lit(False)).alias("promoted"))
+    words = plain.select("query", keywords(F.col("query")).alias("w")).distinct()
+    asked = words.select("query", F.when(F.size("w") > 1, PAGES_EACH).otherwise(PAGES_ALONE).alias("until"), F.posexplode("w").alias("turn", "word"))
     read = pages.select(F.coalesce("keyword", F.lit("")).alias("word"), F.col("page").cast("int").alias("page"), F.coalesce("has_next", F.lit(False)).alias("more"), F.posexplode_outer("items").alias("pos", "item"))
     met = asked.withColumn("word", F.coalesce("word", F.lit(""))).join(read, "word").where(F.col("page").between(1, F.col("until")))
     item = F.col("item")
     wanted, offered = listings.tokens(F.col("query")), listings.tokens(item["name"])
     overlap = F.when(S.spaced(F.col("query")).isNull(), 0.0).otherwise(F.size(F.array_intersect(wanted, offered)) / F.greatest(F.size(wanted), F.lit(1)))
     kind = F.coalesce(kinds.first_kind(F.col("query")).isNotNull(), F.lit(False))
-    flat = met.withColumn("_rel", F.coalesce(kinds.relevant(F.col("query"), item["name"]), F.lit(False))).select(
-        "query_id", "most", "turn", "page", "more", "pos", "item", F.concat_ws("\u0001", F.coalesce(item["shop_id"].cast("string"), F.lit("")), F.coalesce(S.blank_to_null(item["item_id"].cast("string")), S.blank_to_null(item["url"]), item["name"], F.lit(""))).alias("key"),
-        (F.col("_rel") & (~F.col("promoted") | F.coalesce(item["promo"], F.lit(False)))).alias("fits"), F.round(ordering.relevance(overlap, kind & F.col("_rel"), item["sales"], item["rating"], item["discount"]), 4).alias("score"),
+    judged = S.apart(met.withColumn("rel", F.coalesce(kinds.relevant(F.col("query"), item["name"]), F.lit(False))))
+    flat = judged.select(
+        "query", "turn", "page", "more", "pos", "item", F.concat_ws("\u0001", F.coalesce(item["shop_id"].cast("string"), F.lit("")), F.coalesce(S.blank_to_null(item["item_id"].cast("string")), S.blank_to_null(item["url"]), item["name"], F.lit(""))).alias("key"),
+        "rel", F.coalesce(item["promo"], F.lit(False)).alias("promo"), F.round(ordering.relevance(overlap, kind & F.col("rel"), item["sales"], item["rating"], item["discount"]), 4).alias("score"),
     )
-    step = F.struct("turn", "page", "pos", "more", "key", "fits", "score", "item")
-    walk = flat.groupBy("query_id").agg(F.first("most").alias("most"), F.array_sort(F.collect_list(step)).alias("steps"))  # at most eight pages
+    step = F.struct("turn", "page", "pos", "more", "key", "rel", "promo", "score", "item")
+    found = flat.groupBy("query").agg(F.array_sort(F.collect_list(step)).alias("steps"))  # at most eight pages
+    walk = plain.join(found, "query")
 
     def visit(s: Column, x: Column) -> Column:
         same_word, same_page = s["turn"] == x["turn"], (s["turn"] == x["turn"]) & (s["page"] == x["page"])
         room = s["good"] < F.col("most")
         goes_on = F.when(same_page, s["alive"]).when(same_word, s["alive"] & (x["page"] == s["page"] + 1) & (s["fresh"] > 0) & s["more"] & room).otherwise(room & (x["page"] == 1))
         new = goes_on & x["pos"].isNotNull() & ~F.array_contains(s["seen"], x["key"])
-        good = new & x["fits"]
+        good = new & x["rel"] & (~F.col("promoted") | x["promo"])
         return F.struct(
             x["turn"].alias("turn"), x["page"].alias("page"), goes_on.alias("alive"), F.when(same_page, s["fresh"]).otherwise(0) + F.when(new, 1).otherwise(0), x["more"].alias("more"),
             F.when(new, F.concat(s["seen"], F.array(x["key"]))).otherwise(s["seen"]), s["good"] + F.when(good, 1).otherwise(0), F.concat(s["kept"], F.array(good)),
