@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import discovery
+from ..operators import answered, discovery
 from .cases import cases
 from .catalogue import query, rows
 
@@ -103,3 +103,21 @@ select search_id, coalesce(returned, 0)::bigint as returned, coalesce(registrabl
 from ({_SEARCHES.replace("as offset", 'as "offset"')}) left join i using (search_id) left join s using (search_id)""")
 def _(spark, sf_dir):
     return discovery.roll_up(*(rows(spark, sf_dir, t) for t in (_SEARCHES, _ITEMS, _SOURCES)))
+
+
+# Answers: of each part one, as lines, as a table, as an object, or as one inside a fence and a holder.
+@query("answered_fields", """
+select p_partkey as record_id, unnest(['marca', 'modelo', 'tamanhoGb']) as field, unnest([p_brand, p_name, p_size || case when p_partkey % 4 < 2 then ' GB' else '' end]) as value from part""")
+def _(spark, sf_dir):
+    name, brand, size = F.col("p_name"), F.col("p_brand"), F.col("p_size").cast("string")
+    text = lambda *cs: F.concat(*(F.lit(c) if isinstance(c, str) else c for c in cs))
+    sheet = F.struct(brand.alias("Marca"), name.alias("MODELO"), F.col("p_size").alias("Tamanho"), F.lit("unknown").alias("Cor"), F.lit(None).cast("string").alias("x"))
+    how = F.col("p_partkey") % 4
+    told = (
+        F.when(how == 0, text("Segue:\n1. **Marca**: ", brand, " [a](https://a.example/b)\n2) Modelo - ", name, "\n- Tamanho (GB): ", size, " GB\n* Cor: não informado\nMarca: outra"))
+        .when(how == 1, text("| Campo | Valor |\n|---|:--|\n| **marca** | ", brand, " |\n| modelo | `", name, "` |\n| tamanho gb | ", size, " GB |\n| cor | - |"))
+        .when(how == 2, F.to_json(sheet)).otherwise(text("```json\n", F.to_json(F.struct(F.lit("ok").alias("note"), sheet.alias("especificacoes"))), "\n```"))
+    )
+    aliases = spark.createDataFrame([("C", f, a) for f, names in (("marca", ("marca",)), ("modelo", ("modelo",)), ("tamanhoGb", ("tamanhoGb", "tamanho", "Tamanho (GB)")), ("cor", ("cor",))) for a in names], "category string, field string, alias string")
+    responses = rows(spark, sf_dir, "select * from part").select(F.col("p_partkey").alias("record_id"), F.lit(" c").alias("category"), told.alias("response_text"))
+    return answered.fields(responses, aliases)

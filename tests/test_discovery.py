@@ -104,3 +104,16 @@ def test_answers_and_roll_up(spark):
     sources = spark.createDataFrame([(1, "B", 2, None), (1, "A", None, "NAO_ENCONTRADO"), (1, "B", 1, "TIMEOUT"), (2, "A", 0, "CATEGORIA_NAO_SUPORTADA")], "search_id int, source string, found int, error string")
     got = [tuple(r) for r in discovery.roll_up(searches, items, sources).orderBy("search_id").collect()]
     assert got == [(1, 3, 2, 1, True, True, True, "A:0,B:3"), (2, 0, 0, 0, False, False, False, "A:0")]
+
+
+def test_pairs_of_answers(spark):
+    from shelfmark.operators import answered
+
+    texts = {
+        "Socket: AM5": [("Socket", "AM5")], "1. Socket: AM5": [("Socket", "AM5")], "**Socket:** AM5": [("Socket", "AM5")], "Socket - AM5": [("Socket", "AM5")], "• Socket — AM5": [("Socket", "AM5")], "| Socket | AM5 |": [("Socket", "AM5")], "| Field | Value |\n|---|---|\n| a | | b |": [],
+        '{"a": "x", "b": [1, 2], "c": null, "d": true}': [("a", "x"), ("b", "[1,2]"), ("d", "true")], '```json\n{"payload": {"especificacoes": {"a": 1}}}\n```': [("a", "1")], '{"a": 1} b: c': [('{"a"', "1} b: c")], "{}": [], "{broken": [], "no pair": [], "": [], None: [],
+        "x" * 141 + ": v": [], "a: " + "v" * 900: [], "y: 1\r\n\r\ny: 2": [("y", "1"), ("y", "2")],
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: [tuple(p) for p in r.o] for r in rows.select("t", answered.pairs(F.col("t")).alias("o")).collect()}
+    assert got == texts
