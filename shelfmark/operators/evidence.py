@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import cross
 from .resolve import present, source_confidence, value_key
 
 #: Fields that a graphics chip decides, and those that a notebook's or phone's configuration decides.
@@ -113,13 +114,21 @@ def grounded(claims: DataFrame, passages: DataFrame, read: Callable[[Column, Col
     """claims (claim_id, field, value, url, passage) with grounded: the claimed passage stands in a passage (url, line) collected from
     its URL, whatever the case and white space, and the value read from it is the claimed one.
 
-    Claims whose own passage doesn't give the value, or is blank or longer than `longest`, are refused before the join on URL.
+    Claims whose own passage doesn't give the value, or is blank or longer than `longest`, are refused first. A passage of three words
+    and more meets the lines that hold the rarest run of its inner words (the outer ones may be parts of words there), so the claims of an
+    address with many passages are not laid beside all of them; only shorter passages are. Lines travel as hashes until they have met a claim.
     """
     told = read(F.col("field"), F.col("passage"))
     fine = present(F.trim("passage")) & (F.length(F.trim("passage")) <= longest) & (value_key(told) == value_key(F.col("value")))
     asked = claims.where(F.coalesce(fine, F.lit(False))).select("claim_id", "url", value_key(F.col("passage")).alias("p"))
-    seen = passages.where("line is not null").select("url", value_key(F.col("line")).alias("l")).distinct()
-    good = asked.join(seen, "url").where(F.contains("l", "p")).select("claim_id").distinct().withColumn("grounded", F.lit(True))
+    words = F.split("p", " ")
+    asked = asked.withColumn("inner", F.when(F.size(words) >= 3, F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), " ")))
+    seen = passages.where("line is not null").select("url", value_key(F.col("line")).alias("l")).distinct().withColumn("h", F.xxhash64("l"))
+    runs = cross.rarest_run(asked, "inner", "url")
+    met = seen.select("url", "h", F.explode(cross.word_runs(F.split("l", " "))).alias("run")).join(runs, ["url", "run"]).select("url", "inner", "h").distinct()
+    long = asked.join(met, ["url", "inner"]).join(seen, ["url", "h"])
+    short = asked.where("inner is null").join(seen, "url")
+    good = long.select("claim_id", "p", "l").union(short.select("claim_id", "p", "l")).where(F.contains("l", "p")).select("claim_id").distinct().withColumn("grounded", F.lit(True))
     return claims.join(good, "claim_id", "left").withColumn("grounded", F.coalesce("grounded", F.lit(False)))
 
 
