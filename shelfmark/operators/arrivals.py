@@ -24,14 +24,17 @@ MEMORY_LABELS, MEMORY_ROW = ("memory type", "memory types"), r"(?i)^(DDR[345])\s
 def preflight(arrivals: DataFrame, registered: DataFrame, hardware: DataFrame) -> DataFrame:
     """row_id, route (OFFER_ONLY or FULL), kind, item_id, by: whether an arriving record is a registered product, else a known part; then it needs an offer only.
 
-    All have id (row_id of arrivals), brand, model, mpn and gtin. One equal item makes a match; several leave the full way.
+    All have id (row_id of arrivals), brand, model, mpn and gtin. One equal item makes a match; several leave the full way. Records that share
+    a row_id are each judged by what they tell themselves.
     """
+    identity = ["brand", "model", "mpn", "gtin"]
+    told = arrivals.select("row_id", *identity, F.struct("row_id", *identity).alias("_row"))
     by = F.when(F.col("score") >= 100, "GTIN").when(F.col("score") >= 95, "MPN").otherwise("MARCA_MODELO")
 
     def known(items: DataFrame, kind: str) -> DataFrame:
-        return matching.match_records(arrivals, items, "row_id").where("status = 'MATCH'").select(F.col("a_id").alias("row_id"), F.struct(F.lit(kind).alias("kind"), F.col("match_id").alias("item_id"), by.alias("by")).alias(kind))
+        return matching.match_records(told.dropDuplicates(["_row"]), items, "_row").where("status = 'MATCH'").select(F.col("a_id").alias("_row"), F.struct(F.lit(kind).alias("kind"), F.col("match_id").alias("item_id"), by.alias("by")).alias(kind)).hint("merge")
 
-    rows = arrivals.select("row_id").join(known(registered, "PRODUTO"), "row_id", "left").join(known(hardware, "HARDWARE"), "row_id", "left").withColumn("m", F.coalesce("PRODUTO", "HARDWARE"))
+    rows = told.select("row_id", "_row").join(known(registered, "PRODUTO"), "_row", "left").join(known(hardware, "HARDWARE"), "_row", "left").withColumn("m", F.coalesce("PRODUTO", "HARDWARE"))
     return rows.select("row_id", F.when(F.col("m").isNotNull(), "OFFER_ONLY").otherwise("FULL").alias("route"), "m.kind", "m.item_id", "m.by")
 
 
@@ -56,7 +59,7 @@ def hydrated(analyses: DataFrame, remote: DataFrame, captures: DataFrame, local:
     whole = remote.where(named(F.col("value"))).groupBy("record_id").agg(F.bool_or((F.col("part") == "root") & (F.col("field") == "nome")).alias("named"), F.bool_or(F.col("part") == "spec").alias("specified"))
     platform = F.coalesce(*(F.when(stores.under(S.host(F.col("url")), domains), F.lit(name)) for name, domains in {**stores.DOMAINS, "SHOPEE": ("shopee.com.br",)}.items()))
     seen = captures.where(platform.isin(*CAPTURED) & (F.length(F.trim("page_name")) >= LEAST_NAME)).select("record_id", "page_name", "n_attributes")
-    x = analyses.select("record_id", F.upper("category").alias("had"), F.upper("forced").alias("forced")).join(seen, "record_id", "left").join(whole, "record_id", "left")
+    x = analyses.select("record_id", F.upper("category").alias("had"), F.upper("forced").alias("forced")).join(seen.hint("merge"), "record_id", "left").join(whole.hint("merge"), "record_id", "left")
     x = S.apart(x.withColumn("corrected", captured_category(F.col("had"), F.col("page_name"), F.col("forced"))))
     x = x.withColumn("own", F.coalesce(S.blank_to_null(F.col("forced")), "corrected", S.blank_to_null(F.col("had")), categories.category(F.col("page_name"))))
     known = schemas.select(F.upper("category").alias("own"), F.lit(True).alias("known")).distinct()
@@ -67,7 +70,7 @@ def hydrated(analyses: DataFrame, remote: DataFrame, captures: DataFrame, local:
     takes = F.col("page_name").isNotNull() & flag("known") & ~complete
     head = x.select("record_id", F.when(takes, F.col("own")).otherwise(F.col("had")).alias("category"), takes.alias("takes"), (~takes | F.col("had").eqNullSafe(F.col("own"))).alias("same"))
     side = lambda df, name: df.where(named(F.col("value"))).select("record_id", "part", "field", F.col("value").alias(name))
-    both = side(remote, "r").join(side(local, "l"), ["record_id", "part", "field"], "full").join(head, "record_id")
+    both = side(remote, "r").join(side(local, "l").hint("merge"), ["record_id", "part", "field"], "full").join(head.hint("merge"), "record_id")
     offer = F.col("part") == "offer"
     local_value, remote_value = F.when(F.col("takes"), F.col("l")), F.when(offer | F.col("same"), F.col("r"))
     ours = F.when(offer, local_value.isNotNull()).otherwise(remote_value.isNull())
@@ -83,7 +86,7 @@ def component_seeds(parts: DataFrame, catalogue: DataFrame, brands: list[str]) -
     that leave the part open give none. Passages are judged as rows, so that their number costs no more than a shuffle of hints.
     """
     fixed = parts.where(~F.exists("passages", lambda p: F.coalesce(p.rlike(OPEN), F.lit(False))) | F.col("passages").isNull())
-    linked = fixed.join(catalogue.select("hardware_id", F.struct("name", "brand", "model").alias("item")), "hardware_id", "left")
+    linked = fixed.join(catalogue.select("hardware_id", F.struct("name", "brand", "model").alias("item")).hint("merge"), "hardware_id", "left")
     direct = linked.where("item is not null").select("record_id", "category", "item.*")
     told = linked.where("item is null").select("record_id", "category", F.posexplode("passages").alias("pos", "p"))
     cpu = F.col("category") == "PROCESSADOR"
