@@ -62,5 +62,5 @@ def fields(responses: DataFrame, aliases: DataFrame) -> DataFrame:
     value = S.blank_to_null(discovery.bare_value(F.col("p.value")))
     rows = S.apart(told.select("record_id", "category", "pos", S.key(F.col("p.name")).alias("k"), value.alias("value"))).where("k is not null and value is not null")
     known = aliases.select(F.upper("category").alias("category"), "field", S.key(F.col("alias")).alias("k")).distinct()
-    said = rows.where(~F.coalesce(S.key(F.col("value")).isin(*UNKNOWN), F.lit(True))).join(known, ["category", "k"])
+    said = rows.where(~F.coalesce(S.key(F.col("value")).isin(*UNKNOWN), F.lit(True))).join(F.broadcast(known), ["category", "k"])
     return said.groupBy("record_id", "field").agg(F.min_by("value", F.struct("pos", "value")).alias("value"))

@@ -32,7 +32,7 @@ def rarest_run(names: DataFrame, name: str, *within: str) -> DataFrame:
     words = F.split(F.col(name), " ")
     runs = F.when(F.size(words) == 1, words).otherwise(F.filter(word_runs(words), lambda r: F.contains(r, F.lit(" "))))
     one = distinct.select(*within, name, F.explode(runs).alias("run"))
-    counted = one.join(one.groupBy(*within, "run").agg(F.count("*").alias("_n")), [*within, "run"])
+    counted = one.join(one.groupBy(*within, "run").agg(F.count("*").alias("_n")).hint("merge"), [*within, "run"])
     return counted.groupBy(*within, name).agg(F.min_by("run", F.struct("_n", "run")).alias("run"))
 
 
@@ -50,25 +50,25 @@ def catalogue_parts(parts: DataFrame, catalogue: DataFrame) -> DataFrame:
     alternatives, which name none.
     """
     model, brand = S.spaced(F.col("model")), S.spaced(F.col("brand"))
-    items = catalogue.select("hardware_id", F.upper("category").alias("category"), model.alias("m"), brand.alias("b")).where((F.length("m") >= 3) & F.col("m").rlike("[0-9]"))
+    items = S.apart(catalogue.select("hardware_id", F.upper("category").alias("category"), model.alias("m"), brand.alias("b"))).where((F.length("m") >= 3) & F.col("m").rlike("[0-9]"))
     models = rarest_run(items, "m", "category")
     alone = lambda p: F.size(F.filter(F.array(*(F.when(p.rlike(pattern), F.lit(name)) for name, pattern in products.PARTS)), lambda x: x.isNotNull())) == 1
     doubted = parts.select("record_id", "category", F.exists("passages", lambda p: F.coalesce(p.rlike(DOUBT), F.lit(False))).alias("doubted"), "passages")
     told = doubted.where(~F.col("doubted")).select("record_id", "category", F.explode("passages").alias("p")).select("record_id", "category", S.spaced(F.col("p")).alias("t"), alone(F.col("p")).alias("alone"))
     runs = told.select("*", F.explode(word_runs(F.split("t", " "))).alias("run"))
     whole = F.concat(F.lit(" "), F.col("m"), F.lit(rf"(?! (?:{OTHER_MODEL}) ) "))
-    named = runs.join(models, ["category", "run"]).where(_around(whole, F.col("t"))).select("record_id", "category", "t", "alone", "m")
+    named = runs.join(models.hint("merge"), ["category", "run"]).where(_around(whole, F.col("t"))).select("record_id", "category", "t", "alone", "m")
     gap = r"(?: [a-z0-9]+){0,2} "
     near = _around(F.concat(F.lit(" "), F.col("b"), F.lit(gap), F.col("m"), F.lit(" ")), F.col("t")) | _around(F.concat(F.lit(" "), F.col("m"), F.lit(gap), F.col("b"), F.lit(" ")), F.col("t"))
     score = F.when(F.coalesce(near, F.lit(False)), 3).when(F.col("category") != UNBRANDED, None).when(F.col("alone"), 2).otherwise(1)
-    scored = named.join(items, ["category", "m"]).withColumn("score", score).where("score is not null").groupBy("record_id", "category", "hardware_id").agg(F.max("score").alias("score"))
+    scored = named.join(items.hint("merge"), ["category", "m"]).withColumn("score", score).where("score is not null").groupBy("record_id", "category", "hardware_id").agg(F.max("score").alias("score"))
     of_part = Window.partitionBy("record_id", "category").orderBy(F.desc("score"), "hardware_id")
     best = scored.withColumn("place", F.row_number().over(of_part)).where(F.col("place") <= MOST_CANDIDATES)
     found = best.groupBy("record_id", "category").agg(F.max("score").alias("top"), F.array_sort(F.collect_list(F.struct("place", "score", "hardware_id"))).alias("all"))
     tie = F.size(F.filter("all", lambda x: x["score"] == F.col("top"))) > 1
     ids = F.transform("all", lambda x: x["hardware_id"])
     empty = F.slice(ids, 1, 0)
-    out = doubted.select("record_id", "category", "doubted").join(found, ["record_id", "category"], "left")
+    out = doubted.select("record_id", "category", "doubted").join(found.hint("merge"), ["record_id", "category"], "left")
     return out.select(
         "record_id", "category", F.when(~tie, F.get(ids, F.lit(0))).alias("hardware_id"), F.when(tie, ids).otherwise(F.coalesce(empty, F.array().cast("array<long>"))).alias("candidates"),
         (F.col("doubted") | F.coalesce(tie, F.lit(False))).alias("review"),
@@ -95,11 +95,11 @@ def identical_offers(wanted: DataFrame, offers: DataFrame) -> DataFrame:
         mark("g", S.digits(F.col("gtin"))), mark("m", S.key(F.col("mpn"))), mark("d", S.key(F.col("model"))), F.when(F.length(S.digits(F.col("gtin"))) >= 8, mark("x", S.digits(F.col("gtin")))),
     )))).alias("key"))
     spoken = wanted.select("product_id", w.alias("w"), F.explode(F.array_distinct(F.array_compact(F.array(phrase("mpn"), phrase("model"))))).alias("phrase"))
-    asked = plain.union(spoken.join(rare, "phrase").select("product_id", "w", mark("t", F.col("run")).alias("key")))
+    asked = plain.union(spoken.join(rare.hint("merge"), "phrase").select("product_id", "w", mark("t", F.col("run")).alias("key")))
     codes = F.transform(F.regexp_extract_all(F.coalesce("title", F.lit("")), F.lit(r"(?<!\d)(\d{8,})(?!\d)"), 1), lambda x: mark("x", x))
     keys = F.concat(F.array_compact(F.array(mark("g", S.digits(F.col("gtin"))), mark("m", S.key(F.col("mpn"))), mark("d", S.key(F.col("model"))))), codes, F.transform(word_runs(_title_words(F.col("title"))), lambda x: mark("t", x)))
     told = offers.select("offer_id", o.alias("o"), F.explode(F.array_distinct(keys)).alias("key"))
-    pairs = told.join(asked, "key").select("product_id", "offer_id", "w", "o").dropDuplicates(["product_id", "offer_id"])
+    pairs = told.join(asked.hint("merge"), "key").select("product_id", "offer_id", "w", "o").dropDuplicates(["product_id", "offer_id"])
     return S.apart(pairs.select("product_id", "offer_id", products.identical(F.col("w"), F.col("o")).alias("by"))).where("by is not null")
 
 
@@ -111,6 +111,6 @@ def store_offers(wanted: DataFrame, offers: DataFrame, most: int = 3) -> DataFra
     """
     good = (F.col("price") > 0) & (F.upper(F.coalesce("currency", F.lit("BRL"))) == "BRL") & F.coalesce("available", F.lit(True))
     once = offers.where(good & (F.coalesce("url", F.lit("")) != "")).withColumn("_r", F.row_number().over(Window.partitionBy("store", "url").orderBy("offer_id"))).where("_r = 1").drop("_r")
-    found = identical_offers(wanted, once).join(once.select("offer_id", "store", "price", F.coalesce(F.col("previous_price") > F.col("price"), F.lit(False)).alias("promotion")), "offer_id")
+    found = identical_offers(wanted, once).join(once.select("offer_id", "store", "price", F.coalesce(F.col("previous_price") > F.col("price"), F.lit(False)).alias("promotion")).hint("merge"), "offer_id")
     place = F.row_number().over(Window.partitionBy("product_id", "store").orderBy("price", "offer_id"))
     return found.withColumn("place", place).where(F.col("place") <= most).select("product_id", "store", "place", "offer_id", "by", "price", "promotion")

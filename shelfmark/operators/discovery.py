@@ -37,12 +37,13 @@ def expanded_search(searches: DataFrame, pages: DataFrame) -> DataFrame:
     keywords of a query are read in turn, six pages of the query alone or two of each; a keyword ends at a page that is missing, empty,
     without a new item or the last, all end once `most` items fit. An item (by shop and item, else address or name) counts the first
     time it is seen; it fits if it is relevant, and on promotion where that is asked. Order: relevance, then as found. Null and blank
-    queries read pages of a null keyword. Items are judged once a distinct query; its pages are few and bounded, so each search walks them inside a row.
+    queries read pages of a null keyword. Items are judged once a distinct query; its pages are few and bounded, so they are walked inside a row, once
+    for all searches that ask the same (query, most, promotions_only).
     """
     plain = searches.select("query_id", F.coalesce("query", F.lit("")).alias("query"), F.col("most").cast("int").alias("most"), F.coalesce("promotions_only", F.lit(False)).alias("promoted"))
     words = plain.select("query", keywords(F.col("query")).alias("w")).distinct()
     asked = words.select("query", F.when(F.size("w") > 1, PAGES_EACH).otherwise(PAGES_ALONE).alias("until"), F.posexplode("w").alias("turn", "word"))
-    read = pages.select(F.coalesce("keyword", F.lit("")).alias("word"), F.col("page").cast("int").alias("page"), F.coalesce("has_next", F.lit(False)).alias("more"), F.posexplode_outer("items").alias("pos", "item"))
+    read = pages.select(F.coalesce("keyword", F.lit("")).alias("word"), F.col("page").cast("int").alias("page"), F.coalesce("has_next", F.lit(False)).alias("more"), F.posexplode_outer("items").alias("pos", "item")).where(F.col("page") <= max(PAGES_ALONE, PAGES_EACH))
     met = asked.withColumn("word", F.coalesce("word", F.lit(""))).join(read, "word").where(F.col("page").between(1, F.col("until")))
     item = F.col("item")
     wanted, offered = listings.tokens(F.col("query")), listings.tokens(item["name"])
@@ -55,7 +56,8 @@ def expanded_search(searches: DataFrame, pages: DataFrame) -> DataFrame:
     )
     step = F.struct("turn", "page", "pos", "more", "key", "rel", "promo", "score", "item")
     found = flat.groupBy("query").agg(F.array_sort(F.collect_list(step)).alias("steps"))  # at most eight pages
-    walk = plain.join(found, "query")
+    asking = ["query", "most", "promoted"]
+    walk = plain.select(*asking).distinct().join(found, "query")
 
     def visit(s: Column, x: Column) -> Column:
         same_word, same_page = s["turn"] == x["turn"], (s["turn"] == x["turn"]) & (s["page"] == x["page"])
@@ -69,9 +71,10 @@ def expanded_search(searches: DataFrame, pages: DataFrame) -> DataFrame:
         )
 
     start = F.struct(F.lit(-1).alias("turn"), F.lit(0).alias("page"), F.lit(False).alias("alive"), F.lit(0).alias("fresh"), F.lit(False).alias("more"), F.array().cast("array<string>").alias("seen"), F.lit(0).alias("good"), F.array().cast("array<boolean>").alias("kept"))
-    kept = walk.select("query_id", "most", F.posexplode(F.filter(F.zip_with("steps", F.aggregate("steps", start, visit, lambda s: s["kept"]), lambda x, k: F.when(k, x)), lambda x: x.isNotNull())).alias("found", "x"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("x.score"), "found"))
-    return kept.withColumn("place", place).where(F.col("place") <= F.col("most")).select("query_id", "place", "x.score", "x.item.*")
+    kept = walk.select(*asking, F.posexplode(F.filter(F.zip_with("steps", F.aggregate("steps", start, visit, lambda s: s["kept"]), lambda x, k: F.when(k, x)), lambda x: x.isNotNull())).alias("found", "x"))
+    place = F.row_number().over(Window.partitionBy(*asking).orderBy(F.desc("x.score"), "found"))
+    best = kept.withColumn("place", place).where(F.col("place") <= F.col("most")).select(*asking, "place", "x")
+    return plain.join(best, asking).select("query_id", "place", "x.score", "x.item.*")
 
 
 def chip(name: Column) -> Column:
@@ -107,13 +110,13 @@ def focused_queries(records: DataFrame, missing: DataFrame, terms: DataFrame, mo
     """
     base = records.select("record_id", F.upper(F.trim("category")).alias("category"), F.trim("base").alias("base")).where("base <> ''")
     named = terms.select(F.upper("category").alias("category"), "field", F.col("pos").alias("at"), F.trim("term").alias("term")).where("term <> ''")
-    said = missing.where(S.clean(F.col("field")).isNotNull()).join(base, "record_id").join(named, ["category", "field"], "left").withColumn("term", F.coalesce("term", spoken(F.col("field"))))
+    said = missing.where(S.clean(F.col("field")).isNotNull()).join(base.hint("merge"), "record_id").join(named, ["category", "field"], "left").withColumn("term", F.coalesce("term", spoken(F.col("field"))))
     once = said.groupBy("record_id", F.lower("term").alias("k")).agg(F.min(F.struct("pos", "field", "at", "term")).alias("f"))
     placed = once.withColumn("i", F.row_number().over(Window.partitionBy("record_id").orderBy("f.pos", "f.field", "f.at", "k")) - 1).where(F.col("i") < min(MOST_TERMS, most * TERMS_A_QUERY))
     chunks = placed.groupBy("record_id", F.floor(F.col("i") / TERMS_A_QUERY).alias("pos")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "f.term"))), lambda x: x["term"]), " ").alias("words"))
-    focused = chunks.join(base, "record_id").select("record_id", "pos", F.concat_ws(" ", "base", "words").alias("query"))
+    focused = chunks.join(base.hint("merge"), "record_id").select("record_id", "pos", F.concat_ws(" ", "base", "words").alias("query"))
     n = chunks.groupBy("record_id").agg(F.count("*").alias("n"))
-    return focused.unionByName(base.join(n, "record_id", "left").select("record_id", F.coalesce("n", F.lit(0)).cast("long").alias("pos"), F.col("base").alias("query")))
+    return focused.unionByName(base.join(n.hint("merge"), "record_id", "left").select("record_id", F.coalesce("n", F.lit(0)).cast("long").alias("pos"), F.col("base").alias("query")))
 
 
 def official_evidence(records: DataFrame, domains: DataFrame, citations: DataFrame, pages: DataFrame) -> DataFrame:
@@ -128,7 +131,7 @@ def official_evidence(records: DataFrame, domains: DataFrame, citations: DataFra
     labels = F.split(S.host(F.col("url")), r"\.")
     endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     owned = domains.select(S.key(F.col("brand")).alias("b"), F.regexp_replace(F.lower("domain"), r"^www\.", "").alias("ending")).where("b is not null and ending is not null").distinct()
-    cited = citations.where(fine).join(records.where("strong").select("record_id", S.key(F.col("brand")).alias("b")), "record_id").select("record_id", "pos", "url", "b", F.explode(endings).alias("ending"))
+    cited = citations.where(fine).join(records.where("strong").select("record_id", S.key(F.col("brand")).alias("b")).hint("merge"), "record_id").select("record_id", "pos", "url", "b", F.explode(endings).alias("ending"))
     first = cited.join(owned, ["b", "ending"], "left_semi").groupBy("record_id", "url").agg(F.min("pos").alias("pos"))
     tried = first.withColumn("_r", F.row_number().over(Window.partitionBy("record_id").orderBy("pos", "url"))).where(F.col("_r") <= MOST_CITED)
     told = tried.join(pages.where(evidence.present(F.col("value"))), "url")
@@ -148,7 +151,7 @@ def merged_answers(sheet: DataFrame, answers: DataFrame) -> DataFrame:
     first. An answer that says the same, or nothing, gives no outcome of its own: the field is KEPT.
     """
     told = answers.select("record_id", "field", S.blank_to_null(bare_value(F.col("value"))).alias("answer")).where("answer is not null")
-    both = sheet.select("record_id", "field", S.blank_to_null(F.trim("value")).alias("value")).join(told, ["record_id", "field"], "full").where("value is not null or answer is not null")
+    both = sheet.select("record_id", "field", S.blank_to_null(F.trim("value")).alias("value")).join(told.hint("merge"), ["record_id", "field"], "full").where("value is not null or answer is not null")
     other = ~evidence.value_key(F.col("value")).eqNullSafe(evidence.value_key(F.col("answer")))
     outcome = F.when(F.col("value").isNull(), "FILLED").when(F.col("answer").isNotNull() & other, "CONFLICT").otherwise("KEPT")
     return both.select("record_id", "field", F.coalesce("value", "answer").alias("value"), outcome.alias("outcome"), F.when(outcome == "CONFLICT", F.col("answer")).alias("answer"))
@@ -167,7 +170,7 @@ def roll_up(searches: DataFrame, items: DataFrame, sources: DataFrame) -> DataFr
     by = sources.groupBy("search_id", "source").agg(F.sum("found").alias("found"), F.coalesce(F.bool_or(bad), F.lit(False)).alias("bad"))
     s = by.groupBy("search_id").agg(F.bool_or("bad").alias("partial"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", F.coalesce("found", F.lit(0)).alias("n")))), lambda x: F.concat_ws(":", x["source"], x["n"])), ",").alias("by_source"))  # as many as there are sources
     none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return searches.join(n, "search_id", "left").join(s, "search_id", "left").select(
+    return searches.join(n.hint("merge"), "search_id", "left").join(s.hint("merge"), "search_id", "left").select(
         "search_id", none("returned"), none("registrable"), none("blocked"), F.coalesce("partial", F.lit(False)).alias("partial"), (F.col("offset") + F.col("page_size") < F.col("candidates")).alias("has_more"),
         (F.col("candidates") >= F.col("most")).alias("limit_met"), F.coalesce("by_source", F.lit("")).alias("by_source"),
     )

@@ -48,7 +48,7 @@ def trusted(claims: DataFrame, domains: DataFrame) -> DataFrame:
     asked = claims.where(F.coalesce(fine, F.lit(False))).select("claim_id", F.upper("source").alias("source"), F.explode(suffixes(S.host(F.col("url")))).alias("domain"))
     known = domains.select(F.upper("source").alias("source"), F.regexp_replace(F.lower("domain"), r"^www\.", "").alias("domain")).distinct()
     good = asked.join(known, ["source", "domain"], "left_semi").select("claim_id").distinct().withColumn("trusted", F.lit(True))
-    return claims.join(good, "claim_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    return claims.join(good.hint("merge"), "claim_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
 
 
 def specific_for(category: Column, method: Column, model: Column) -> Column:
@@ -74,7 +74,7 @@ def intake(before: DataFrame, proposed: DataFrame) -> DataFrame:
     before: record_id, category, scope, method, field, value (null if empty). proposed: record_id, field, value, conflicting,
     trusted. Proposals for filled fields and blank ones give no row. One equi-join on (record_id, field).
     """
-    rows = before.where(~present(F.col("value"))).select("record_id", "category", "scope", "method", "field").join(proposed.where(present(F.col("value"))), ["record_id", "field"])
+    rows = before.where(~present(F.col("value"))).select("record_id", "category", "scope", "method", "field").join(proposed.where(present(F.col("value"))).hint("merge"), ["record_id", "field"])
     return rows.select("record_id", "field", "value", refusal(F.col("category"), F.col("scope"), F.col("method"), F.col("field"), F.col("conflicting"), F.col("trusted")).alias("reason"))
 
 
@@ -90,7 +90,7 @@ def cache_conflicts(conflicts: DataFrame, current: DataFrame) -> DataFrame:
     current: record_id, field, source, cached (the value came from the cache, and the record had none of its own). In the order of pos a
     value counts if its source is trusted more than the cached one and all that counted before: more than the largest before it.
     """
-    rows = conflicts.join(current.select("record_id", "field", F.col("source").alias("had"), "cached"), ["record_id", "field"], "left")
+    rows = conflicts.join(current.select("record_id", "field", F.col("source").alias("had"), "cached").hint("merge"), ["record_id", "field"], "left")
     fit = F.coalesce("cached", F.lit(False)) & present(F.col("value"))
     rows = rows.withColumn("score", F.when(fit, source_confidence(F.col("source"))))
     before = F.max("score").over(Window.partitionBy("record_id", "field").orderBy("pos", "source", "value").rowsBetween(Window.unboundedPreceding, -1))
@@ -129,7 +129,7 @@ def grounded(claims: DataFrame, passages: DataFrame, read: Callable[[Column, Col
     long = asked.join(met, ["url", "inner"]).join(seen, ["url", "h"])
     short = asked.where("inner is null").join(seen, "url")
     good = long.select("claim_id", "p", "l").union(short.select("claim_id", "p", "l")).where(F.contains("l", "p")).select("claim_id").distinct().withColumn("grounded", F.lit(True))
-    return claims.join(good, "claim_id", "left").withColumn("grounded", F.coalesce("grounded", F.lit(False)))
+    return claims.join(good.hint("merge"), "claim_id", "left").withColumn("grounded", F.coalesce("grounded", F.lit(False)))
 
 
 def least_specs_missing(category: Column, specs: Column) -> Column:

@@ -33,4 +33,4 @@ def evidence(sources: DataFrame, found: DataFrame, categories: dict[str, tuple[F
     again = specs.long(specs.extract(passages(sources, keys), categories).withColumn("_key", F.struct(*keys, "pos", "text")), "_key")
     given = again.select(*(F.col(f"_key.{k}") for k in keys), "field", "value", F.col("_key.pos").alias("pos"), F.col("_key.text").alias("passage"))
     first = given.groupBy(*keys, "field", "value").agg(F.min_by("passage", "pos").alias("passage"), F.min("pos").alias("pos"))
-    return found.where(S.clean(F.col("value")).isNotNull()).join(first, [*keys, "field", "value"])
+    return found.where(S.clean(F.col("value")).isNotNull()).join(first.hint("merge"), [*keys, "field", "value"])

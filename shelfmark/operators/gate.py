@@ -26,7 +26,7 @@ def quality_gate(records: DataFrame, schema: DataFrame, values: DataFrame, score
     All facts of a field are united and aggregated once by (record_id, field), then by record; a record has as many rows as facts.
     """
     text, number, flag = "cast(null as string)", "cast(null as double)", "cast(null as boolean)"
-    expected = records.select("record_id", "category").join(schema, "category")
+    expected = records.select("record_id", "category").join(F.broadcast(schema), "category")
     columns = ("pos", "weight", "required", "original", "final", "score", "confirmed", "disputed", "verified")
     empty = {"pos": "cast(null as long)", "weight": "cast(null as long)", "required": flag, "original": text, "final": text, "score": number, "confirmed": number, "disputed": "0L", "verified": "0L"}
 
@@ -58,7 +58,7 @@ def quality_gate(records: DataFrame, schema: DataFrame, values: DataFrame, score
         F.sum(F.when(closed & (F.col("disputed") > 0), F.col("disputed")).otherwise(0)).alias("resolved"),
         F.transform(F.array_sort(F.collect_list(F.when(essential & (~has | unknown | low | open_), F.struct("pos", "field")))), lambda x: x["field"]).alias("review"),
     )
-    rows = records.select("record_id", F.coalesce("n_issues", F.lit(0)).alias("issues")).join(summed, "record_id", "left").na.fill(0)
+    rows = records.select("record_id", F.coalesce("n_issues", F.lit(0)).alias("issues")).join(summed.hint("merge"), "record_id", "left").na.fill(0)
     coverage = F.when(F.col("of") > 0, F.round(F.col("got") / F.col("of"), 4)).otherwise(F.lit(0.0))
     held = (F.col("issues") > 0, F.col("lacking") > 0, F.col("absent") > 0, F.col("unknown") > 0, F.col("low") > 0, F.col("open") > 0, coverage < LEAST_COVERAGE)
     reasons = F.array_compact(F.array(*(F.when(c, F.lit(name)) for c, name in zip(held, REASONS, strict=True))))

@@ -92,10 +92,10 @@ def manual_edits(sheet: DataFrame, edits: DataFrame, allowed: DataFrame, most: i
     of = sheet.groupBy("record_id").agg(F.max("category").alias("category"))
     name = F.trim("field")
     cut = F.when(name == "descricao", F.left(F.trim("value"), F.lit(longest_description))).otherwise(F.left(F.trim("value"), F.lit(longest)))
-    made = first.where(present(F.trim("value"))).select("record_id", "n", name.alias("field"), cut.alias("edited")).join(of, "record_id")
+    made = first.where(present(F.trim("value"))).select("record_id", "n", name.alias("field"), cut.alias("edited")).join(of.hint("merge"), "record_id")
     made = made.join(allowed.select("category", "field").distinct(), ["category", "field"], "left_semi")
     last = made.groupBy("record_id", "category", "field").agg(F.max_by("edited", "n").alias("edited"))
-    kept = sheet.join(last.select("record_id", "field"), ["record_id", "field"], "left_anti").select("record_id", "category", "field", "value")
+    kept = sheet.join(last.select("record_id", "field").hint("merge"), ["record_id", "field"], "left_anti").select("record_id", "category", "field", "value")
     return kept.unionByName(last.select("record_id", "category", "field", F.col("edited").alias("value")))
 
 

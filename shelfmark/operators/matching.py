@@ -28,7 +28,7 @@ def candidate_pairs(incoming: DataFrame, catalogue: DataFrame, incoming_id: str
     """
     a, b = _keyed(incoming, incoming_id, "a"), _keyed(catalogue, catalogue_id, "b")
     compatible = F.col("a_brand").isNull() | F.col("b_brand").isNull() | (F.col("a_brand") == F.col("b_brand"))
-    keys = lambda on, score: a.join(b, on).select("a_id", "b_id", F.lit(score).alias("score"), (~compatible if score > 90 else F.lit(False)).alias("conflict"))
+    keys = lambda on, score: a.join(b.hint("merge"), on).select("a_id", "b_id", F.lit(score).alias("score"), (~compatible if score > 90 else F.lit(False)).alias("conflict"))
     found = keys(F.col("a_gtin") == F.col("b_gtin"), 100)
     found = found.union(keys(F.col("a_mpn") == F.col("b_mpn"), 95))
     found = found.union(keys((F.col("a_brand") == F.col("b_brand")) & (F.col("a_model") == F.col("b_model")), 90))
@@ -44,7 +44,7 @@ def match_records(incoming: DataFrame, catalogue: DataFrame, incoming_id: str =
         F.count_if(F.col("conflict")).alias("n_conflicts"),
         F.min(F.when(fine, F.struct((-F.col("score")).alias("s"), F.col("b_id")))).alias("best"),
     )
-    rows = incoming.select(F.col(incoming_id).alias("a_id")).join(best, "a_id", "left")
+    rows = incoming.select(F.col(incoming_id).alias("a_id")).join(best.hint("merge"), "a_id", "left")
     n = F.coalesce("n_candidates", F.lit(0))
     return rows.select(
         "a_id",
@@ -60,7 +60,7 @@ def match_offers(incoming: DataFrame, offers: DataFrame) -> DataFrame:
     """incoming (row_id, product_id, partner_id, url) with status and offer_id: one equal offer is a match, several are ambiguous."""
     k = ["product_id", "partner_id", "k"]
     found = offers.select("offer_id", "product_id", "partner_id", S.canonical_url(F.col("url")).alias("k")).groupBy(*k).agg(F.count("*").alias("n"), F.min("offer_id").alias("offer_id"))
-    rows = incoming.withColumn("k", S.canonical_url(F.col("url"))).join(found, k, "left")
+    rows = incoming.withColumn("k", S.canonical_url(F.col("url"))).join(found.hint("merge"), k, "left")
     return rows.select("row_id", F.when(F.col("n") == 1, "MATCH").when(F.col("n") > 1, "AMBIGUOUS").otherwise("NONE").alias("status"), F.when(F.col("n") == 1, F.col("offer_id")).alias("offer_id"))
 
 
@@ -97,8 +97,8 @@ def exclude_registered(candidates: DataFrame, registered: DataFrame) -> DataFram
     """Candidates (name, brand, model) that are not registered under the same name or the same brand and model."""
     by_name = registered.select(S.key(F.col("name")).alias("_n")).where("_n is not null").distinct()
     by_model = registered.select(S.key(F.col("brand")).alias("_b"), S.key(F.col("model")).alias("_m")).where("_b is not null and _m is not null").distinct()
-    rows = candidates.join(by_name, S.key(F.col("name")) == F.col("_n"), "left_anti")
-    return rows.join(by_model, (S.key(F.col("brand")) == F.col("_b")) & (S.key(F.col("model")) == F.col("_m")), "left_anti")
+    rows = candidates.join(by_name.hint("merge"), S.key(F.col("name")) == F.col("_n"), "left_anti")
+    return rows.join(by_model.hint("merge"), (S.key(F.col("brand")) == F.col("_b")) & (S.key(F.col("model")) == F.col("_m")), "left_anti")
 
 
 def linked_product(rows: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def similar_classes(rows: DataFrame, least: float = 0.94) -> DataFrame:
     a SIMILAR row links two classes of similar names. Rows without brand or name are a class each."""
     named = rows.where("brand is not null and name is not null")
     classes = named.groupBy("brand", "name").agg(F.min("id").alias("id"))
-    of = named.select("id", "brand", "name").join(classes.withColumnRenamed("id", "a_id"), ["brand", "name"]).select("a_id", F.col("id").alias("b_id"))
+    of = named.select("id", "brand", "name").join(classes.withColumnRenamed("id", "a_id").hint("merge"), ["brand", "name"]).select("a_id", F.col("id").alias("b_id"))
     alone = rows.where("brand is null or name is null").select(F.col("id").alias("a_id"), F.col("id").alias("b_id"))
     members = of.union(alone).select(F.lit("MEMBER").alias("kind"), "a_id", "b_id", F.lit(1.0).alias("ratio"))
     return members.union(similar_names(classes, classes, least).where("a_id < b_id").select(F.lit("SIMILAR"), "a_id", "b_id", "ratio"))

@@ -53,7 +53,7 @@ def merge_nested(stored: DataFrame, incoming: DataFrame, key: str = "record_id",
     filled: paths where nothing stood, the topmost of a branch; conflicts: (path, stored, found) of values that differ, of which the stored one
     stays. Texts that differ in case or white space only are the same.
     """
-    both = stored.select(key, F.col(sheet).alias("_old")).join(incoming.select(key, F.col(sheet).alias("_new")), key, "full_outer")
+    both = stored.select(key, F.col(sheet).alias("_old")).join(incoming.select(key, F.col(sheet).alias("_new")).hint("merge"), key, "full_outer")
     rows = _levels(_levels(both, "_old", "_o"), "_new", "_n")
     depths = range(1, DEEPEST + 1)
     rows = S.apart(rows.select(key, *(f"{s}{d}" for s in ("_o", "_n") for d in depths)))

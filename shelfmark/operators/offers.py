@@ -47,7 +47,7 @@ def price_changes(current: DataFrame, observed: DataFrame, keys: list[str]) -> D
     UNCHANGED. new_price and new_available are the patch: null where nothing changes. One join on the keys.
     """
     seen = observed.select(*keys, "ok", S.positive(F.col("price")).alias("seen_price"), F.col("available").alias("seen_available"))
-    rows = current.select(*keys, S.positive(F.col("price")).alias("price"), "available").join(seen, keys, "left")
+    rows = current.select(*keys, S.positive(F.col("price")).alias("price"), "available").join(seen.hint("merge"), keys, "left")
     ok = F.coalesce(F.col("ok"), F.lit(False))
     price = ok & price_moved(F.col("price"), F.col("seen_price"))
     available = ok & F.col("seen_available").isNotNull() & ~F.col("seen_available").eqNullSafe(F.col("available"))

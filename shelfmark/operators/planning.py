@@ -12,7 +12,7 @@ from .resolve import present, value_key
 def base_patch(current: DataFrame, incoming: DataFrame, key: str, fields: list[str], identity: tuple[str, ...] = ("brand", "model", "mpn", "gtin")) -> DataFrame:
     """key, field, value, action (FILL or CONFLICT), is_identity: what incoming adds to empty fields, and where it disagrees."""
     long = lambda df, name: df.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias(name)) for f in fields))).alias("x")).select(key, "x.*")
-    rows = long(current, "old").join(long(incoming, "new"), [key, "field"])
+    rows = long(current, "old").join(long(incoming, "new").hint("merge"), [key, "field"])
     old, new = present(F.trim("old")), present(F.trim("new"))
     action = F.when(~old & new, "FILL").when(old & new & (value_key(F.col("old")) != value_key(F.col("new"))), "CONFLICT")
     return rows.select(key, "field", F.col("new").alias("value"), action.alias("action"), F.col("field").isin(*identity).alias("is_identity")).where("action is not null")

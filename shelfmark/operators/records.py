@@ -179,11 +179,11 @@ def with_details(seeds: DataFrame, links: DataFrame, found: DataFrame, key: str
     """
     pages = found.groupBy(page_key(F.col(url)).alias("page_key")).agg(F.min_by(F.struct(*found.columns), F.col(url)).alias("_d"))
     own = seeds.select(key, F.struct(*seeds.columns).alias("_s"))
-    both = links.join(own, key).join(pages, "page_key")
+    both = links.join(own.hint("merge"), key).join(pages.hint("merge"), "page_key")
     of = lambda c: {f: F.col(f"{c}.{f}") for f in ("title", "brand", "model", "mpn", "gtin", "canonical_url")} | {"url": F.col(f"{c}.{url}")}
     used = both.where(~F.col("_d.blocked") & same_product(of("_s"), of("_d"))).select(key, "place", "_d")
     listed = used.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "_d"))), lambda x: x["_d"]).alias("_ds"))
-    rows = seeds.join(listed, key, "left").withColumn("_ds", F.coalesce("_ds", F.filter(F.array(F.struct(*seeds.columns)), lambda x: F.lit(False))))
+    rows = seeds.join(listed.hint("merge"), key, "left").withColumn("_ds", F.coalesce("_ds", F.filter(F.array(F.struct(*seeds.columns)), lambda x: F.lit(False))))
     first = lambda f: F.get(F.filter(F.transform("_ds", lambda d: d[f]), lambda v: v.isNotNull()), F.lit(0))
     mine = F.struct(F.col("description").alias("text"), F.col("description_source").alias("source"))
     longest = F.aggregate("_ds", mine, lambda held, d: F.when(F.coalesce(F.length(d["description"]), F.lit(0)) > F.coalesce(F.length(held["text"]), F.lit(0)), F.struct(d["description"].alias("text"), d["description_source"].alias("source"))).otherwise(held))

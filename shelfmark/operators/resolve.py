@@ -50,7 +50,7 @@ def early_stop(claims: DataFrame, n_fields: int, target: float) -> DataFrame:
     by_rank = seen.groupBy("record_id", "rank").agg(F.count("*").alias("n"))
     filled = F.sum("n").over(Window.partitionBy("record_id").orderBy("rank"))
     stop = by_rank.withColumn("filled", filled).where(F.col("filled") >= target * n_fields).groupBy("record_id").agg(F.min("rank").alias("stop"))
-    return claims.join(stop, "record_id", "left").where(F.col("stop").isNull() | (F.col("rank") <= F.col("stop"))).drop("stop")
+    return claims.join(stop.hint("merge"), "record_id", "left").where(F.col("stop").isNull() | (F.col("rank") <= F.col("stop"))).drop("stop")
 
 
 def consensus(claims: DataFrame, margin: float = 0.08, strong: float = 0.85) -> DataFrame:
@@ -74,7 +74,7 @@ def consensus(claims: DataFrame, margin: float = 0.08, strong: float = 0.85) ->
 def field_confidence(filled: DataFrame, disputed: DataFrame, confirmed: Column | None = None) -> DataFrame:
     """filled (record_id, field, source) with in_conflict, score and level: a conflict costs 0.12 down to 0.40; unconfirmed web search is at most 0.74."""
     marks = disputed.select("record_id", "field").distinct().withColumn("in_conflict", F.lit(True))
-    rows = filled.join(marks, ["record_id", "field"], "left").withColumn("in_conflict", F.coalesce("in_conflict", F.lit(False)))
+    rows = filled.join(marks.hint("merge"), ["record_id", "field"], "left").withColumn("in_conflict", F.coalesce("in_conflict", F.lit(False)))
     base = source_confidence(F.col("source"))
     web = (F.upper(F.trim("source")) == "OPENAI_WEB_SEARCH") & ~(confirmed if confirmed is not None else F.lit(False))
     base = F.when(web, F.least(base, F.lit(0.74))).otherwise(base)
@@ -90,7 +90,7 @@ def coverage(filled: DataFrame, schema: DataFrame) -> DataFrame:
     """
     have = filled.where(present(F.col("value"))).select("record_id", "field").distinct().withColumn("has", F.lit(True))
     wanted = filled.select("record_id", "category").distinct().join(F.broadcast(schema), "category")  # one row a field of the product schemas
-    rows = wanted.join(have, ["record_id", "field"], "left")
+    rows = wanted.join(have.hint("merge"), ["record_id", "field"], "left")
     got = F.sum(F.when(F.col("has"), F.col("weight")).otherwise(0)) / F.sum("weight")
     lacks = F.array_sort(F.collect_list(F.when(F.col("has").isNull(), F.struct("pos", "field"))))  # as long as a schema
     return rows.groupBy("record_id").agg(got.alias("coverage"), F.array_join(F.transform(lacks, lambda x: x.field), ",").alias("missing"), F.count_if(F.col("has").isNull() & (F.col("weight") == 3)).alias("essential_missing"))
@@ -104,7 +104,7 @@ def merge_missing(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """record_id, field, value, action: KEPT, FILLED or CONFLICT (the current value stays); one full outer join."""
     c = current.select("record_id", "field", F.col("value").alias("old"))
     n = incoming.select("record_id", "field", F.col("value").alias("new"))
-    rows = c.join(n, ["record_id", "field"], "full_outer")
+    rows = c.join(n.hint("merge"), ["record_id", "field"], "full_outer")
     old, new = present(F.col("old")), present(F.col("new"))
     action = F.when(~old & new, "FILLED").when(old & new & (value_key(F.col("old")) != value_key(F.col("new"))), "CONFLICT").otherwise("KEPT")
     return rows.select("record_id", "field", F.when(old, F.col("old")).when(new, F.col("new")).alias("value"), action.alias("action"))
@@ -112,7 +112,7 @@ def merge_missing(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def newly_filled(before: DataFrame, after: DataFrame) -> DataFrame:
     """(record_id, field) present after but not before."""
-    return after.where(present(F.col("value"))).select("record_id", "field").join(before.where(present(F.col("value"))), ["record_id", "field"], "left_anti").distinct()
+    return after.where(present(F.col("value"))).select("record_id", "field").join(before.where(present(F.col("value"))).hint("merge"), ["record_id", "field"], "left_anti").distinct()
 
 
 def disagreeing(claims: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def disagreeing(claims: DataFrame) -> DataFrame:
 def verification(filled: DataFrame, claims: DataFrame) -> DataFrame:
     """record_id, field, verdict: other sources that agree CONFIRM a value; a strong one (0.85) that disagrees CONTRADICTs it; else UNVERIFIED."""
     other = claims.where(present(F.col("value"))).select("record_id", "field", F.col("source").alias("s"), F.col("value").alias("v"))
-    rows = filled.join(other, ["record_id", "field"], "left")
+    rows = filled.join(other.hint("merge"), ["record_id", "field"], "left")
     own = F.col("s").isNotNull() & (F.col("s") != F.col("source"))
     same = value_key(F.col("v")) == value_key(F.col("value"))
     found = rows.groupBy("record_id", "field").agg(F.count_if(own & same).alias("yes"), F.count_if(own & ~same & (source_confidence(F.col("s")) >= 0.85)).alias("no"))

@@ -37,7 +37,7 @@ def normalise(sheet: DataFrame, schema: DataFrame) -> DataFrame:
     Null and blank values, and those that are unreadable or ambiguous, give no row; repeated rows stay. One join with the schema,
     whose size Spark judges, then one pass.
     """
-    rows = sheet.join(schema.select("category", "field", "kind"), ["category", "field"])
+    rows = sheet.join(F.broadcast(schema.select("category", "field", "kind")), ["category", "field"])
     made = F.coalesce(*(F.when(F.col("kind") == kind, rule(F.col("value"))) for kind, rule in KINDS.items()))
     return rows.select("record_id", "category", "field", "kind", made.alias("value")).where("value is not null")
 
@@ -55,7 +55,7 @@ def payload(records: DataFrame, normalised: DataFrame) -> DataFrame:
     """
     least = normalised.groupBy("record_id", "category", "field").agg(F.min("value").alias("value"))
     maps = least.groupBy("record_id", "category").agg(F.array_sort(F.collect_list(F.struct("field", "value"))).alias("entries"))
-    joined = records.select("record_id", "category").join(maps, ["record_id", "category"], "left")
+    joined = records.select("record_id", "category").join(maps.hint("merge"), ["record_id", "category"], "left")
     none = F.array().cast("array<struct<field:string,value:string>>")
     had = F.coalesce("entries", none)
     lacks = F.col("category").isin(*MEMORY_OF) & ~F.exists(had, lambda e: e.field == MEMORY_FIELD)
@@ -88,7 +88,7 @@ def check(sheet: DataFrame, kits: DataFrame | None = None) -> DataFrame:
     totals = rows.groupBy("record_id").agg(*(p.alias(f"p{i}") for i, p in enumerate(pairs)), slots.alias("slots"), bad_modules.alias("bad_modules"), made.alias("made"))
     if kits is not None:
         told = kits.groupBy("record_id").agg(F.collect_set("total_gb").alias("told"))  # what one record names
-        totals = totals.join(told, "record_id", "left")
+        totals = totals.join(told.hint("merge"), "record_id", "left")
     else:
         totals = totals.withColumn("told", F.array().cast("array<double>"))
     kit = F.exists("told", lambda t: t != F.col("made"))
@@ -99,4 +99,4 @@ def check(sheet: DataFrame, kits: DataFrame | None = None) -> DataFrame:
         F.when(F.col("bad_modules") & is_("MEMORIA_RAM", "quantidadeModulos"), "QUANTIDADE_MODULOS_INVALIDA"),
         F.when(~F.coalesce(F.col("bad_modules"), F.lit(False)) & kit & is_("MEMORIA_RAM", "capacidadePorModuloGb", "quantidadeModulos"), "CAPACIDADE_KIT_INCONSISTENTE"),
     )
-    return rows.join(totals, "record_id").select(*sheet.columns, F.coalesce("alone", together).alias("reason"))
+    return rows.join(totals.hint("merge"), "record_id").select(*sheet.columns, F.coalesce("alone", together).alias("reason"))

@@ -82,4 +82,4 @@ def cache_answers(events: DataFrame, found_seconds: int = 1800, nothing_seconds:
 def cache_lookup(wanted: DataFrame, cache: DataFrame, now, ttl_seconds: float) -> DataFrame:
     """wanted (cache_key) with payload: the newest entry of its key that isn't older than the ttl."""
     fresh = cache.where(F.col("created_at") >= now - ttl_seconds).groupBy("cache_key").agg(F.max_by("payload", "created_at").alias("payload"))
-    return wanted.join(fresh, "cache_key", "left")
+    return wanted.join(fresh.hint("merge"), "cache_key", "left")

@@ -63,7 +63,7 @@ def _(spark, sf_dir):
     )
     wanted = F.when(how <= 3, "PROCESSADOR").otherwise("PLACA_MAE")
     named = products.parts_named(parts.select(k.alias("record_id"), F.lit(None).cast("string").alias("title"), told.alias("description")))
-    named = named.join(parts.select(k.alias("record_id"), wanted.alias("category"), F.when(how == 0, k).alias("hardware_id")), ["record_id", "category"])
+    named = named.join(parts.select(k.alias("record_id"), wanted.alias("category"), F.when(how == 0, k).alias("hardware_id")).hint("merge"), ["record_id", "category"])
     catalogue = parts.select(k.alias("hardware_id"), F.concat(F.lit("item "), k).alias("name"), F.lit("B").alias("brand"), F.lit("M").alias("model"))
     return arrivals.component_seeds(named, catalogue, ["AMD", "Intel", "ASUS", "MSI"])
 

@@ -20,11 +20,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Tables whose files are so small that few tasks would read them, though one row is many rows or much work; rows of them that a task takes.
+SPREAD = {"part": "p_partkey", "customer": "c_custkey"}
+ROWS_A_TASK = 10_000
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    n = -(-table.count() // ROWS_A_TASK) if name in SPREAD else 1
+    return table if n < 2 else table.repartition(n, SPREAD[name])
+
+
 def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A SELECT over the parquet tables of sf_dir."""
     used = set(re.findall(rf"\b(?:from|join) ({TABLES})\b", sql))
     text = re.sub(rf"\b(from|join) ({TABLES})\b", r"\1 {\2}", sql)
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    return spark.sql(text, **{t: _table(spark, sf_dir, t) for t in used})
 
 
 def query(name: str, sql: str | None = None):
@@ -86,7 +97,7 @@ select product_id, store, case when abs(seen_price - price) > 0.009 then seen_pr
 def _(spark, sf_dir):
     current, seen = _offers(spark, sf_dir)
     status = F.when(F.col("available"), "ATIVA").when(~F.col("available"), "INDISPONIVEL")
-    both = current.select("product_id", "store", "price", status.alias("status")).join(seen.select("product_id", "store", F.col("price").alias("sp"), F.col("available").alias("sa")), ["product_id", "store"])
+    both = current.select("product_id", "store", "price", status.alias("status")).join(seen.select("product_id", "store", F.col("price").alias("sp"), F.col("available").alias("sa")).hint("merge"), ["product_id", "store"])
     return offers.offer_patch(both, "price", "status", "sp", "sa").select("product_id", "store", "patch_price", "patch_status")
 
 
@@ -95,7 +106,7 @@ select product_id, store, least(price, seen_price) as current, case when price <
        case when price <> seen_price then round_even((greatest(price, seen_price) - least(price, seen_price)) / greatest(price, seen_price) * 100, 0)::bigint end as discount from c""")
 def _(spark, sf_dir):
     current, seen = _offers(spark, sf_dir)
-    both = current.join(seen.select("product_id", "store", F.col("price").alias("seen_price")), ["product_id", "store"])
+    both = current.join(seen.select("product_id", "store", F.col("price").alias("seen_price")).hint("merge"), ["product_id", "store"])
     now, before = offers.ordered_prices(F.col("price"), F.col("seen_price"))
     return both.select("product_id", "store", now.alias("current"), before.alias("previous")).withColumn("discount", S.discount_percent(F.col("previous"), F.col("current")))
 
