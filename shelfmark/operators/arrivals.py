@@ -86,7 +86,9 @@ def component_seeds(parts: DataFrame, catalogue: DataFrame, brands: list[str]) -
     that leave the part open give none. Passages are judged as rows, so that their number costs no more than a shuffle of hints.
     """
     fixed = parts.where(~F.exists("passages", lambda p: F.coalesce(p.rlike(OPEN), F.lit(False))) | F.col("passages").isNull())
-    linked = fixed.join(catalogue.select("hardware_id", F.struct("name", "brand", "model").alias("item")).hint("merge"), "hardware_id", "left")
+    link = lambda alone: F.struct(F.col("hardware_id").cast("string").alias("id"), alone.cast("string").alias("alone")).alias("_link")  # noqa: E731  (parts without a link are no hot key)
+    items = catalogue.where("hardware_id is not null").select(link(F.lit(None)), F.struct("name", "brand", "model").alias("item"))
+    linked = fixed.withColumn("_link", link(F.when(F.col("hardware_id").isNull(), F.col("record_id")))).join(items.hint("merge"), "_link", "left")
     direct = linked.where("item is not null").select("record_id", "category", "item.*")
     told = linked.where("item is null").select("record_id", "category", F.posexplode("passages").alias("pos", "p"))
     cpu = F.col("category") == "PROCESSADOR"

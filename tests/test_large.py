@@ -38,3 +38,12 @@ def test_preflight_of_shared_row_ids(spark):
     items = spark.createDataFrame([(10, None, None, None, "7890000000017"), (20, None, None, None, "7890000000024")], f"id long, {text}")
     got = sorted((r.route, r.item_id or 0) for r in arrivals.preflight(rows, items, items.limit(0)).collect())
     assert got == [("FULL", 0), ("OFFER_ONLY", 10), ("OFFER_ONLY", 20)]
+
+
+def test_parts_without_a_link_are_no_hot_key(spark):
+    """Each part without a link has a join key of its own, so that none of the exchanges deals them by a null."""
+    parts = spark.range(10).select(F.col("id").alias("record_id"), F.lit("PROCESSADOR").alias("category"), F.array(F.lit("Processador AMD Ryzen 5 5600")).alias("passages"), F.when(F.col("id") == 0, 7).cast("long").alias("hardware_id"))
+    items = spark.createDataFrame([(7, "n", "b", "m"), (None, "x", "x", "x")], "hardware_id long, name string, brand string, model string")
+    found = arrivals.component_seeds(parts, items, ["AMD"])
+    assert "hashpartitioning(hardware_id" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.record_id, r.name) for r in found.collect()) == [(0, "n")] + [(i, "AMD Ryzen 5 5600") for i in range(1, 10)]
