@@ -59,7 +59,8 @@ def match_records(incoming: DataFrame, catalogue: DataFrame, incoming_id: str =
 def match_offers(incoming: DataFrame, offers: DataFrame) -> DataFrame:
     """incoming (row_id, product_id, partner_id, url) with status and offer_id: one equal offer is a match, several are ambiguous."""
     k = ["product_id", "partner_id", "k"]
-    found = offers.select("offer_id", "product_id", "partner_id", S.canonical_url(F.col("url")).alias("k")).groupBy(*k).agg(F.count("*").alias("n"), F.min("offer_id").alias("offer_id"))
+    keyed = S.apart(offers.select("offer_id", "product_id", "partner_id", S.canonical_url(F.col("url")).alias("k")))  # the join's filter on k is no second reading of each address
+    found = keyed.groupBy(*k).agg(F.count("*").alias("n"), F.min("offer_id").alias("offer_id"))
     rows = incoming.withColumn("k", S.canonical_url(F.col("url"))).join(found.hint("merge"), k, "left")
     return rows.select("row_id", F.when(F.col("n") == 1, "MATCH").when(F.col("n") > 1, "AMBIGUOUS").otherwise("NONE").alias("status"), F.when(F.col("n") == 1, F.col("offer_id")).alias("offer_id"))
 
