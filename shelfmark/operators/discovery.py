@@ -110,13 +110,17 @@ def focused_queries(records: DataFrame, missing: DataFrame, terms: DataFrame, mo
     """
     base = records.select("record_id", F.upper(F.trim("category")).alias("category"), F.trim("base").alias("base")).where("base <> ''")
     named = terms.select(F.upper("category").alias("category"), "field", F.col("pos").alias("at"), F.trim("term").alias("term")).where("term <> ''")
-    said = missing.where(S.clean(F.col("field")).isNotNull()).join(base.hint("merge"), "record_id").join(named, ["category", "field"], "left").withColumn("term", F.coalesce("term", spoken(F.col("field"))))
-    once = said.groupBy("record_id", F.lower("term").alias("k")).agg(F.min(F.struct("pos", "field", "at", "term")).alias("f"))
-    placed = once.withColumn("i", F.row_number().over(Window.partitionBy("record_id").orderBy("f.pos", "f.field", "f.at", "k")) - 1).where(F.col("i") < min(MOST_TERMS, most * TERMS_A_QUERY))
-    chunks = placed.groupBy("record_id", F.floor(F.col("i") / TERMS_A_QUERY).alias("pos")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "f.term"))), lambda x: x["term"]), " ").alias("words"))
-    focused = chunks.join(base.hint("merge"), "record_id").select("record_id", "pos", F.concat_ws(" ", "base", "words").alias("query"))
-    n = chunks.groupBy("record_id").agg(F.count("*").alias("n"))
-    return focused.unionByName(base.join(n.hint("merge"), "record_id", "left").select("record_id", F.coalesce("n", F.lit(0)).cast("long").alias("pos"), F.col("base").alias("query")))
+    heard = named.groupBy("category", "field").agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("told"))  # a schema's few terms of a field
+    said = missing.where(S.clean(F.col("field")).isNotNull()).join(base.select("record_id", "category").hint("merge"), "record_id").join(F.broadcast(heard), ["category", "field"], "left")
+    own = F.array(F.struct(F.lit(None).cast(named.schema["at"].dataType).alias("at"), spoken(F.col("field")).alias("term")))
+    told = said.select("record_id", "pos", "field", F.inline(F.coalesce("told", own))).withColumn("k", F.lower("term"))
+    first = Window.partitionBy("record_id", "k").orderBy("pos", "field", "at", "term")
+    once = told.withColumn("_r", F.row_number().over(first)).where("_r = 1")
+    placed = once.withColumn("i", F.row_number().over(Window.partitionBy("record_id").orderBy("pos", "field", "at", "k")) - 1).where(F.col("i") < min(MOST_TERMS, most * TERMS_A_QUERY))
+    terms_of = placed.groupBy("record_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "term"))), lambda x: x["term"]).alias("words"))  # ten at most
+    chunks = F.transform(F.sequence(F.lit(1), F.size("words"), F.lit(TERMS_A_QUERY)), lambda i: F.concat_ws(" ", "base", F.array_join(F.slice("words", i, F.lit(TERMS_A_QUERY)), " ")))
+    every = F.when(F.col("words").isNull(), F.array("base")).otherwise(F.concat(chunks, F.array("base")))
+    return base.select("record_id", "base").join(terms_of.hint("merge"), "record_id", "left").select("record_id", F.posexplode(every).alias("pos", "query")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def official_evidence(records: DataFrame, domains: DataFrame, citations: DataFrame, pages: DataFrame) -> DataFrame:

@@ -31,6 +31,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table if n < 2 else table.repartition(n, SPREAD[name])
 
 
+def dealt(table: DataFrame, *keys: str, most: int = 20 * ROWS_A_TASK) -> DataFrame:
+    """A table whose work by key is dealt over tasks of some `most` rows, however few bytes these take where they are exchanged."""
+    n = -(-table.count() // most)
+    return table if n < 2 else table.repartition(n, *keys)
+
+
 def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A SELECT over the parquet tables of sf_dir."""
     used = set(re.findall(rf"\b(?:from|join) ({TABLES})\b", sql))

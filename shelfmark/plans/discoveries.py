@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import answered, discovery
 from .cases import cases
-from .catalogue import query, rows
+from .catalogue import dealt, query, rows
 
 cases("bare_values", ["text"], ["value"], [
     ("1.11 ([asrock.com](https://www.asrock.com/x?a=1))", "1.11"), ("1.11 [asrock.com](https://www.asrock.com/)", "1.11"), ("1.11 (https://www.asrock.com/a)", "1.11"), ("1.11 【fonte】", "1.11"), ("AM5 - https://a.example/b 【1】 【2】", "AM5"),
@@ -60,7 +60,7 @@ o as (select record_id, base, lower(term) as k, min(struct_pack(p := pos, f := f
 c as (select record_id, base, i // 4 as pos, base || ' ' || string_agg(f.t, ' ' order by i) as query from n where i < 8 group by record_id, base, i // 4)
 select record_id, pos::bigint as pos, query from c union all select r.record_id, count(pos), r.base from ({_BASES}) r left join c using (record_id) where trim(r.base) <> '' group by 1, r.base""")
 def _(spark, sf_dir):
-    return discovery.focused_queries(*(rows(spark, sf_dir, t) for t in (_BASES, _MISSING, _TERMS)), most=2)
+    return discovery.focused_queries(rows(spark, sf_dir, _BASES), dealt(rows(spark, sf_dir, _MISSING), "record_id"), rows(spark, sf_dir, _TERMS), most=2)
 
 
 # Citations: the lines of an order cite pages of suppliers; a brand is a nation, which owns two domains.
