@@ -12,17 +12,29 @@ _LINK = "case when l_linenumber % 5 = 0 then 'https://produto.example.com/MLB-12
 # Searches: each order is one, its lines are what it found; orders of status P were refused, every 17th failed.
 _LINES = f"select l_orderkey as search_id, l_linenumber as n, l_partkey as k, l_suppkey as s, l_extendedprice as price, case when l_returnflag = 'A' then l_extendedprice + l_tax end as was, l_quantity as q, l_linestatus as state, {_LINK} as link from lineitem"
 
-_ORDER = ("n", "k", "s", "price", "q")
+# The order of a search's lines, then what parts lines that agree in it.
+_ORDER = ("n", "k", "s", "price", "q", "was", "paused")
+
+
+def _link(n, k):
+    """_LINK of a line."""
+    return F.when(n % 5 == 0, "https://produto.example.com/MLB-123456789").otherwise(F.concat(F.lit("https://produto.mercadolivre.com.br/MLB-"), (F.lit(1000000000) + k).cast("string"), F.lit("-x")))
 
 
 def _searches(spark, sf_dir):
+    """Lines are shuffled as their few numbers; the bodies are written of them behind the grouping."""
     attribute = lambda i, value: F.struct(F.lit(i).alias("id"), value.alias("value_name"), F.lit(None).cast("array<struct<name:string,struct:struct<number:int,unit:string>>>").alias("values"))
-    listed = F.struct(F.lit("MODEL").alias("id"), F.lit(None).cast("string").alias("value_name"), F.array(F.struct(F.concat(F.lit("M"), F.col("k")).alias("name"), F.lit(None).cast("struct<number:int,unit:string>").alias("struct")), F.struct(F.lit(None).cast("string").alias("name"), F.struct(F.col("n").alias("number"), F.lit("GB").alias("unit")).alias("struct"))).alias("values"))
-    line = rows(spark, sf_dir, _LINES).select("search_id", *_ORDER, F.struct(
-        F.concat(F.lit("MLB"), "k").alias("id"), F.concat(F.lit("Part "), "k").alias("title"), F.col("link").alias("permalink"), "price", F.col("was").alias("original_price"), F.lit("BRL").alias("currency_id"), F.when(F.col("n") != 3, F.floor("q") - 10).alias("available_quantity"),
-        F.when(F.col("state") == "F", "paused").otherwise("active").alias("status"), F.struct(F.col("s").alias("id")).alias("seller"), F.array(attribute("BRAND", F.lit("old")), attribute("BRAND", F.concat(F.lit(" Brand  "), "s")), listed, attribute("EAN", F.col("k").cast("string"))).alias("attributes"),
-    ).alias("r"))
-    found = line.groupBy("search_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(*_ORDER, "r"))), lambda x: x["r"]).alias("results"))  # the few lines of an order
+
+    def result(x):
+        listed = F.struct(F.lit("MODEL").alias("id"), F.lit(None).cast("string").alias("value_name"), F.array(F.struct(F.concat(F.lit("M"), x["k"]).alias("name"), F.lit(None).cast("struct<number:int,unit:string>").alias("struct")), F.struct(F.lit(None).cast("string").alias("name"), F.struct(x["n"].alias("number"), F.lit("GB").alias("unit")).alias("struct"))).alias("values"))
+        return F.struct(
+            F.concat(F.lit("MLB"), x["k"]).alias("id"), F.concat(F.lit("Part "), x["k"]).alias("title"), x["link"].alias("permalink"), x["price"].alias("price"), x["was"].alias("original_price"), F.lit("BRL").alias("currency_id"), F.when(x["n"] != 3, F.floor(x["q"]) - 10).alias("available_quantity"),
+            F.when(x["paused"], "paused").otherwise("active").alias("status"), F.struct(x["s"].alias("id")).alias("seller"), F.array(attribute("BRAND", F.lit("old")), attribute("BRAND", F.concat(F.lit(" Brand  "), x["s"])), listed, attribute("EAN", x["k"].cast("string"))).alias("attributes"),
+        )
+
+    line = rows(spark, sf_dir, _LINES).withColumn("paused", F.coalesce(F.col("state") == "F", F.lit(False)))
+    found = line.groupBy("search_id").agg(F.array_sort(F.collect_list(F.struct(*_ORDER))).alias("lines"))  # the few lines of an order
+    found = found.select("search_id", F.transform("lines", lambda x: result({c: x[c] for c in _ORDER} | {"link": _link(x["n"], x["k"])})).alias("results"))
     orders = rows(spark, sf_dir, "select o_orderkey as search_id, o_orderstatus as state from orders").join(found.hint("merge"), "search_id", "left")
     failed = (F.col("state") == "P") | (F.col("search_id") % 17 == 0)
     return orders.select("search_id", F.when(~failed, F.to_json(F.struct("results"))).alias("body"), F.when(F.col("state") == "P", "HTTP 403").alias("error"))
