@@ -23,11 +23,13 @@ ORACLES: dict[str, str] = {}
 #: Tables whose files are so small that few tasks would read them, though one row is many rows or much work; rows of them that a task takes.
 SPREAD = {"part": "p_partkey", "customer": "c_custkey"}
 ROWS_A_TASK = 10_000
+#: The same where a row is a sheet, page or body that takes a millisecond and more.
+HEAVY_ROWS_A_TASK = 1_000
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _table(spark: SparkSession, sf_dir: str, name: str, a_task: int = ROWS_A_TASK) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    n = -(-table.count() // ROWS_A_TASK) if name in SPREAD else 1
+    n = -(-table.count() // a_task) if name in SPREAD else 1
     return table if n < 2 else table.repartition(n, SPREAD[name])
 
 
@@ -37,11 +39,11 @@ def dealt(table: DataFrame, *keys: str, most: int = 20 * ROWS_A_TASK) -> DataFra
     return table if n < 2 else table.repartition(n, *keys)
 
 
-def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A SELECT over the parquet tables of sf_dir."""
+def rows(spark: SparkSession, sf_dir: str, sql: str, a_task: int = ROWS_A_TASK) -> DataFrame:
+    """A SELECT over the parquet tables of sf_dir; a_task: rows of a table in SPREAD that a task takes."""
     used = set(re.findall(rf"\b(?:from|join) ({TABLES})\b", sql))
     text = re.sub(rf"\b(from|join) ({TABLES})\b", r"\1 {\2}", sql)
-    return spark.sql(text, **{t: _table(spark, sf_dir, t) for t in used})
+    return spark.sql(text, **{t: _table(spark, sf_dir, t, a_task) for t in used})
 
 
 def query(name: str, sql: str | None = None):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import device_rules, spec_rules, specs
 from ..operators import evidence_passages
-from .catalogue import query, rows
+from .catalogue import HEAVY_ROWS_A_TASK, query, rows
 from .markups import filled
 
 #: field: what SQL makes of the part's columns, (name, value) in two styles, a line of text.
@@ -130,7 +130,7 @@ KEYS = ("key", "size", "lga", "twice", "volts", "yes", "com", "form")
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_id, source_id, category, attributes and text of a sheet of each part."""
-    parts = rows(spark, sf_dir, SHEET).repartition("key")
+    parts = rows(spark, sf_dir, SHEET, HEAVY_ROWS_A_TASK)
     kind, style = F.col("key") % len(CATEGORIES), F.floor(F.col("key") / len(CATEGORIES)) % STYLES
     told = lambda t: filled(t, KEYS)
     cells, lines = [], []

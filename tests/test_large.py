@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark.functions import specs
 from shelfmark.operators import arrivals
 from shelfmark.plans import arriving, catalogue, discoveries, research, resolution, spec_sheets  # noqa: F401  (each adds its queries to the catalogue)
 
@@ -24,6 +25,21 @@ def test_small_files_are_dealt_over_tasks(spark, part):
     assert read.rdd.getNumPartitions() == 3 and read.distinct().count() == 25_000
 
 
+def test_sheets_are_dealt_by_rows(spark, part):
+    """Not by bytes: 25,000 short rows are one task's bytes, but minutes of rules."""
+    assert spec_sheets.sheets(spark, part).rdd.getNumPartitions() == 25
+
+
+def test_converters_give_nothing_of_nothing(spark):
+    """So that candidates without a text need no converting."""
+    none = spark.createDataFrame([(None,), ("",)], "raw string")
+    got = none.select(*(convert(F.col("raw")).cast("string").alias(name) for name, convert in specs.CONVERTERS.items())).collect()
+    assert {x for row in got for x in row} == {None}
+    rows = spark.createDataFrame([(1, "C", [], "a: 7")], "record_id long, category string, attributes array<struct<name:string,value:string>>, text string")
+    rule = (specs.Field("n", "integer", specs.Names("n"), specs.Text(r"b: (\d+)", r"a: (\d+)")),)
+    assert specs.extract(rows, {"C": rule}).first().specs == {"n": "7"}
+
+
 @pytest.mark.parametrize("name", ["base_patch", "verified_intake", "listing_components", "field_evidence", "component_seeds", "manual_edits", "answered_fields"])
 def test_growing_sides_are_not_broadcast(spark, part, name):
     """The estimate of a table of few bytes is far below that of its rows in memory; schemas of a few rows may be broadcast."""
