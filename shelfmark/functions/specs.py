@@ -381,7 +381,8 @@ def extract(records: DataFrame, categories: dict[str, tuple[Field, ...]], catego
     rows = rows.withColumns({"_keys": F.transform("_pairs", lambda x: x["k"]), "_vals": F.transform("_pairs", lambda x: x["v"])})
     row, kind = Row("_keys", "_vals", "_text"), F.col(category)
     candidates = F.coalesce(*(F.when(kind == name, row.all(fields)) for name, fields in categories.items()))
-    rows = rows.withColumn("_found", F.transform(candidates, lambda c: F.struct(c["field"].alias("key"), _converted(c).alias("value"))))
+    told = F.filter(candidates, lambda c: c["raw"].isNotNull() & ((c["raw"] != "") | (c["convert"] == "as_is")))  # converters give nothing of nothing
+    rows = rows.withColumn("_found", F.transform(told, lambda c: F.struct(c["field"].alias("key"), _converted(c).alias("value"))))
     rows = rows.withColumn("_found", F.filter("_found", lambda x: x["value"].isNotNull()))
     first = F.filter("_found", lambda x, i: (i == 0) | (F.get("_found", i - 1)["key"] != x["key"]))  # a field's candidates stand together
     rows = S.apart(rows.withColumn("_map", F.map_from_entries(first)).drop("_pairs", "_text", "_keys", "_vals", "_found"))
