@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import prices
+from ..functions import captured, prices
 from ..functions import scalars as S
 
 #: Headings of pages that show a check instead of a product; names under which attribute tables tell an identity.
@@ -153,6 +153,24 @@ def detail_links(pages: DataFrame, most: int, page: str = "page", key: str = "pa
     return first.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("_pos"))).where(F.col("place") <= most).select(key, "place", "href", "page_key")
 
 
+def details_named(page: Column, url: Column, most: int) -> Column:
+    """What `detail_links` gives of one page, inside its row: an array of (place, href, page_key)."""
+    def pick(own: Column) -> Column:
+        def judged(link: Column) -> Column:
+            href = F.regexp_replace(link["href"], "#.*$", "")
+            path = F.regexp_extract(href, "^[^?]*?://[^/?]+([^?]*)", 1)
+            at = page_key(href)
+            good = (_origin(at) == _origin(own)) & (at != own) & ~href.rlike("^[^/]*//[^/?]*@") & ~path.rlike(DETAIL_BARRED)
+            return F.struct(href.alias("href"), at.alias("page_key"), F.coalesce(good, F.lit(False)).alias("good"))
+
+        told = F.filter(page["links"], lambda link: F.coalesce(S.fold(link["label"]), F.lit("")).rlike(DETAIL_LABELS))
+        good = F.filter(F.transform(told, judged), lambda x: x["good"])
+        first = F.slice(captured.first_each(good, lambda x: x["page_key"]), 1, most)
+        return F.transform(first, lambda x, i: F.struct((i + 1).alias("place"), x["href"].alias("href"), x["page_key"].alias("page_key")))
+
+    return S.let(page_key(url), pick)
+
+
 def same_product(seed: dict[str, Column], other: dict[str, Column]) -> Column:
     """Whether a detail page is of the seed's product: no identifier differs, and it names the seed's page as canonical, or tells its
     identity (GTIN, or brand with part number or model), or, where the seed has no identity, has its title."""
@@ -170,20 +188,23 @@ def same_product(seed: dict[str, Column], other: dict[str, Column]) -> Column:
 DETAIL_FIELDS = ("title", "brand", "model", "mpn", "gtin", "image_url")
 
 
-def with_details(seeds: DataFrame, links: DataFrame, found: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
+def with_details(seeds: DataFrame, links: DataFrame | str, found: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
     """Records with what their detail pages add: gaps are filled in the order of the links, the longest description wins, attributes
     come in whose names the record has not, up to MOST_ATTRIBUTES; price, currency and availability stay the record's own.
 
-    seeds and found are of `records`; links of `detail_links`. A page that many seeds link to is a hot key of the join by address, whose
-    rows are as many as the links; each seed's links are few. n_details tells how many pages were used.
+    seeds and found are of `records`; links of `detail_links`, or the name of a column of seeds with `details_named`: then seeds are read
+    once, so that pages are parsed once. A page that many seeds link to is a hot key of the join by address, whose rows are as many as the
+    links, and a seed without a link has a key of its own; each seed's links are few. n_details tells how many pages were used.
     """
-    pages = found.groupBy(page_key(F.col(url)).alias("page_key")).agg(F.min_by(F.struct(*found.columns), F.col(url)).alias("_d"))
-    own = seeds.select(key, F.struct(*seeds.columns).alias("_s"))
-    both = links.join(own.hint("merge"), key).join(pages.hint("merge"), "page_key")
+    if not isinstance(links, str):
+        seeds, links = seeds.join(links.groupBy(key).agg(F.collect_list(F.struct("place", "href", "page_key")).alias("_links")).hint("merge"), key, "left"), "_links"
+    own = [c for c in seeds.columns if c != links]
+    pages = found.groupBy(page_key(F.col(url)).alias("_at")).agg(F.min_by(F.struct(*found.columns), F.col(url)).alias("_d"))
+    asked = seeds.select(F.monotonically_increasing_id().alias("_row"), F.struct(*own).alias("_s"), links).select("_row", "_s", F.explode_outer(links).alias("_l"))
+    both = asked.withColumn("_at", F.coalesce("_l.page_key", F.concat(F.lit("\0"), F.col("_row").cast("string")))).join(pages.hint("merge"), "_at", "left")
     of = lambda c: {f: F.col(f"{c}.{f}") for f in ("title", "brand", "model", "mpn", "gtin", "canonical_url")} | {"url": F.col(f"{c}.{url}")}
-    used = both.where(~F.col("_d.blocked") & same_product(of("_s"), of("_d"))).select(key, "place", "_d")
-    listed = used.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "_d"))), lambda x: x["_d"]).alias("_ds"))
-    rows = seeds.join(listed.hint("merge"), key, "left").withColumn("_ds", F.coalesce("_ds", F.filter(F.array(F.struct(*seeds.columns)), lambda x: F.lit(False))))
+    used = F.when(~F.col("_d.blocked") & same_product(of("_s"), of("_d")), F.struct(F.col("_l.place").alias("place"), "_d"))
+    rows = both.groupBy("_row").agg(F.first("_s").alias("_s"), F.sort_array(F.collect_list(used)).alias("_ds")).select("_s.*", F.transform("_ds", lambda x: x["_d"]).alias("_ds"))
     first = lambda f: F.get(F.filter(F.transform("_ds", lambda d: d[f]), lambda v: v.isNotNull()), F.lit(0))
     mine = F.struct(F.col("description").alias("text"), F.col("description_source").alias("source"))
     longest = F.aggregate("_ds", mine, lambda held, d: F.when(F.coalesce(F.length(d["description"]), F.lit(0)) > F.coalesce(F.length(held["text"]), F.lit(0)), F.struct(d["description"].alias("text"), d["description_source"].alias("source"))).otherwise(held))
@@ -198,4 +219,4 @@ def with_details(seeds: DataFrame, links: DataFrame, found: DataFrame, key: str
     merged = F.aggregate("_ds", F.col("attributes"), grown)
     made = {f: F.coalesce(F.col(f), first(f)) for f in DETAIL_FIELDS} | {"description": longest["text"], "description_source": longest["source"], "attributes": merged}
     out = rows.withColumn("_made", F.struct(*(c.alias(f) for f, c in made.items())))
-    return out.select(*(F.col(f"_made.{c}").alias(c) if c in made else F.col(c) for c in seeds.columns), F.size("_ds").alias("n_details"))
+    return out.select(*(F.col(f"_made.{c}").alias(c) if c in made else F.col(c) for c in own), F.size("_ds").alias("n_details"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import markup, records
-from .catalogue import query, rows
+from .catalogue import HEAVY_ROWS_A_TASK, query, rows
 
 HOST = "https://shop.example.com"
 FIELDS = f"""select p_partkey as key, p_name as name, p_brand as brand, p_type as type, p_size as size, p_retailprice as amount, concat('M-', cast(p_partkey as varchar(20))) as mpn,
@@ -70,7 +70,7 @@ def filled(template: str, names: tuple[str, ...] = ("key", "name", "brand", "typ
 
 def part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key, url, html: a product page of each part."""
-    parts = rows(spark, sf_dir, FIELDS).repartition("key")  # the short rows, so that pages are rendered and parsed in parallel
+    parts = rows(spark, sf_dir, FIELDS, HEAVY_ROWS_A_TASK)
     layout = F.col("key") % len(LAYOUTS)
     html = F.coalesce(*(F.when(layout == i, filled(template)) for i, (template, _) in enumerate(LAYOUTS)))
     return parts.select("key", "url", html.alias("html"))
@@ -157,12 +157,12 @@ select key, title, case when used then 'A long text of ' || name || ', longer th
 from d where key % 8 <> 7""")
 def _(spark, sf_dir):
     pages = markup.parsed(part_pages(spark, sf_dir))
-    parts = rows(spark, sf_dir, FIELDS)
+    parts = rows(spark, sf_dir, FIELDS, HEAVY_ROWS_A_TASK)
     other = filled(_DETAIL.replace("{mpn}", "").replace("</table>", "<tr><td>Part Number</td><td>another</td></tr></table>"))
     html = F.when(F.col("key") % 5 == 0, other).when(F.col("key") % 7 == 0, "<html><title>Captcha</title></html>").otherwise(filled(_DETAIL))
     details = markup.parsed(parts.where("key % 8 = 0").select("key", F.concat("url", F.lit("/specs/")).alias("url"), html.alias("html")))
-    seeds = records.records(pages).where("ok")
-    merged = _listed(records.with_details(seeds, records.detail_links(pages, 2, key="key"), records.records(details), key="key"))
+    named = pages.withColumn("details", records.details_named(F.col("page"), F.col("url"), 2))
+    merged = _listed(records.with_details(records.records(named).where("ok"), "details", records.records(details), key="key"))
     return merged.select("key", "title", "description", "description_source", "price", F.array_join("attributes", "\n").alias("attributes"), "n_details")
 
 
@@ -171,7 +171,7 @@ def _(spark, sf_dir):
     main = f'<meta property="og:image" content="{HOST}/i/50x50/{{key}}.jpg">'
     first = f'<html><head>{main}</head><body><img src="{HOST}/i/600x400/{{key}}.jpg"><img src="{HOST}/i/300x900/{{key}}0.jpg"><img src="{HOST}/i/800x300/{{key}}.jpg"></body></html>'
     second = f'<meta property="og:image" content="{HOST}/i/50x50/{{key}}.webp?a=1&amp;b=2.png"><img src="{HOST}/i/99x300/{{key}}.webp?a=1&amp;b=2.png"><img src="{HOST}/i/@x300/{{key}}.webp?a=1&amp;b=2.png">'
-    parts = rows(spark, sf_dir, FIELDS)
+    parts = rows(spark, sf_dir, FIELDS, HEAVY_ROWS_A_TASK)
     sized = F.concat(*(x for piece in second.split("@") for x in (filled(piece), (F.col("size") + 100).cast("string"))))
     html = F.when(F.col("key") % 3 == 0, filled(first)).when(F.col("key") % 3 == 1, sized).otherwise(filled("<h1>{name}</h1>"))
     found = markup.parsed(parts.select("key", "url", html.alias("html"), html.alias("source")))

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import specs
-from shelfmark.operators import arrivals
-from shelfmark.plans import arriving, catalogue, discoveries, research, resolution, spec_sheets  # noqa: F401  (each adds its queries to the catalogue)
+from shelfmark.operators import arrivals, markup, records
+from shelfmark.plans import arriving, catalogue, discoveries, markups, research, resolution, spec_sheets  # noqa: F401  (each adds its queries to the catalogue)
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +40,29 @@ def test_converters_give_nothing_of_nothing(spark):
     assert specs.extract(rows, {"C": rule}).first().specs == {"n": "7"}
 
 
+def test_pages_are_parsed_once(spark, part):
+    """Links, seeds and merged records come of one pass over the pages; the other pass is over the detail pages."""
+    assert markups.part_pages(spark, part).rdd.getNumPartitions() == 25
+    plan = catalogue.QUERIES["part_page_details"](spark, part)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
+
+
+def test_details_of_a_column_of_links_are_those_of_a_table(spark):
+    links = '<a href="/p/1/specs#a">Specs</a><a href="/p/1/specs/">Specs</a><a href="https://x.example/specs">Specs</a><a href="/cart/specs">Specs</a><a href="/p/1/more">Technical details</a><a href="/p/1/third">Specs</a><a href="/p/1">Specs</a><a href="/z">Other</a>'
+    html = [(1, "https://s.example/p/1", f"<h1>Board Z</h1>{links}"), (2, "https://s.example/p/2", "<h1>Case</h1>"), (3, None, f"<h1>No address</h1>{links}")]
+    pages = markup.parsed(spark.createDataFrame(html, "page_id long, url string, html string"))
+    of_table = records.detail_links(pages, 2)
+    in_rows = pages.withColumn("links", records.details_named(F.col("page"), F.col("url"), 2))
+    got = sorted(map(tuple, in_rows.selectExpr("page_id", "inline(links)").collect()))
+    assert got == sorted(map(tuple, of_table.collect())) and [(i, p) for i, p, *_ in got] == [(1, 1), (1, 2)]
+    told = [(7, "https://s.example/p/1/specs", "<h1>Board Z</h1><table><tr><td>Size</td><td>7</td></tr></table>"), (8, "https://s.example/p/1/more", "<title>Captcha</title>")]
+    details = records.records(markup.parsed(spark.createDataFrame(told, "page_id long, url string, html string")))
+    one = records.with_details(records.records(in_rows), "links", details)
+    other = records.with_details(records.records(pages), of_table, details)
+    assert one.columns == other.columns and sorted(one.collect()) == sorted(other.collect())
+    assert {r.page_id: r.n_details for r in one.collect()} == {1: 1, 2: 0, 3: 0}
+
+
 @pytest.mark.parametrize("name", ["base_patch", "verified_intake", "listing_components", "field_evidence", "component_seeds", "manual_edits", "answered_fields"])
 def test_growing_sides_are_not_broadcast(spark, part, name):
     """The estimate of a table of few bytes is far below that of its rows in memory; schemas of a few rows may be broadcast."""
