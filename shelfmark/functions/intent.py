@@ -29,11 +29,21 @@ def accessory(t: Column) -> Column:
     return F.when((at > 0) & ((main == 0) | (at <= main)), F.regexp_extract(t, ACCESSORY, 1))
 
 
+def kind(q: Column) -> Column:
+    """Struct (blank, category, accessory) of the search_text of what is wanted."""
+    category = F.coalesce(categories.category(q), F.when(q.rlike(r"\bpc\b"), F.lit("PC_MONTADO")))
+    return F.struct((q == "").alias("blank"), category.alias("category"), accessory(q).alias("accessory"))
+
+
+def of_kind(k: Column, t: Column) -> Column:
+    """Whether a search_text sells the `kind` that is wanted; categories count where both have one, and empty texts fit all."""
+    differ = F.when(k["category"].isNotNull(), F.coalesce(k["category"] != categories.category(t), F.lit(False))).otherwise(F.lit(False))
+    return k["blank"] | (t == "") | (~differ & k["accessory"].eqNullSafe(accessory(t)))
+
+
 def same_kind(q: Column, t: Column) -> Column:
-    """Whether two search_texts sell the same kind of item; categories count where both have one, and empty texts fit all."""
-    wanted = F.coalesce(categories.category(q), F.when(q.rlike(r"\bpc\b"), F.lit("PC_MONTADO")))
-    differ = F.coalesce(wanted != categories.category(t), F.lit(False))
-    return (q == "") | (t == "") | (~differ & accessory(q).eqNullSafe(accessory(t)))
+    """Whether two search_texts sell the same kind of item."""
+    return of_kind(kind(q), t)
 
 
 def _models(t: Column) -> Column:

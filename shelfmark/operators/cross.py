@@ -81,26 +81,27 @@ def _title_words(c: Column) -> Column:
 
 def identical_offers(wanted: DataFrame, offers: DataFrame) -> DataFrame:
     """product_id, offer_id, by: the offers (offer_id, title, brand, model, mpn, gtin) that sell the wanted products (product_id, name, brand,
-    model, mpn, gtin), and by what `products.identical` tells so.
+    model, mpn, gtin), and by what `products.sells` tells so.
 
     Blocked by equal GTINs, part numbers and models, by GTINs in titles, and by part numbers and models as runs of words in titles: one
     union of keys a side, one equi-join, each pair judged once. What contradicts an identifier falls to the judgement, not to the blocking.
     """
-    w, o = F.struct(*(F.col(c) for c in ("name", "brand", "model", "mpn", "gtin"))), F.struct(*(F.col(c) for c in ("title", "brand", "model", "mpn", "gtin")))
+    w, o = products.sought(F.struct(*(F.col(c) for c in ("name", "brand", "model", "mpn", "gtin")))), F.struct(*(F.col(c) for c in ("title", "brand", "model", "mpn", "gtin")))
     mark = lambda kind, c: F.concat(F.lit(kind), c)
     phrase = lambda c: S.blank_to_null(F.array_join(_title_words(F.col(c)), " "))
     phrases = wanted.select(F.explode(F.array(F.when(F.length(S.key(F.col("mpn"))) >= 5, phrase("mpn")), F.when(F.length(S.key(F.col("model"))) >= 4, phrase("model")))).alias("phrase"))
     rare = rarest_run(phrases, "phrase")
-    plain = wanted.select("product_id", w.alias("w"), F.explode(F.array_distinct(F.array_compact(F.array(
+    made = S.apart(wanted.select("*", w.alias("w")))
+    plain = made.select("product_id", "w", F.explode(F.array_distinct(F.array_compact(F.array(
         mark("g", S.digits(F.col("gtin"))), mark("m", S.key(F.col("mpn"))), mark("d", S.key(F.col("model"))), F.when(F.length(S.digits(F.col("gtin"))) >= 8, mark("x", S.digits(F.col("gtin")))),
     )))).alias("key"))
-    spoken = wanted.select("product_id", w.alias("w"), F.explode(F.array_distinct(F.array_compact(F.array(phrase("mpn"), phrase("model"))))).alias("phrase"))
+    spoken = made.select("product_id", "w", F.explode(F.array_distinct(F.array_compact(F.array(phrase("mpn"), phrase("model"))))).alias("phrase"))
     asked = plain.union(spoken.join(rare.hint("merge"), "phrase").select("product_id", "w", mark("t", F.col("run")).alias("key")))
     codes = F.transform(F.regexp_extract_all(F.coalesce("title", F.lit("")), F.lit(r"(?<!\d)(\d{8,})(?!\d)"), 1), lambda x: mark("x", x))
     keys = F.concat(F.array_compact(F.array(mark("g", S.digits(F.col("gtin"))), mark("m", S.key(F.col("mpn"))), mark("d", S.key(F.col("model"))))), codes, F.transform(word_runs(_title_words(F.col("title"))), lambda x: mark("t", x)))
     told = offers.select("offer_id", o.alias("o"), F.explode(F.array_distinct(keys)).alias("key"))
     pairs = told.join(asked.hint("merge"), "key").select("product_id", "offer_id", "w", "o").dropDuplicates(["product_id", "offer_id"])
-    return S.apart(pairs.select("product_id", "offer_id", products.identical(F.col("w"), F.col("o")).alias("by"))).where("by is not null")
+    return S.apart(pairs.select("product_id", "offer_id", products.sells(F.col("w"), F.col("o")).alias("by"))).where("by is not null")
 
 
 def store_offers(wanted: DataFrame, offers: DataFrame, most: int = 3) -> DataFrame:

@@ -39,12 +39,22 @@ def _named(text: Column, pattern: str) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"\s+", ""))))
 
 
+def variant(wanted: Column) -> Column:
+    """The variant words, capacities and voltages that a wanted text names: a list of each."""
+    return F.array(*(_named(wanted, pattern) for pattern in (VARIANTS, *MEASURES)))
+
+
+def of_variant(wanted: Column, title: Column) -> Column:
+    """Whether a title names the same variant words as the `variant` that is wanted, and the same capacities and voltages where it names some."""
+    out = wanted[0] == _named(title, VARIANTS)
+    for i, pattern in enumerate(MEASURES, 1):
+        out = out & ((F.size(wanted[i]) == 0) | (wanted[i] == _named(title, pattern)))
+    return out
+
+
 def same_variant(wanted: Column, title: Column) -> Column:
     """Whether a title names the same variant words, and the same capacities and voltages where the wanted text names some."""
-    out = _named(wanted, VARIANTS) == _named(title, VARIANTS)
-    for pattern in MEASURES:
-        out = out & ((F.size(_named(wanted, pattern)) == 0) | (_named(wanted, pattern) == _named(title, pattern)))
-    return out
+    return S.let(variant(wanted), lambda w: of_variant(w, title))
 
 
 def admissible(offers: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import intent, scalars as S
-from .listings import same_variant
+from .listings import of_variant, variant
 
 #: Words that name a maker of graphics chips, words of a category that are no model, words that tell no model apart, variants.
 CHIP_MAKERS = (("geforce", "NVIDIA"), ("quadro", "NVIDIA"), ("tesla", "NVIDIA"), ("nvidia", "NVIDIA"), ("radeon", "AMD"), ("firepro", "AMD"), ("amd", "AMD"), ("intel arc", "Intel"), ("arc ", "Intel"))
@@ -119,33 +119,46 @@ def page_fits(wanted: Column, page: Column, text: Column) -> Column:
     return ~contradicts & F.when(title.isNotNull(), by_title).otherwise(named(text))
 
 
-def _run_of(value: Column, title: Column, least: int) -> Column:
-    words = lambda c: F.array_join(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+|[0-9]+"), 0), " ")
-    run = words(value)
-    return (F.length(S.key(value)) >= least) & (run != "") & F.contains(F.concat(F.lit(" "), words(title), F.lit(" ")), F.concat(F.lit(" "), run, F.lit(" ")))
+def _title_words(c: Column) -> Column:
+    return F.array_join(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+|[0-9]+"), 0), " ")
 
 
-def identical(wanted: Column, offer: Column) -> Column:
-    """By what an offer (struct title, brand, model, mpn, gtin) sells the wanted product (struct name, brand, model, mpn, gtin); null if it may be another.
+def sought(wanted: Column) -> Column:
+    """What `identical` looks for of a wanted product (struct name, brand, model, mpn, gtin): all that needs no offer, worked out once a product."""
+    run = lambda f, least: F.when(F.length(S.key(wanted[f])) >= least, S.blank_to_null(_title_words(wanted[f])))
+    return F.struct(
+        wanted["name"].alias("name"), S.digits(wanted["gtin"]).alias("gtin"), S.key(wanted["mpn"]).alias("mpn"), S.key(wanted["model"]).alias("model"), S.key(wanted["brand"]).alias("brand"), run("mpn", 5).alias("mpn_run"),
+        run("model", 4).alias("model_run"), intent.kind(intent.search_text(wanted["name"])).alias("kind"), variant(F.concat_ws(" ", wanted["name"], wanted["model"])).alias("variant"),
+    )
+
+
+def sells(w: Column, offer: Column) -> Column:
+    """By what an offer (struct title, brand, model, mpn, gtin) sells the wanted product (`sought`); null if it may be another.
 
     Another kind of item or another GTIN or part number never fits. Then GTIN, part number and brand, and, with the same variant, the
-    title's GTIN, its part number or model as a run of words with the brand.
+    title's GTIN, its part number or model as a run of words with the brand. A title that is the wanted name is of its kind.
     """
-    key = lambda s, f: S.key(s[f])
     no = lambda c: F.coalesce(c, F.lit(False))
-    g, og, m, om = S.digits(wanted["gtin"]), S.digits(offer["gtin"]), key(wanted, "mpn"), key(offer, "mpn")
-    model, found = key(wanted, "model"), key(offer, "model")
     title = F.coalesce(offer["title"], F.lit(""))
-    in_title = no(F.contains(F.coalesce(S.key(title), F.lit("")), key(wanted, "brand")))
-    branded = key(wanted, "brand").isNull() | no(key(offer, "brand") == key(wanted, "brand")) | in_title
-    title_branded = key(wanted, "brand").isNull() | in_title
-    alike = intent.same_kind(intent.search_text(wanted["name"]), intent.search_text(title))
-    variant = same_variant(F.concat_ws(" ", wanted["name"], wanted["model"]), title)
-    by_code = F.when(no(g == og), "GTIN").when(no(m == om) & branded, "MPN_MARCA")
-    by_title = F.when((F.length(g) >= 8) & F.regexp_like(title, F.concat(F.lit(r"(?<!\d)"), g, F.lit(r"(?!\d)"))), "GTIN_TITULO").when(title_branded & no(_run_of(wanted["mpn"], title, 5)), "MPN_MARCA_TITULO")
-    by_model = F.when(no(F.length(model) >= 4) & branded & (no(found == model) | no(_run_of(wanted["model"], title, 4))), "MARCA_MODELO")
-    rest = F.when(~no(model != found) & variant, F.coalesce(by_title, by_model))
-    return F.when(alike & ~no(g != og) & ~no(m != om), F.coalesce(by_code, rest))
+    run_of = lambda run: S.let(run, lambda r: no(F.contains(F.concat(F.lit(" "), _title_words(title), F.lit(" ")), F.concat(F.lit(" "), r, F.lit(" ")))))
+
+    def judge(x: Column) -> Column:
+        in_title = no(F.contains(F.coalesce(S.key(title), F.lit("")), w["brand"]))
+        branded = w["brand"].isNull() | no(S.key(offer["brand"]) == w["brand"]) | in_title
+        by_code = F.when(no(w["gtin"] == x.gtin), "GTIN").when(no(w["mpn"] == x.mpn) & branded, "MPN_MARCA")
+        by_title = F.when((F.length(w["gtin"]) >= 8) & F.contains(title, w["gtin"]) & F.regexp_like(title, F.concat(F.lit(r"(?<!\d)"), w["gtin"], F.lit(r"(?!\d)"))), "GTIN_TITULO").when((w["brand"].isNull() | in_title) & run_of(w["mpn_run"]), "MPN_MARCA_TITULO")
+        by_model = F.when(no(F.length(w["model"]) >= 4) & branded & (no(x.model == w["model"]) | run_of(w["model_run"])), "MARCA_MODELO")
+        fits = ~no(w["model"] != x.model) & of_variant(w["variant"], title)
+        return F.when(~no(w["gtin"] != x.gtin) & ~no(w["mpn"] != x.mpn), F.coalesce(by_code, S.let(F.coalesce(by_title, by_model), lambda by: F.when(by.isNotNull() & fits, by))))
+
+    read = F.struct(S.digits(offer["gtin"]).alias("gtin"), S.key(offer["mpn"]).alias("mpn"), S.key(offer["model"]).alias("model"))
+    alike = no(w["name"] == title) | S.let(intent.search_text(title), lambda t: intent.of_kind(w["kind"], t))
+    return S.let(S.let(read, judge), lambda by: F.when(by.isNotNull() & alike, by))
+
+
+def identical(wanted: Column, offer: Column) -> Column:
+    """By what an offer sells the wanted product (struct name, brand, model, mpn, gtin), as `sells` tells it."""
+    return S.let(sought(wanted), lambda w: sells(w, offer))
 
 
 def parts_named(listings: DataFrame, most: int = 6, longest: int = 350) -> DataFrame:
