@@ -66,7 +66,7 @@ def answers(responses: DataFrame) -> DataFrame:
     line = F.posexplode(F.split("response_text", "\n")).alias("pos", "line")
     pattern = r"^\s*(?:[-*•]\s*)?([^:|]{1,80}?)\s*:\s*(.+?)\s*$"
     rows = responses.select("record_id", line).select("record_id", "pos", S.token(F.regexp_extract("line", pattern, 1)).alias("field"), S.clean(F.regexp_extract("line", pattern, 2)).alias("value"))
-    rows = rows.where(F.col("field").isNotNull() & F.col("value").isNotNull() & ~F.lower("value").isin("null", "none", "n/a", "-"))
+    rows = S.apart(rows).where(F.col("field").isNotNull() & F.col("value").isNotNull() & ~F.lower("value").isin("null", "none", "n/a", "-"))
     return rows.groupBy("record_id", "field").agg(F.min_by("value", "pos").alias("value"))
 
 
