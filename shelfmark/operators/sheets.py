@@ -39,7 +39,7 @@ def normalise(sheet: DataFrame, schema: DataFrame) -> DataFrame:
     """
     rows = sheet.join(F.broadcast(schema.select("category", "field", "kind")), ["category", "field"])
     made = F.coalesce(*(F.when(F.col("kind") == kind, rule(F.col("value"))) for kind, rule in KINDS.items()))
-    return rows.select("record_id", "category", "field", "kind", made.alias("value")).where("value is not null")
+    return S.apart(rows.select("record_id", "category", "field", "kind", made.alias("value"))).where("value is not null")
 
 
 #: The categories whose records always name the kinds of memory that they take, and the field that does.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import specs
 from shelfmark.operators import arrivals, markup, products, records
-from shelfmark.plans import arriving, catalogue, discoveries, markups, research, resolution, spec_sheets  # noqa: F401  (each adds its queries to the catalogue)
+from shelfmark.plans import arriving, cases, catalogue, discoveries, markups, research, resolution, spec_sheets  # noqa: F401  (each adds its queries to the catalogue)
 
 
 @pytest.fixture(scope="module")
@@ -87,6 +87,13 @@ def test_what_is_sought_is_worked_out_once_a_product(spark):
     assert of_pair == [None, "MARCA_MODELO", None, "GTIN", "MPN_MARCA", "GTIN_TITULO", None, None, "MPN_MARCA_TITULO", None, "MARCA_MODELO", None]
 
 
+@pytest.mark.parametrize("name", ["answers", "sheet_normalise"])
+def test_values_are_worked_out_once(spark, part, name):
+    """Not again by a filter that asks whether there is one."""
+    plan = catalogue.QUERIES[name](spark, part)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("regexp" in line.lower() for line in plan.splitlines() if re.match(r"[ :+|-]*Filter", line))
+
+
 def test_preflight_of_shared_row_ids(spark):
     text = "string, ".join(("brand ", "model ", "mpn ", "gtin ")) + "string"
     rows = spark.createDataFrame([(1, None, None, None, "7890000000017"), (1, None, None, None, "7890000000024"), (1, None, None, None, None)], f"row_id long, {text}")
