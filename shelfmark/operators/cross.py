@@ -22,8 +22,8 @@ MOST_CANDIDATES = 5
 
 def word_runs(words: Column) -> Column:
     """All single words and pairs of neighbours of an array of words, each once."""
-    pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
-    return F.array_distinct(F.concat(words, pairs))
+    pairs = lambda ws: F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(ws, i + 1)))
+    return S.let(words, lambda ws: F.array_distinct(F.concat(ws, pairs(ws))))
 
 
 def rarest_run(names: DataFrame, name: str, *within: str) -> DataFrame:
@@ -79,29 +79,59 @@ def _title_words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z]+|[0-9]+"), 0)
 
 
+#: What an offer says of its item, in columns: offers that say the same are judged once.
+WORDING = ("title", "brand", "model", "mpn", "gtin")
+
+
+def _worded(offers: DataFrame) -> DataFrame:
+    """Offers with _i, _j, 96 bits by which their wordings are told apart; nulls are told from empty texts."""
+    said = [c for name in WORDING for c in (F.col(name), F.col(name).isNull())]
+    return offers.withColumns({"_i": F.xxhash64(*said), "_j": F.hash(*said)})
+
+
+def _shape(run: Column) -> Column:
+    """Of each of a run's one or two words whether they are letters or digits, and their length up to 30: at most 3,660 shapes."""
+    told = lambda at, n: F.least(n, F.lit(30)) * 2 + (F.substr(run, at, F.lit(1)) >= "a").cast("int")
+    return S.let(F.instr(run, " "), lambda gap: F.when(gap == 0, told(F.lit(1), F.length(run))).otherwise(told(F.lit(1), gap - 1) * 64 + told(gap + 1, F.length(run) - gap)))
+
+
+def _sold(wanted: DataFrame, offers: DataFrame) -> DataFrame:
+    """_i, _j, product_id, by: by what the offers of a wording (`_worded`) sell a wanted product, as `identical_offers` tells it.
+
+    Wordings and products meet as hashes of keys, and only those that met are laid beside each other; a title's words are sent if a run by
+    which some name is met has their shape. A hash that two keys share brings a pair to be judged, no more.
+    """
+    said = offers.groupBy("_i", "_j").agg(F.first(F.struct(*WORDING)).alias("o"))  # a struct, so that both uses read one exchange
+    mark = lambda kind, c: F.concat(F.lit(kind), c)
+    phrase = lambda c: S.blank_to_null(F.array_join(_title_words(F.col(c)), " "))
+    spoken = wanted.select("product_id", F.explode(F.array_distinct(F.array_compact(F.array(F.when(F.length(S.key(F.col("mpn"))) >= 5, phrase("mpn")), F.when(F.length(S.key(F.col("model"))) >= 4, phrase("model")))))).alias("phrase"))
+    rare = rarest_run(spoken, "phrase")
+    gtin, mpn, model = S.digits(F.col("gtin")), S.key(F.col("mpn")), S.key(F.col("model"))
+    plain = wanted.select("product_id", F.explode(F.array_compact(F.array(mark("g", gtin), mark("m", mpn), mark("d", model), F.when(F.length(gtin) >= 8, mark("x", gtin))))).alias("key"))
+    asked = plain.union(spoken.join(rare.hint("merge"), "phrase").select("product_id", mark("t", F.col("run")))).select("product_id", F.xxhash64("key").alias("key"))
+    shapes = rare.agg(F.collect_set(_shape(F.col("run"))).alias("_shapes"))
+    codes = F.transform(F.regexp_extract_all(F.coalesce("title", F.lit("")), F.lit(r"(?<!\d)(\d{8,})(?!\d)"), 1), lambda x: mark("x", x))
+    runs = F.transform(F.filter(word_runs(_title_words(F.col("title"))), lambda r: F.array_contains("_shapes", _shape(r))), lambda r: mark("t", r))
+    keys = F.concat(F.array_compact(F.array(mark("g", gtin), mark("m", mpn), mark("d", model))), codes, runs)
+    told = said.select("_i", "_j", "o.*").crossJoin(F.broadcast(shapes)).select("_i", "_j", F.explode(F.transform(keys, lambda x: F.xxhash64(x))).alias("key"))
+    pairs = told.join(asked.hint("merge"), "key").select("_i", "_j", "product_id").repartition("_i", "_j").distinct()
+    of = F.struct("product_id").alias("_of")  # a key also where it is null
+    sought = S.apart(wanted.select(of, products.sought(F.struct("name", "brand", "model", "mpn", "gtin")).alias("w")))
+    met = pairs.join(said.hint("merge"), ["_i", "_j"]).select("_i", "_j", "o", of).join(sought.hint("merge"), "_of")
+    by = met.groupBy("_of", "_i", "_j").agg(F.min(products.sells(F.col("w"), F.col("o"))).alias("by"))  # one of a product that stands twice
+    return by.where("by is not null").select("_i", "_j", "_of.product_id", "by")
+
+
 def identical_offers(wanted: DataFrame, offers: DataFrame) -> DataFrame:
     """product_id, offer_id, by: the offers (offer_id, title, brand, model, mpn, gtin) that sell the wanted products (product_id, name, brand,
     model, mpn, gtin), and by what `products.sells` tells so.
 
     Blocked by equal GTINs, part numbers and models, by GTINs in titles, and by part numbers and models as runs of words in titles: one
-    union of keys a side, one equi-join, each pair judged once. What contradicts an identifier falls to the judgement, not to the blocking.
+    union of keys a side, one equi-join, each pair of a product and a wording judged once. What contradicts an identifier falls to the
+    judgement, not to the blocking.
     """
-    w, o = products.sought(F.struct(*(F.col(c) for c in ("name", "brand", "model", "mpn", "gtin")))), F.struct(*(F.col(c) for c in ("title", "brand", "model", "mpn", "gtin")))
-    mark = lambda kind, c: F.concat(F.lit(kind), c)
-    phrase = lambda c: S.blank_to_null(F.array_join(_title_words(F.col(c)), " "))
-    phrases = wanted.select(F.explode(F.array(F.when(F.length(S.key(F.col("mpn"))) >= 5, phrase("mpn")), F.when(F.length(S.key(F.col("model"))) >= 4, phrase("model")))).alias("phrase"))
-    rare = rarest_run(phrases, "phrase")
-    made = S.apart(wanted.select("*", w.alias("w")))
-    plain = made.select("product_id", "w", F.explode(F.array_distinct(F.array_compact(F.array(
-        mark("g", S.digits(F.col("gtin"))), mark("m", S.key(F.col("mpn"))), mark("d", S.key(F.col("model"))), F.when(F.length(S.digits(F.col("gtin"))) >= 8, mark("x", S.digits(F.col("gtin")))),
-    )))).alias("key"))
-    spoken = made.select("product_id", "w", F.explode(F.array_distinct(F.array_compact(F.array(phrase("mpn"), phrase("model"))))).alias("phrase"))
-    asked = plain.union(spoken.join(rare.hint("merge"), "phrase").select("product_id", "w", mark("t", F.col("run")).alias("key")))
-    codes = F.transform(F.regexp_extract_all(F.coalesce("title", F.lit("")), F.lit(r"(?<!\d)(\d{8,})(?!\d)"), 1), lambda x: mark("x", x))
-    keys = F.concat(F.array_compact(F.array(mark("g", S.digits(F.col("gtin"))), mark("m", S.key(F.col("mpn"))), mark("d", S.key(F.col("model"))))), codes, F.transform(word_runs(_title_words(F.col("title"))), lambda x: mark("t", x)))
-    told = offers.select("offer_id", o.alias("o"), F.explode(F.array_distinct(keys)).alias("key"))
-    pairs = told.join(asked.hint("merge"), "key").select("product_id", "offer_id", "w", "o").dropDuplicates(["product_id", "offer_id"])
-    return S.apart(pairs.select("product_id", "offer_id", products.sells(F.col("w"), F.col("o")).alias("by"))).where("by is not null")
+    told = _worded(offers)
+    return told.select("offer_id", "_i", "_j").join(_sold(wanted, told).hint("merge"), ["_i", "_j"]).select("product_id", "offer_id", "by").dropDuplicates(["product_id", "offer_id"])
 
 
 def store_offers(wanted: DataFrame, offers: DataFrame, most: int = 3) -> DataFrame:
@@ -111,7 +141,9 @@ def store_offers(wanted: DataFrame, offers: DataFrame, most: int = 3) -> DataFra
     out. A promotion is a price below its previous one. Ties by offer_id.
     """
     good = (F.col("price") > 0) & (F.upper(F.coalesce("currency", F.lit("BRL"))) == "BRL") & F.coalesce("available", F.lit(True))
-    once = offers.where(good & (F.coalesce("url", F.lit("")) != "")).withColumn("_r", F.row_number().over(Window.partitionBy("store", "url").orderBy("offer_id"))).where("_r = 1").drop("_r")
-    found = identical_offers(wanted, once).join(once.select("offer_id", "store", "price", F.coalesce(F.col("previous_price") > F.col("price"), F.lit(False)).alias("promotion")).hint("merge"), "offer_id")
+    fine = offers.where(good & (F.coalesce("url", F.lit("")) != "")).withColumn("promotion", F.coalesce(F.col("previous_price") > F.col("price"), F.lit(False)))
+    told = _worded(fine)
+    once = told.select("offer_id", "store", "url", "price", "promotion", "_i", "_j").withColumn("_r", F.row_number().over(Window.partitionBy("store", "url").orderBy("offer_id"))).where("_r = 1").drop("_r", "url")
+    found = once.join(_sold(wanted, told).hint("merge"), ["_i", "_j"])
     place = F.row_number().over(Window.partitionBy("product_id", "store").orderBy("price", "offer_id"))
     return found.withColumn("place", place).where(F.col("place") <= most).select("product_id", "store", "place", "offer_id", "by", "price", "promotion")
