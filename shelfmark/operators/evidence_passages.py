@@ -9,19 +9,16 @@ from ..functions import scalars as S
 from ..functions import specs
 from ..functions.specs import Field
 
-#: Fixed limits of the contract: attributes and lines of a source, letters of its text and of a passage.
-MOST_ATTRIBUTES, MOST_LINES, MOST_TEXT, MOST_PASSAGE = 250, 400, 40_000, 1200
-
 
 def passages(sources: DataFrame, keys: tuple[str, ...] = ("record_id", "source_id"), category: str = "category", attributes: str = "attributes", text: str = "text") -> DataFrame:
-    """keys, category, pos, attributes (of one or none) and text of each passage: attributes in order, then the lines that are not blank."""
-    listed = F.slice(F.coalesce(F.col(attributes), F.array().cast(sources.schema[attributes].dataType)), 1, MOST_ATTRIBUTES)
-    told = F.transform(listed, lambda a: F.struct(F.array(a).alias("attributes"), F.concat(F.coalesce(a["name"], F.lit("")), F.lit(": "), F.coalesce(a["value"], F.lit(""))).alias("text")))
-    lines = F.slice(F.split(F.substring(F.coalesce(F.col(text), F.lit("")), 1, MOST_TEXT), r"\R"), 1, MOST_LINES)
+    """keys, category, pos, attributes (of one or none) and text of each passage: all attributes in order, then all lines that are not blank."""
     none = F.array().cast(sources.schema[attributes].dataType)
+    listed = F.coalesce(F.col(attributes), none)
+    told = F.transform(listed, lambda a: F.struct(F.array(a).alias("attributes"), F.concat(F.coalesce(a["name"], F.lit("")), F.lit(": "), F.coalesce(a["value"], F.lit(""))).alias("text")))
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), r"\R")
     bare = F.transform(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.struct(none.alias("attributes"), x.alias("text")))
     one = sources.select(*keys, category, F.posexplode(F.concat(told, bare)).alias("pos", "_p"))
-    return one.select(*keys, category, "pos", "_p.attributes", "_p.text").where(F.length("text") <= MOST_PASSAGE)
+    return one.select(*keys, category, "pos", "_p.attributes", "_p.text")
 
 
 def evidence(sources: DataFrame, found: DataFrame, categories: dict[str, tuple[Field, ...]], keys: tuple[str, ...] = ("record_id", "source_id")) -> DataFrame:
