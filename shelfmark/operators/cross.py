@@ -89,10 +89,28 @@ def _worded(offers: DataFrame) -> DataFrame:
     return offers.withColumns({"_i": F.xxhash64(*said), "_j": F.hash(*said)})
 
 
-def _shape(run: Column) -> Column:
-    """Of each of a run's one or two words whether they are letters or digits, and their length up to 30: at most 3,660 shapes."""
-    told = lambda at, n: F.least(n, F.lit(30)) * 2 + (F.substr(run, at, F.lit(1)) >= "a").cast("int")
-    return S.let(F.instr(run, " "), lambda gap: F.when(gap == 0, told(F.lit(1), F.length(run))).otherwise(told(F.lit(1), gap - 1) * 64 + told(gap + 1, F.length(run) - gap)))
+def _shapes(words: Column) -> Column:
+    """Of each of some words whether it is of letters or digits, and its length up to 30."""
+    return F.transform(words, lambda w: F.least(F.length(w), F.lit(30)) * 2 + (w >= "a").cast("int"))
+
+
+def _shape(of_words: Column, i: Column) -> Column:
+    """The shape of the word i with the next one, of their `_shapes`; null if there is no next one. With those of single words there are at most 3,900."""
+    return F.get(of_words, i) * 64 + F.get(of_words, i + 1)
+
+
+def _shape_of(run: Column) -> Column:
+    return S.let(_shapes(F.split(run, " ")), lambda s: F.coalesce(_shape(s, F.lit(0)), F.get(s, F.lit(0))))
+
+
+def _shaped_runs(words: Column, shapes: Column) -> Column:
+    """The `word_runs` of words that have one of the shapes."""
+    def among(x: Column) -> Column:
+        single = F.transform(x.w, lambda w, i: F.when(F.array_contains(shapes, F.get(x.s, i)), w))
+        pairs = F.transform(x.w, lambda w, i: F.when(F.array_contains(shapes, _shape(x.s, i)), F.concat_ws(" ", w, F.get(x.w, i + 1))))
+        return F.array_distinct(F.array_compact(F.concat(single, pairs)))
+
+    return S.let(S.let(words, lambda w: F.struct(w.alias("w"), _shapes(w).alias("s"))), among)
 
 
 def _sold(wanted: DataFrame, offers: DataFrame) -> DataFrame:
@@ -109,9 +127,9 @@ def _sold(wanted: DataFrame, offers: DataFrame) -> DataFrame:
     gtin, mpn, model = S.digits(F.col("gtin")), S.key(F.col("mpn")), S.key(F.col("model"))
     plain = wanted.select("product_id", F.explode(F.array_compact(F.array(mark("g", gtin), mark("m", mpn), mark("d", model), F.when(F.length(gtin) >= 8, mark("x", gtin))))).alias("key"))
     asked = plain.union(spoken.join(rare.hint("merge"), "phrase").select("product_id", mark("t", F.col("run")))).select("product_id", F.xxhash64("key").alias("key"))
-    shapes = rare.agg(F.collect_set(_shape(F.col("run"))).alias("_shapes"))
+    shapes = rare.agg(F.collect_set(_shape_of(F.col("run"))).alias("_shapes"))
     codes = F.transform(F.regexp_extract_all(F.coalesce("title", F.lit("")), F.lit(r"(?<!\d)(\d{8,})(?!\d)"), 1), lambda x: mark("x", x))
-    runs = F.transform(F.filter(word_runs(_title_words(F.col("title"))), lambda r: F.array_contains("_shapes", _shape(r))), lambda r: mark("t", r))
+    runs = F.transform(_shaped_runs(_title_words(F.col("title")), F.col("_shapes")), lambda r: mark("t", r))
     keys = F.concat(F.array_compact(F.array(mark("g", gtin), mark("m", mpn), mark("d", model))), codes, runs)
     told = said.select("_i", "_j", "o.*").crossJoin(F.broadcast(shapes)).select("_i", "_j", F.explode(F.transform(keys, lambda x: F.xxhash64(x))).alias("key"))
     pairs = told.join(asked.hint("merge"), "key").select("_i", "_j", "product_id").repartition("_i", "_j").distinct()

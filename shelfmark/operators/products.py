@@ -128,7 +128,7 @@ def sought(wanted: Column) -> Column:
     run = lambda f, least: F.when(F.length(S.key(wanted[f])) >= least, S.blank_to_null(_title_words(wanted[f])))
     return F.struct(
         wanted["name"].alias("name"), S.digits(wanted["gtin"]).alias("gtin"), S.key(wanted["mpn"]).alias("mpn"), S.key(wanted["model"]).alias("model"), S.key(wanted["brand"]).alias("brand"), run("mpn", 5).alias("mpn_run"),
-        run("model", 4).alias("model_run"), intent.kind(intent.search_text(wanted["name"])).alias("kind"), variant(F.concat_ws(" ", wanted["name"], wanted["model"])).alias("variant"),
+        run("model", 4).alias("model_run"), S.let(intent.search_text(wanted["name"]), intent.kind).alias("kind"), variant(F.concat_ws(" ", wanted["name"], wanted["model"])).alias("variant"),
     )
 
 

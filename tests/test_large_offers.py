@@ -45,3 +45,13 @@ def test_wordings_and_products_of_any_form(spark):
     offers = [(i, *texts, *rest(i)) for i, texts in enumerate(said)] + [(None, None, None, None, None, "12345678", *rest("n"))]
     got = cross.store_offers(spark.createDataFrame(wanted, WANTED), spark.createDataFrame(offers, OFFER), most=9).collect()
     assert sorted((str(r.product_id), str(r.offer_id), r.by) for r in got) == [("1", "1", "GTIN"), ("1", "2", "GTIN"), ("1", "3", "GTIN"), ("1", "5", "MARCA_MODELO"), ("1", "None", "GTIN"), ("2", "4", "MARCA_MODELO"), ("None", "0", "MARCA_MODELO")]
+
+
+def test_runs_of_a_shape_are_those_of_all_runs(spark):
+    """A title's runs of the shapes of some names are all its runs but those of other shapes: none that a name has is lost."""
+    rows = spark.createDataFrame([("k 123 x 7 pro 123 x",), ("a",), ("7",), ("",), ("b" * 31 + " 1",), ("c" * 40 + " 2",)], "t string").select(F.split("t", " ").alias("ws"))
+    kept = lambda *runs: [list(r[0]) for r in rows.select(cross._shaped_runs(F.col("ws"), F.array(*(cross._shape_of(F.lit(x)) for x in runs)))).collect()]
+    assert kept("q", "999 z") == [["k", "x", "123 x"], ["a"], [], [], [], []]
+    assert kept("4", "d" * 30 + " 5") == [["7"], [], ["7"], [], ["1", "b" * 31 + " 1"], ["2", "c" * 40 + " 2"]]
+    every = [list(r[0]) for r in rows.select(cross.word_runs(F.col("ws"))).collect()]
+    assert kept(*{x for runs in every for x in runs}) == every
