@@ -79,6 +79,8 @@ def _title_words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z]+|[0-9]+"), 0)
 
 
+#: Buckets of addresses, of which the marked ones are broadcast.
+BUCKETS = 1 << 17
 #: What an offer says of its item, in columns: offers that say the same are judged once.
 WORDING = ("title", "brand", "model", "mpn", "gtin")
 
@@ -152,6 +154,21 @@ def identical_offers(wanted: DataFrame, offers: DataFrame) -> DataFrame:
     return told.select("offer_id", "_i", "_j").join(_sold(wanted, told).hint("merge"), ["_i", "_j"]).select("product_id", "offer_id", "by").dropDuplicates(["product_id", "offer_id"])
 
 
+def _first_each(offers: DataFrame, *address: str) -> DataFrame:
+    """Of the offers of an address the one of the smallest offer_id. Those whose address is theirs alone are not exchanged.
+
+    Rows that share a hash of their address mark its bucket, of which there are BUCKETS; offers in a marked one are compared by their
+    whole addresses. Where very many addresses stand twice, all buckets are marked, and all offers are compared.
+    """
+    hashed = F.xxhash64(*address).bitwiseAND(F.lit((1 << 40) - 1))  # 40 bits: those that share one by chance are compared, no more
+    marked = offers.groupBy(hashed.alias("_h")).count().where("count > 1").select(F.col("_h").bitwiseAND(F.lit(BUCKETS - 1)).alias("_b")).distinct().withColumn("_m", F.lit(True))
+    rows = offers.withColumn("_b", hashed.bitwiseAND(F.lit(BUCKETS - 1))).join(F.broadcast(marked), "_b", "left")
+    doubted = F.coalesce("_m", F.lit(False))
+    first = F.row_number().over(Window.partitionBy(*address).orderBy("offer_id"))
+    compared = rows.where(doubted).select(*offers.columns).withColumn("_r", first).where("_r = 1")
+    return compared.select(*offers.columns).union(rows.where(~doubted).select(*offers.columns))
+
+
 def store_offers(wanted: DataFrame, offers: DataFrame, most: int = 3) -> DataFrame:
     """product_id, store, place, offer_id, by, price, promotion: of each product and store the `most` cheapest identical offers.
 
@@ -161,7 +178,7 @@ def store_offers(wanted: DataFrame, offers: DataFrame, most: int = 3) -> DataFra
     good = (F.col("price") > 0) & (F.upper(F.coalesce("currency", F.lit("BRL"))) == "BRL") & F.coalesce("available", F.lit(True))
     fine = offers.where(good & (F.coalesce("url", F.lit("")) != "")).withColumn("promotion", F.coalesce(F.col("previous_price") > F.col("price"), F.lit(False)))
     told = _worded(fine)
-    once = told.select("offer_id", "store", "url", "price", "promotion", "_i", "_j").withColumn("_r", F.row_number().over(Window.partitionBy("store", "url").orderBy("offer_id"))).where("_r = 1").drop("_r", "url")
+    once = _first_each(told.select("offer_id", "store", "url", "price", "promotion", "_i", "_j"), "store", "url").drop("url")
     found = once.join(_sold(wanted, told).hint("merge"), ["_i", "_j"])
     place = F.row_number().over(Window.partitionBy("product_id", "store").orderBy("price", "offer_id"))
     return found.withColumn("place", place).where(F.col("place") <= most).select("product_id", "store", "place", "offer_id", "by", "price", "promotion")

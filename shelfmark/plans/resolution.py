@@ -34,8 +34,8 @@ def _(spark, sf_dir):
 # Offers: of each part and supplier one, in one of six forms; its price is the least of its lines, and what came back is not on sale.
 _WANTED = "select p_partkey as product_id, concat(p_brand, ' ', p_name, ' K', cast(p_partkey as varchar(20)), 'x') as name, p_brand as brand, concat('K', cast(p_partkey as varchar(20)), 'x') as model, concat('P-', cast(p_partkey as varchar(20)), '-Q') as mpn, concat('789', lpad(cast(p_partkey as varchar(20)), 10, '0')) as gtin from part"
 _LINES = "select l_partkey as k, l_suppkey as s, min(l_extendedprice / l_quantity) as price, max(l_extendedprice / l_quantity) as previous_price, min(case when l_returnflag = 'R' then 0 else 1 end) as free from lineitem group by l_partkey, l_suppkey"
-# The same with the lines dealt by part once, which is how both the grouping and the join with parts want them.
-_DEALT = "select k, s, min(price) as price, max(price) as previous_price, min(free) as free from (select l_partkey as k, l_suppkey as s, l_extendedprice / l_quantity as price, case when l_returnflag = 'R' then 0 else 1 end as free from lineitem distribute by k) group by k, s"
+# The same of what is on sale, with the lines dealt by part once, which is how both the grouping and the join with parts want them; lines that came back need no price.
+_DEALT = "select k, s, min(price) as price, max(price) as previous_price, min(free) as free from (select l_partkey as k, l_suppkey as s, case when l_returnflag = 'R' then null else l_extendedprice / l_quantity end as price, case when l_returnflag = 'R' then 0 else 1 end as free from lineitem distribute by k) group by k, s"
 
 
 def _offers(spark, sf_dir):

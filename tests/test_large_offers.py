@@ -55,3 +55,21 @@ def test_runs_of_a_shape_are_those_of_all_runs(spark):
     assert kept("4", "d" * 30 + " 5") == [["7"], [], ["7"], [], ["1", "b" * 31 + " 1"], ["2", "c" * 40 + " 2"]]
     every = [list(r[0]) for r in rows.select(cross.word_runs(F.col("ws"))).collect()]
     assert kept(*{x for runs in every for x in runs}) == every
+
+
+def test_offers_alone_at_their_address_are_not_exchanged(spark, monkeypatch):
+    """The first of each address, whether few buckets of addresses are marked or all; without shared addresses only hashes of them travel."""
+    table = spark.range(3000).select(F.col("id").alias("offer_id"), (F.col("id") % 3).alias("store"), F.concat(F.lit("u"), F.when(F.col("id") < 2900, F.col("id")).otherwise(F.col("id") % 7)).alias("url"), F.when(F.col("id") % 50 == 0, None).otherwise(F.lit(1)).alias("x"))
+    table = table.unionByName(table.where("offer_id = 2950").withColumns({"store": F.lit(None).cast("long"), "offer_id": F.lit(5000).cast("long")})).unionByName(table.where("offer_id = 2950").withColumns({"store": F.lit(None).cast("long"), "offer_id": F.lit(4000).cast("long")}))
+    first = {}
+    for r in sorted(table.collect(), key=lambda r: r.offer_id):
+        first.setdefault((r.store, r.url), tuple(r))
+    for buckets in (1 << 17, 2):
+        monkeypatch.setattr(cross, "BUCKETS", buckets)
+        got = [tuple(r) for r in cross._first_each(table, "store", "url").collect()]
+        assert set(got) == set(first.values()) and len(got) == len(first)
+    monkeypatch.setattr(cross, "BUCKETS", 1 << 17)
+    plan = cross._first_each(table.where("offer_id < 2900"), "store", "url")
+    wide = [stage for stage in plan._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(store" in stage]
+    assert len(wide) == 1 and plan.count() == 2900
+    assert _sent(spark, plan) < 2900 + 100
